@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -115,5 +116,13 @@ def texts_of(column: pa.ChunkedArray | pa.Array) -> list[str]:
     return [x if x is not None else "" for x in column.to_pylist()]
 
 
+def ready(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package; on a cluster it is installed or sent with --py-files."""
+    top, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if top not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(filter(None, [top, env.get("PYTHONPATH")]))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

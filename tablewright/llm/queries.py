@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.llm.packing import op3_best_fit_packing
+from tablewright.llm.repeats import op10_suffix_array_dedup
 from tablewright.llm.sharding import op7_proportional_sharding
 from tablewright.llm.simhash import op9_simhash_near_dedup
 from tablewright.llm.token_files import op8_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_best_fit_packing, op7_proportional_sharding, op8_token_files, op9_simhash_near_dedup)
+    f.__name__: f for f in (op3_best_fit_packing, op7_proportional_sharding, op8_token_files, op9_simhash_near_dedup, op10_suffix_array_dedup)
 }
 ORACLES: dict[str, str] = {}
