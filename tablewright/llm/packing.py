@@ -24,7 +24,7 @@ from tablewright.llm import common, tokens
 
 MAX_TOKENS = 2048
 #: Fillings tried in all, and alternatives tried beside one largest piece.
-NODES, WIDTH = 20_000, 4
+NODES, WIDTH = 10_000, 4
 
 Pattern = tuple[tuple[int, ...], int]  # lengths in one sequence, how many such sequences
 
@@ -86,15 +86,16 @@ def fillings(counts: np.ndarray, room: int, width: int = WIDTH) -> list[tuple[in
         largest = int(have[-1])
         found.setdefault((*taken, largest), room - largest)
         best = min(found.values())
-        if best:
-            for waste in range(min(best, room)):  # two pieces that leave less
-                want = room - waste
-                a = have[(have * 2 >= want) & (have < want)][::-1]
-                a = a[counts[want - a] > (a * 2 == want)]
-                for x in a[: width if not waste else 1].tolist():
-                    found.setdefault((*taken, x, want - x), waste)
-                if len(a):
-                    break
+        if best:  # two pieces: beside each the largest that still fits and is no larger
+            k = np.searchsorted(have, np.minimum(room - have, have), side="right") - 1
+            k -= (have[k] == have) & (counts[have] < 2)
+            fits = k >= 0
+            a, b = have[fits], have[k[fits]]
+            left = room - a - b
+            at = np.flatnonzero((left >= 0) & (left < best))
+            at = at[np.lexsort((-a[at], left[at]))][:width]
+            for x in at.tolist():
+                found.setdefault((*taken, int(a[x]), int(b[x])), int(left[x]))
         if sum(w == 0 for w in found.values()) >= width or largest == room:
             break
         counts[largest] -= 1

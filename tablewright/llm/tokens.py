@@ -1,30 +1,26 @@
 """Byte-level BPE ids of whole texts, by the tokenizers library.
 
-The pre-tokenizer of a byte-level BPE ends a piece wherever one space stands between two characters that are not white
-space, so a text may be cut there and its parts encoded apart: the ids are those of the whole text. Parts repeat far
-more often than texts, so each worker process keeps the ids of those it has met (at most CACHE of them). New parts are
-encoded many at a time: each starts with the only space it has, and so does its first token, which shows where it begins.
+The pre-tokenizer of a byte-level BPE ends a piece wherever one space or line feed stands between two characters that are
+not white space, so a text may be cut there and its parts encoded apart: the ids are those of the whole text. Parts repeat
+far more often than texts: a block of texts is cut and its different parts are numbered by Arrow, each part is encoded once
+for the block, and the ids of the texts are gathered by number. Parts are encoded many in a call: joined by single spaces (or
+line feeds, for those that have no space before them), each shows where it begins by a token that starts with a space (or by
+the line feed between). Texts with other white space, or with what may be a special token's string, are given to the library
+whole.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Parts that a worker keeps; the memory is about 200 bytes each.
-CACHE = 500_000
-#: Characters of text that are encoded together.
-BLOCK = 2_000_000
-_GAP = re.compile(r"(?<=\S) (?=\S)")
-_WHITE = [c for c in map(chr, range(0x3001)) if c.isspace()]
-_MARKS = ".,;:!?"
-
-
-def _plain(text: str) -> bool:
-    """Whether each space and each line feed stands between two characters that are not white space."""
-    return text[0] not in " \n" and text[-1] not in " \n" and not any(c in text and (" " + c in text or c + " " in text or "\n" + c in text or c + "\n" in text) for c in _WHITE)
+#: Characters of text that are encoded together, and parts in one call (calls on long texts are slower for each part).
+BLOCK, RUN = 12_000_000, 1000
+_SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ODD = f"{_SPACE}{_SPACE}|^{_SPACE}|{_SPACE}$|<\\||^$"
 
 
 class Encoder:
@@ -34,77 +30,75 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
         space = self.tokenizer.encode(" a", add_special_tokens=False).tokens[0][0]
         vocab = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.opens[[i for t, i in vocab.items() if t.startswith(space)]] = True
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        assert len(self.feed) == 1
 
     def whole(self, text: str) -> bytes:
         """By the library alone."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, firsts: set[str], rests: set[str]) -> None:
-        if len(self.first) + len(self.rest) + len(firsts) + len(rests) > CACHE:
-            self.first, self.rest = {}, {}
-        for known, new, lead in ((self.first, firsts, ""), (self.rest, rests, " ")):
-            marked, simple = [], set()
-            for part in new:
-                stem = part.rstrip(_MARKS)
-                if len(stem) < len(part) and stem.isalnum():  # marks after letters and digits are a piece of their own
-                    marked.append((part, stem))
-                    part = stem
-                if " " not in part:
-                    if part not in known:
-                        simple.add(part)
-                else:
-                    known[part] = self.whole(lead + part)
-            if simple and not lead:
-                got = self.tokenizer.encode_batch_fast(simple := list(simple), add_special_tokens=False)
-                known.update((p, np.array(g.ids, dtype="<u4").tobytes()) for p, g in zip(simple, got, strict=True))
-            elif simple:
-                simple = list(simple)
-                ids = np.array(self.tokenizer.encode(" " + " ".join(simple), add_special_tokens=False).ids, dtype="<u4")
-                starts = np.flatnonzero(self.opens[ids])
-                assert len(starts) == len(simple)
-                ends = [*(starts[1:] * 4).tolist(), len(ids) * 4]
-                data = ids.tobytes()
-                known.update((p, data[a:b]) for p, a, b in zip(simple, (starts * 4).tolist(), ends, strict=True))
-            for part, stem in marked:
-                known[part] = known[stem] + self.mark(part[len(stem) :])
-
-    def mark(self, marks: str) -> bytes:
-        if marks not in self.marks:
-            self.marks[marks] = self.whole(marks)
-        return self.marks[marks]
+    def _parts(self, parts: list[str], spaced: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different parts, with a space before each or without, and the number of each."""
+        ids, sizes = [], []
+        for a in range(0, len(parts), RUN):
+            run = parts[a : a + RUN]
+            text = " " + " ".join(run) if spaced else "\n".join(run)
+            got = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            if spaced:
+                cuts = np.flatnonzero(self.opens[got])
+                sizes.append(np.diff(cuts, append=len(got)))
+            else:
+                gaps = got == self.feed[0]
+                cuts = np.append(np.flatnonzero(gaps), len(got))
+                sizes.append(np.diff(cuts, prepend=-1) - 1)
+                got = got[~gaps]
+            assert len(sizes[-1]) == len(run)
+            ids.append(got)
+        return (np.concatenate(ids), np.concatenate(sizes)) if ids else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
 
     def _block(self, texts: list[str]) -> list[bytes]:
-        split: list[list[list[str]] | None] = []
-        firsts, rests = set(), set()
-        for text in texts:
-            if not text or "<|" in text:  # may hold a special token's string, white space and all
-                split.append(None)
-                continue
-            lines = [x.split(" ") for x in text.split("\n")] if _plain(text) else [_GAP.split(text)]
-            split.append(lines)
-            for parts in lines:
-                if parts[0] not in self.first:
-                    firsts.add(parts[0])
-                if not self.rest.keys() >= (own := set(parts[1:])):
-                    rests.update([x for x in own if x not in self.rest])
-        if firsts or rests:
-            held = len(self.first) + len(self.rest)
-            self._learn(firsts, rests)
-            if len(self.first) + len(self.rest) < held:  # the cache was emptied
-                lines = [parts for found in split if found for parts in found]
-                self._learn({p[0] for p in lines if p[0] not in self.first}, {x for p in lines for x in p[1:] if x not in self.rest})
-        first, rest, feed = self.first, self.rest, self.mark("\n")
-        return [
-            (self.whole(t) if t else b"") if p is None else feed.join([first[x[0]] + b"".join([rest[y] for y in x[1:]]) for x in p])
-            for t, p in zip(texts, split, strict=True)
-        ]
+        column = pa.array(texts, pa.string())
+        odd = pc.match_substring_regex(column, _ODD).to_numpy(zero_copy_only=False)
+        plain = np.flatnonzero(~odd)
+        out: list[bytes] = [b""] * len(texts)
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = self.whole(texts[i]) if texts[i] else b""
+        if not len(plain):
+            return out
+        if len(plain) < len(texts):
+            column = column.filter(pa.array(~odd))
+        split = pc.split_pattern(pc.replace_substring(column, "\n", " \n "), " ")
+        cuts = split.offsets.to_numpy()
+        coded = split.values.slice(int(cuts[0]), int(cuts[-1] - cuts[0])).dictionary_encode()
+        cuts = cuts - cuts[0]
+        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        feed = pc.index(coded.dictionary, "\n").as_py()
+        start = codes == feed  # parts without a space before them; a line feed is one too
+        start[1:] |= start[:-1].copy()
+        start[cuts[:-1]] = True
+        start &= codes != feed
+        spaced, unspaced = np.unique(codes[~start & (codes != feed)]), np.unique(codes[start])
+        a_ids, a_sizes = self._parts([words[i] for i in spaced.tolist()], True)
+        b_ids, b_sizes = self._parts([words[i] for i in unspaced.tolist()], False)
+        flat = np.concatenate([a_ids, b_ids, np.array(self.feed, "<u4")])
+        sizes = np.concatenate([a_sizes, b_sizes, [1]])
+        place = np.full((2, len(words)), len(sizes) - 1, np.int64)
+        place[0, spaced] = np.arange(len(spaced))
+        place[1, unspaced] = len(spaced) + np.arange(len(unspaced))
+        del words
+        number = place[start.astype(np.int8), codes]
+        starts = (np.cumsum(sizes) - sizes)[number]
+        own = sizes[number]
+        ends = np.cumsum(own)
+        got = flat[np.repeat(starts - (ends - own), own) + np.arange(ends[-1])]
+        ends = np.concatenate([[0], ends])[cuts].tolist()
+        for i, a, b in zip(plain.tolist(), ends, ends[1:], strict=False):
+            out[i] = got[a:b].tobytes()
+        return out
 
     def ids(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text, in order."""
@@ -113,10 +107,11 @@ class Encoder:
         for text in texts:
             block.append(text)
             size += len(text)
-            if size >= BLOCK or len(block) >= 1000:
+            if size >= BLOCK:
                 yield from self._block(block)
                 block, size = [], 0
-        yield from self._block(block)
+        if block:
+            yield from self._block(block)
 
 
 _encoders: dict[str, Encoder] = {}
