@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tablewright.llm.decontaminate import op1_greedy_tiling_decontamination
 from tablewright.llm.langid import op6_string_kernel_language
 from tablewright.llm.packing import op3_best_fit_packing
+from tablewright.llm.quality import op5_kneser_ney_quality
 from tablewright.llm.repeats import op10_suffix_array_dedup
 from tablewright.llm.secrets import op2_cnn_secret_scan
 from tablewright.llm.sharding import op7_proportional_sharding
@@ -16,6 +17,6 @@ from tablewright.llm.simhash import op9_simhash_near_dedup
 from tablewright.llm.token_files import op8_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_greedy_tiling_decontamination, op2_cnn_secret_scan, op3_best_fit_packing, op6_string_kernel_language, op7_proportional_sharding, op8_token_files, op9_simhash_near_dedup, op10_suffix_array_dedup)
+    f.__name__: f for f in (op1_greedy_tiling_decontamination, op2_cnn_secret_scan, op3_best_fit_packing, op5_kneser_ney_quality, op6_string_kernel_language, op7_proportional_sharding, op8_token_files, op9_simhash_near_dedup, op10_suffix_array_dedup)
 }
 ORACLES: dict[str, str] = {}
