@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablewright.llm.bm25 import op4_block_max_search
 from tablewright.llm.decontaminate import op1_greedy_tiling_decontamination
 from tablewright.llm.langid import op6_string_kernel_language
 from tablewright.llm.packing import op3_best_fit_packing
@@ -16,7 +17,17 @@ from tablewright.llm.sharding import op7_proportional_sharding
 from tablewright.llm.simhash import op9_simhash_near_dedup
 from tablewright.llm.token_files import op8_token_files
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_greedy_tiling_decontamination, op2_cnn_secret_scan, op3_best_fit_packing, op5_kneser_ney_quality, op6_string_kernel_language, op7_proportional_sharding, op8_token_files, op9_simhash_near_dedup, op10_suffix_array_dedup)
-}
+_OPERATORS = (
+    op1_greedy_tiling_decontamination,
+    op2_cnn_secret_scan,
+    op3_best_fit_packing,
+    op4_block_max_search,
+    op5_kneser_ney_quality,
+    op6_string_kernel_language,
+    op7_proportional_sharding,
+    op8_token_files,
+    op9_simhash_near_dedup,
+    op10_suffix_array_dedup,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OPERATORS}
 ORACLES: dict[str, str] = {}
