@@ -252,11 +252,13 @@ def parsed(ctx: Context) -> DataFrame:
     out = frame.withColumns({"_cells": F.struct(*cells) if cells else F.lit(None).cast("struct<none: int>"), "_empty": empty})
     if not ctx.settings.duplicate_check:
         return out.withColumns({"_copy": F.lit(False), "_same_key": F.lit(False)})
-    out = repeats(out, [values.strip(quoted(c).cast("string")) for c in data], "_copy")
+    out = repeats(out, [values.strip(quoted(c).cast("string")) for c in data], "_copy", base=frame)
     if not keyed(ctx):
         return out.withColumn("_same_key", F.lit(False))
     keys = [values.key(ctx.source(k)) for k in ctx.contract.business_key]
-    whole = ~F.col("_copy")
+    whole = F.lit(True)
     for k in keys:
         whole = whole & k.isNotNull() & (k != "")
-    return repeats(out, keys, "_same_key", among=whole)
+    # the first row of a key copies no row, so copies need not be left out to find it
+    out = repeats(out, keys, "_same_key", among=whole, base=frame)
+    return out.withColumn("_same_key", F.col("_same_key") & ~F.col("_copy"))

@@ -31,12 +31,14 @@ def digest(columns: Sequence[Column]) -> Column:
     return F.struct(F.xxhash64(*marked).alias("a"), F.xxhash64(F.lit("salt"), *marked).alias("b"))
 
 
-def repeats(df: DataFrame, key: Sequence[Column], name: str, among: Column | None = None, row: str = ROW) -> DataFrame:
+def repeats(df: DataFrame, key: Sequence[Column], name: str, among: Column | None = None, row: str = ROW, base: DataFrame | None = None) -> DataFrame:
     """Add whether an earlier row (of those among) has the same key. The first row of each key is found by an aggregation that
-    combines before it shuffles; rows then meet it in a join that splits hot keys."""
+    combines before it shuffles (over base, where that is a cheaper frame with the same rows); rows then meet it in a join that
+    splits hot keys."""
     among = F.lit(True) if among is None else among
     marked = df.withColumn("_key", F.when(among, digest(key)))
-    first = marked.where("_key is not null").groupBy("_key").agg(F.min(row).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    source = marked if base is None else base.withColumn("_key", F.when(among, digest(key)))
+    first = source.where("_key is not null").groupBy("_key").agg(F.min(row).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
     first = first.select(F.col("_key.a").alias("_a"), F.col("_key.b").alias("_b"), "_first")
     joined = marked.join(first, (F.col("_key.a") == F.col("_a")) & (F.col("_key.b") == F.col("_b")), "left")
     return joined.withColumn(name, F.coalesce(F.col("_first") < F.col(row), F.lit(False))).drop("_key", "_a", "_b", "_first")
