@@ -76,35 +76,24 @@ def _clock(t: Column) -> Column:
     return F.when(t == "", F.lit("")).when(hour.isNotNull(), F.concat(F.lit(" "), F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), part(2), F.lit(":"), second))
 
 
-def _moment(year: Column, month: Column, day: Column, clock: Column) -> Column:
-    two = lambda x: F.lpad(x, 2, "0")
-    return F.concat(year, F.lit("-"), two(month), F.lit("-"), two(day), clock).try_cast("timestamp_ntz")
-
-
 def timestamp(c: Column, *, dayfirst: bool = True) -> Column:
     """The closed list of date forms: ISO-8601 (also yyyy, yyyy-MM, yyyyMMdd, yyyy/M/d), day and month in either order with
     - / or . (the other order where the preferred one is impossible), and months by name; each with an optional time of day.
     Times alone and words such as today are not dates."""
+    parts = r"^(\S.*?)(?:(?<=\d)(?: +|T)(\d{1,2}:\d{2}.*))?$"
     text = strip(c)
-    iso = r"^(\d{4})(?:[-/.](\d{1,2})(?:[-/.](\d{1,2})(?:[ T]+(.*))?)?)?$"
-    got = lambda p, n: F.regexp_extract(text, p, n)
-    one = lambda x: F.when(x == "", "1").otherwise(x)
-    by_iso = F.when(text.rlike(iso), _moment(got(iso, 1), one(got(iso, 2)), one(got(iso, 3)), _clock(got(iso, 4))))
-    packed = r"^(\d{4})(\d{2})(\d{2})$"
-    by_packed = F.when(text.rlike(packed), _moment(got(packed, 1), got(packed, 2), got(packed, 3), F.lit("")))
-    mixed = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})(?:[ T]+(.*))?$"
-    year = got(mixed, 3)
-    year = F.when(F.length(year) == 4, year).otherwise(F.concat(F.when(year < "69", "20").otherwise("19"), year))
-    a, b, clock = got(mixed, 1), got(mixed, 2), _clock(got(mixed, 4))
-    orders = [_moment(year, b, a, clock), _moment(year, a, b, clock)]
-    by_order = F.when(text.rlike(mixed), F.coalesce(*(orders if dayfirst else orders[::-1])))
-    named = lambda p, d, m, y, t: F.when(
-        text.rlike(p),
-        _moment(got(p, y), F.nullif((F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.substring(got(p, m), 1, 3))) + 2) / 3, F.lit(2 / 3)).cast("int").cast("string"), got(p, d), _clock(got(p, t))),
-    )
-    by_name = named(r"^(\d{1,2})[- ]([A-Za-z]{3,9})[-, ]+(\d{4})(?:[ T]+(.*))?$", 1, 2, 3, 4)
-    by_name_first = named(r"^([A-Za-z]{3,9})[ -](\d{1,2}),?[- ]+(\d{4})(?:[ T]+(.*))?$", 2, 1, 3, 4)
-    return F.coalesce(by_iso, by_packed, by_order, by_name, by_name_first)
+    day, clock = F.regexp_extract(text, parts, 1), _clock(F.regexp_extract(text, parts, 2))
+    plain = F.regexp_replace(F.regexp_replace(day, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"), "[/.]", "-")
+    by_iso = F.when(plain.rlike(r"^\d{4}(-\d{1,2}){0,2}$"), plain.try_cast("date"))
+    full = F.regexp_replace(F.regexp_replace(plain, r"^(\d+-\d+)-([0-5]\d|6[0-8])$", "$1-20$2"), r"^(\d+-\d+)-(69|[7-9]\d)$", "$1-19$2")
+    orders = [F.regexp_replace(full, r"^(\d{1,2})-(\d{1,2})-(\d{4})$", to).try_cast("date") for to in ("$3-$2-$1", "$3-$1-$2")]
+    by_order = F.when(full.rlike(r"^\d{1,2}-\d{1,2}-\d{4}$"), F.coalesce(*(orders if dayfirst else orders[::-1])))
+    name = F.regexp_replace(day, r"^(\d{1,2})[- ]([A-Za-z]{3})[A-Za-z]{0,6}[-, ]+(\d{4})$", "$3-$2-$1")
+    name = F.regexp_replace(name, r"^([A-Za-z]{3})[A-Za-z]{0,6}[ -](\d{1,2}),?[- ]+(\d{4})$", "$3-$1-$2")
+    month = F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.substring(name, 6, 3)))
+    numbered = F.concat(F.substring(name, 1, 5), ((month + 2) / 3).cast("int").cast("string"), F.substring(name, 9, 3))
+    by_name = F.when(name.rlike(r"^\d{4}-[A-Za-z]{3}-\d{1,2}$") & (month % 3 == 1), numbered.try_cast("date"))
+    return F.concat(F.coalesce(by_iso, by_order, by_name).cast("string"), clock).try_cast("timestamp_ntz")
 
 
 def date(c: Column, kind: T.DataType | None = None, *, time: bool = False, dayfirst: bool = True) -> Cell:

@@ -93,10 +93,11 @@ class Cleaned:
             frame.unpersist()
 
     def changes(self, limit: int | None = None) -> DataFrame:
-        """source_row, column, step, old_value, new_value, by step, column and row, up to the limit."""
+        """source_row, column, step, old_value, new_value, by step, column and row, up to the limit (0: all)."""
         each = self.frame.select(F.col(ROW).alias("source_row"), F.explode("_changes").alias("c")).select("source_row", "c.*")
         step = F.element_at(F.array(*[F.lit(STEP_NAMES[s]) for s in STEPS]), F.col("step") + 1)
-        capped = each.orderBy("step", "ordinal", "source_row").limit(self.limit if limit is None else limit)
+        limit = self.limit if limit is None else limit
+        capped = each.orderBy("step", "ordinal", "source_row").limit(limit) if limit else each
         return capped.select("source_row", "column", step.alias("step"), F.col("old").alias("old_value"), F.col("new").alias("new_value"))
 
     def column_changes(self) -> DataFrame:

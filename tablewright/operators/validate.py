@@ -116,7 +116,7 @@ class Report:
         return self.rows.select(F.col(ROW).alias("row"), F.explode("_issues").alias("i")).select("row", "i.*")
 
     def issues(self, limit: int | None = None) -> DataFrame:
-        """row, column, check, severity, value, message: errors first up to the limit, then by row and check."""
+        """row, column, check, severity, value, message: errors first up to the limit (0: all), then by row and check."""
         shown = [r for r in self.results if r.failed and r.severity != "info"]
         if not shown:
             return self.rows.sparkSession.createDataFrame([], "row long, column string, check string, severity string, value string, message string")
@@ -124,7 +124,9 @@ class Report:
             [(r.ordinal, RANK[r.severity], r.column or "(row)", r.name, r.severity, r.message) for r in shown],
             "ordinal int, rank int, column string, check string, severity string, message string",
         )
-        found = self._exploded().join(F.broadcast(known), "ordinal").orderBy("rank", "ordinal", "row").limit(self.settings.issue_log_limit if limit is None else limit)
+        found = self._exploded().join(F.broadcast(known), "ordinal").orderBy("rank", "ordinal", "row")
+        limit = self.settings.issue_log_limit if limit is None else limit
+        found = found.limit(limit) if limit else found
         return found.select("row", "column", "check", "severity", "value", "message").orderBy("row", "check", "column")
 
     def samples(self) -> dict[int, list[int]]:
