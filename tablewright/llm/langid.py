@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tablewright.llm import common
 
 BUCKETS, ORDERS = 1 << 15, (1, 2, 3)
-PER_LANG, LANDMARKS, RIDGE = 500, 256, 1e-2
+PER_LANG, LANDMARKS, RIDGE = 400, 256, 1e-2
 #: Texts in one matrix product; sharpness of the score; the score under which keep_identified() rejects a text.
 BATCH, SHARPNESS, MIN_SCORE = 64, 6.0, 0.3
 
@@ -101,10 +101,12 @@ def fit(bits: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: f
     names = sorted(set(langs))
     if not names:
         return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32))
-    x = bits.astype(np.float32) / np.sqrt(bits.sum(axis=1, keepdims=True, dtype=np.int64)).astype(np.float32)
     by = {name: [i for i, y in enumerate(langs) if y == name] for name in names}
-    turns = [rows[k] for k in range(max(map(len, by.values()))) for rows in by.values() if k < len(rows)]
-    marks = x[turns[:landmarks]]
+    turns = [rows[k] for k in range(max(map(len, by.values()))) for rows in by.values() if k < len(rows)][:landmarks]
+    columns = np.flatnonzero(bits[turns].any(axis=0))  # no other n-gram is shared with a landmark
+    x = bits[:, columns].astype(np.float32)
+    x /= np.sqrt(bits.sum(axis=1, keepdims=True, dtype=np.int64)).astype(np.float32)
+    marks = x[turns]
     k_nm, k_mm = (x @ marks.T).astype(np.float64), (marks @ marks.T).astype(np.float64)
     value, vector = np.linalg.eigh(k_mm)
     good = value > 1e-6 * value.max()
@@ -114,8 +116,7 @@ def fit(bits: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: f
     weight = np.array([1 / len(by[name]) for name in langs]) * len(langs) / len(names)  # languages count alike
     alpha = root @ np.linalg.solve((phi * weight[:, None]).T @ phi + ridge * len(langs) * np.eye(phi.shape[1]) / 100, (phi * weight[:, None]).T @ y)
     weights = marks.T.astype(np.float64) @ alpha
-    columns = np.flatnonzero(marks.any(axis=0))
-    return Model(names, columns, weights[columns].astype(np.float32))
+    return Model(names, columns, weights.astype(np.float32))
 
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
