@@ -33,7 +33,7 @@ ORDER, QUANTILE, HELD_OUT, LEAST = 5, 0.99, 4, 30
 #: Trusted ids that are broadcast (8 bytes each); more are joined with a shuffle.
 MAX_IDS = 4_000_000
 #: Bytes of text that are numbered together; a longer text is a piece of its own.
-PIECE = 4 << 20
+PIECE = 1 << 20
 START, END = 0xFE, 0xFF  # never part of UTF-8
 
 
