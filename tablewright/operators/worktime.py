@@ -75,7 +75,7 @@ def add_hours(df: DataFrame, start: str, hours: str, calendar: Calendar | None =
     own = F.broadcast(days.select(*[F.col(x).alias(f"_s_{x}") for x in days.columns]))
     due = F.broadcast(days.where("works = 1").select(F.col("before").alias("_d_before"), F.col("day").alias("_d_day")))
     at = df.join(own, F.col(start).cast("date") == F.col("_s_day"), "left")
-    at = at.withColumn("_want", _at(F.col(start), F.col("_s_works"), F.col("_s_before"), calendar) + (F.col(hours) * 3600).cast("long"))
+    at = at.withColumn("_want", _at(F.col(start), F.col("_s_works"), F.col("_s_before"), calendar) + F.round(F.col(hours) * 3600).cast("long"))
     at = at.withColumn("_d", F.expr(f"int((greatest(_want, 1) - 1) div {calendar.day_seconds})")).join(due, F.col("_d") == F.col("_d_before"), "left")
     opens = calendar.start.hour * 3600 + calendar.start.minute * 60
     inside = F.col("_want") - F.col("_d") * calendar.day_seconds + opens
