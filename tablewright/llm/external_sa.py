@@ -4,8 +4,8 @@ Suffixes are sorted by induction from the left-most smaller suffixes (S*): their
 named, and the string of names is sorted in turn, by the same induction while its alphabet is small and by doubling sorted
 on disk in ranges otherwise. A second induction carries (position, common prefix) tuples through priority queues. Induction
 asks its queues for the smallest symbol first and, within a symbol, for the earliest arrival, so a queue is a first-in
-first-out spool for each symbol, held in memory up to HOLD entries and on disk beyond. The text and all results are memory
-maps in a scratch folder; memory is bounded by HOLD and STEP, not by the text.
+first-out spool for each symbol, held in memory up to HOLD entries and on disk beyond. The text and large arrays are memory maps
+in a scratch folder; memory is bounded by HOLD, STEP and KEEP, not by the text.
 """
 
 from __future__ import annotations
@@ -15,11 +15,21 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Entries a spool holds in memory; entries handled at a time; the largest alphabet that is induced rather than doubled.
-HOLD, STEP, ALPHABET = 1 << 16, 1 << 20, 2048
+#: Entries a spool holds in memory; entries handled at a time; the largest alphabet that is induced rather than doubled; the
+#: least run of a symbol that is handled at once.
+HOLD, STEP, ALPHABET, RUN = 1 << 18, 1 << 20, 2048, 8
+#: Bytes of an array that is kept in memory; a larger one is a memory map.
+KEEP = 48 << 20
 ENTRY = np.dtype([("pos", "<i8"), ("lcp", "<u2")])
 
 
+def scratch(folder: str, name: str, kind: type, n: int) -> np.ndarray:
+    """Zeros, in memory or in a file of the folder."""
+    if n * np.dtype(kind).itemsize <= KEEP:
+        return np.zeros(n, kind)
+    return np.memmap(f"{folder}/{name}", kind, "w+", shape=(n,))
+
+
 class Spool:
     """A first-in first-out queue of entries, on disk beyond HOLD."""
 
@@ -136,10 +146,38 @@ def _sorted_by_induction(text: np.ndarray, symbols: int, stars: np.ndarray, pref
         prev = np.asarray(text[np.maximum(before, 0)]).astype(np.int64)
         queues.induce(prev, before, (before >= 0) & test(prev, c), lcp)
 
+    def runs(queues: _Queues, got: np.ndarray, c: int) -> np.ndarray:
+        """Where all that is in a symbol's spool stands in runs of the symbol, its rounds repeat: each puts the places one to the
+        left, with common prefixes one longer. They are made at once; the last round is returned to be popped as usual."""
+        spool = queues.spools[c]
+        if len(spool) or len(got) > 256:
+            return got
+        reach = np.minimum(got["pos"].min(), STEP // (4 * len(got)))
+        if reach < RUN or (np.asarray(text[got["pos"] - RUN]) != c).any():
+            return got
+        left = np.asarray(text[got["pos"][:, None] - np.arange(1, reach + 1)]) == c
+        rounds = int(np.where(left.all(axis=1), reach, left.argmin(axis=1)).min())
+        if rounds < RUN:
+            return got
+        first = got["lcp"].astype(np.int64)
+        low = int(first.min())
+        if queues.least[c] >= 0:
+            first[0] = min(int(queues.least[c]), int(first[0]))
+        else:
+            first[0] = -1
+        out = np.empty((rounds, len(got)), ENTRY)
+        out["pos"] = got["pos"] - np.arange(1, rounds + 1)[:, None]
+        out["lcp"] = np.minimum(first + np.arange(1, rounds + 1)[:, None], queues.cap)
+        queues.least = np.where(queues.least >= 0, np.minimum(queues.least, min(low, int(out["lcp"].min()))), -1)
+        queues.least[c] = queues.cap
+        spool.put(out.ravel())
+        spool.taken += out.size
+        return out[-1]
+
     for c in range(symbols):
         spool, last = big.spools[c], -1
         while len(spool):
-            got = spool.take()
+            got = runs(big, spool.take(), c)
             pop(big, got["pos"], got["lcp"].astype(np.int64), c, np.greater_equal)
             last = int(got["pos"][-1])
         a, b = int(at[c]), int(at[c + 1])
@@ -153,7 +191,7 @@ def _sorted_by_induction(text: np.ndarray, symbols: int, stars: np.ndarray, pref
     for c in range(symbols - 1, -1, -1):
         spool, last = small.spools[c], -1
         while len(spool):
-            got = spool.take()
+            got = runs(small, spool.take(), c)
             pop(small, got["pos"], got["lcp"].astype(np.int64), c, np.less_equal)
             last = int(got["pos"][-1])
         carry = 0  # of the entry read before: its common prefix with the next one down
@@ -187,10 +225,28 @@ def _stars(text: np.ndarray) -> np.ndarray:
 
 
 def _alike(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Common prefix of the suffixes at a and b, at most `most`."""
+    """Common prefix of the suffixes at a and b, at most `most`; several symbols are compared at a time."""
     out = np.zeros(len(a), np.int64)
     live = np.flatnonzero(most > 0)
-    n = len(text)
+    n, size = len(text), text.dtype.itemsize
+    each = 8 // size
+    if each > 1 and n > each:
+        words = np.ndarray((n - each + 1,), "<u8", buffer=text, strides=(size,))
+        near_end = []
+        while len(live):
+            i, j = a[live] + out[live], b[live] + out[live]
+            ok = np.maximum(i, j) <= n - each
+            near_end.append(live[~ok])
+            live, i, j = live[ok], i[ok], j[ok]
+            apart = words[i] ^ words[j]
+            same = np.full(len(live), each)
+            for k in range(each, 0, -1):
+                same[apart & np.uint64((1 << (8 * size * k)) - 1) != 0] = k - 1
+            out[live] += same
+            live = live[(same == each) & (out[live] < most[live])]
+        live = np.concatenate([live, *near_end])
+        out = np.minimum(out, most)
+        live = live[out[live] < most[live]]
     while len(live):
         i, j = a[live] + out[live], b[live] + out[live]
         ok = (i < n) & (j < n)
@@ -201,21 +257,23 @@ def _alike(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) ->
     return out
 
 
-def _ranges(keys: np.ndarray, folder: str, name: str) -> Iterator[np.ndarray]:
-    """Places of keys in ascending order of key, by ranges that fit into memory."""
-    if len(keys) <= STEP:
-        yield np.argsort(keys, kind="stable")
+def _ranges(keys: np.ndarray, order: np.ndarray, folder: str, name: str) -> Iterator[np.ndarray]:
+    """Places of keys in ascending order of key, by ranges that fit into memory. order: places that are nearly in order."""
+    if len(keys) <= 8 * STEP:
+        own = np.array(order)
+        yield own[np.argsort(keys[own], kind="stable")]
         return
     some = np.sort(np.asarray(keys[:: max(1, len(keys) // 4096)]))
     bounds = np.unique(some[:: max(1, len(some) * STEP // (2 * len(keys)))])
     files = [open(f"{folder}/{name}-range-{k}", "w+b") for k in range(len(bounds) + 1)]  # noqa: SIM115
     for a in range(0, len(keys), STEP):
-        part = np.searchsorted(bounds, np.asarray(keys[a : a + STEP]), side="right")
-        order = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[order], np.arange(len(files) + 1))
+        places = np.array(order[a : a + STEP])
+        part = np.searchsorted(bounds, np.asarray(keys[places]), side="right")
+        by = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[by], np.arange(len(files) + 1))
         for k, f in enumerate(files):
             if cuts[k] < cuts[k + 1]:
-                f.write((order[cuts[k] : cuts[k + 1]] + a).astype("<i8").tobytes())
+                f.write(places[by[cuts[k] : cuts[k + 1]]].astype("<i8").tobytes())
     for f in files:
         f.seek(0)
         places = np.frombuffer(f.read(), "<i8")
@@ -225,18 +283,20 @@ def _ranges(keys: np.ndarray, folder: str, name: str) -> Iterator[np.ndarray]:
             yield places[np.argsort(np.asarray(keys[places]), kind="stable")]
 
 
-def _doubled(names: np.ndarray, cap: int, folder: str, level: str) -> np.ndarray:
-    """Order of the suffixes of names by their first cap names (later ones do not matter)."""
+def _doubled(names: np.ndarray, cap: int, folder: str, level: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Order of the suffixes of names by their first cap names (later ones do not matter), and their ranks by the first 1, 2,
+    4, ... names."""
     n = len(names)
-    rank = np.lib.format.open_memmap(f"{folder}/{level}-rank.npy", "w+", np.int64, (n,))
-    order = np.lib.format.open_memmap(f"{folder}/{level}-order.npy", "w+", np.int64, (n,))
+    rank, order = (scratch(folder, f"{level}-{name}", np.int64, n) for name in ("rank", "order"))
     rank[:] = names
-    width = 1
+    order[:] = np.arange(n)
+    width, before = 1, 0
+    levels = [np.asarray(names)]
     while True:
         keys = rank * (n + 1)
         keys[: n - width] += rank[width:] + 1
         at, count, last = 0, -1, None
-        for places in _ranges(keys, folder, level):
+        for places in _ranges(keys, order, folder, level):
             order[at : at + len(places)] = places
             own = keys[places]
             fresh = np.diff(own, prepend=own[0] if last is None else last) != 0
@@ -246,14 +306,19 @@ def _doubled(names: np.ndarray, cap: int, folder: str, level: str) -> np.ndarray
             rank[places] = ranks
             count, last, at = int(ranks[-1]), own[-1], at + len(places)
         width *= 2
-        if count == n - 1 or width >= cap:
-            return order
+        if count in (n - 1, before) or width >= cap:  # nothing left to tell apart, or nothing was
+            return order, levels
+        held = scratch(folder, f"{level}-rank-{width}", np.int32 if n < 1 << 31 else np.int64, n)
+        held[:] = rank
+        levels.append(held)
+        before = count
 
 
-def _star_order(text: np.ndarray, symbols: int, cap: int, folder: str, level: int) -> np.ndarray:
+def _star_order(text: np.ndarray, symbols: int, cap: int, folder: str, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """S* positions in the order of their suffixes, and the common prefix of each with the one before, at most cap."""
     stars = _stars(text)
     if len(stars) <= 1:
-        return stars
+        return stars, np.zeros(len(stars), np.uint16)
     by_symbol = np.argsort(text[stars], kind="stable")
     seeds = stars[by_symbol]
     big, small = _sorted_by_induction(text, symbols, seeds, np.zeros(len(seeds), np.uint16), 1, folder, f"{level}a")
@@ -267,7 +332,7 @@ def _star_order(text: np.ndarray, symbols: int, cap: int, folder: str, level: in
         s.drop()
     ordered = np.concatenate(ordered)
     if len(ordered) < len(stars):  # the last suffix is its own sentinel and is induced by nothing
-        ordered = np.concatenate([np.setdiff1d(stars, ordered), ordered])
+        ordered = np.concatenate([stars[-1:], ordered])
     ends = np.append(stars[1:], len(text) - 1)
     index = np.searchsorted(stars, ordered)
     sizes = ends[index] - ordered + 1
@@ -279,15 +344,34 @@ def _star_order(text: np.ndarray, symbols: int, cap: int, folder: str, level: in
     names = np.empty(len(stars), np.int64)
     names[index] = np.cumsum(~same) - 1
     if not same.any():
-        return ordered
+        return ordered, _star_prefixes(text, stars, index, [], cap)
     n_names = int(names.max()) + 1
     if n_names < ALPHABET:
         inner = suffixes(np.append(names + 1, 0), n_names + 1, cap, folder, level + 1)
-        order = np.concatenate([x["pos"] for x in inner])
+        order, levels = np.concatenate([x["pos"] for x in inner]), [names]
         order = order[order < len(names)]
     else:
-        order = _doubled(names, cap, folder, f"{level}d")
-    return stars[np.asarray(order)]
+        order, levels = _doubled(names, cap // 2 + 1, folder, f"{level}d")  # a name spans two symbols at least
+    order = np.asarray(order)
+    return stars[order], _star_prefixes(text, stars, order, levels, cap)
+
+
+def _star_prefixes(text: np.ndarray, stars: np.ndarray, order: np.ndarray, levels: list[np.ndarray], cap: int) -> np.ndarray:
+    """Of S* suffixes in order: equal ranks skip many names at once, the rest is compared by symbols."""
+    out = np.zeros(len(order), np.uint16)
+    for a in range(1, len(order), STEP):
+        k = np.arange(a, min(a + STEP, len(order)))
+        i, j = order[k - 1].copy(), order[k].copy()
+        for depth in range(len(levels) - 1, -1, -1):
+            ranks, width = levels[depth], 1 << depth
+            inside = (np.maximum(i, j) + width) < len(order)
+            skip = inside & (np.asarray(ranks[i]) == np.asarray(ranks[j]))
+            i[skip] += width
+            j[skip] += width
+        done = stars[i] - stars[order[k - 1]]
+        most = np.maximum(cap - done, 0)
+        out[k] = np.minimum(done + _alike(text, stars[i], stars[j], most), cap)
+    return out
 
 
 def suffixes(text: np.ndarray, symbols: int, cap: int, folder: str, level: int = 0) -> Iterator[np.ndarray]:
@@ -300,11 +384,7 @@ def suffixes(text: np.ndarray, symbols: int, cap: int, folder: str, level: int =
     if len(text) == 1:
         yield np.zeros(1, ENTRY)
         return
-    stars = _star_order(text, symbols, cap, folder, level)
-    prefixes = np.zeros(len(stars), np.uint16)
-    for a in range(1, len(stars), STEP):
-        k = np.arange(a, min(a + STEP, len(stars)))
-        prefixes[k] = _alike(text, stars[k - 1], stars[k], np.full(len(k), cap))
+    stars, prefixes = _star_order(text, symbols, cap, folder, level)
     big, small = _sorted_by_induction(text, symbols, stars, prefixes, cap, folder, f"{level}b")
     end = np.zeros(1, ENTRY)
     end["pos"] = len(text) - 1

@@ -176,10 +176,14 @@ def _search(batches: Iterator[pa.RecordBatch], length: int, folder: str) -> Iter
     text = np.memmap(f"{folder}/text", "<u2", "r")
     ends = np.cumsum(np.array(sizes, np.int64) + 1) - 1  # the place of each separator
     starts = ends - sizes
-    hit = np.memmap(f"{folder}/hit", np.uint8, "w+", shape=len(text))
+    rows = external_sa.scratch(folder, "rows", np.uint32, len(text))  # the slice at each place
+    for k in range(0, len(ends), 1 << 14):
+        own = np.array(sizes[k : k + (1 << 14)]) + 1
+        rows[starts[k] : starts[k] + own.sum()] = np.repeat(np.arange(k, k + len(own), dtype=np.uint32), own)
+    hit = external_sa.scratch(folder, "hit", np.uint8, len(text))
     alone, total = -1, 0  # of the run of suffixes that may go on: its only window, and how often it occurs so far
     for entries in external_sa.suffixes(text, 258, length, folder):
-        row = np.minimum(np.searchsorted(ends, entries["pos"]), len(ends) - 1)
+        row = rows[entries["pos"]]
         own = ends[row] - entries["pos"] >= length
         cuts = entries["lcp"] < length
         pos, weight, group = entries["pos"][own], counts[row[own]], np.cumsum(cuts)[own]
@@ -269,7 +273,8 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, max_slices: int = M
     # one row a different slice, with one place where it stands
     kinds = shared.groupBy("h", "dg").agg(F.sum("c").alias("n"), F.min(F.struct("key", "a", "b")).alias("at"), F.max("again").alias("again"))
     kinds = common.saved(kinds, "slice-kinds")
-    mixed = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.max("again").alias("again")).where("kinds > 1 or again").drop("again")
+    mixed = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.max("again").alias("again"), F.min("n").alias("least"))
+    mixed = mixed.where("least = 1 and (kinds > 1 or again)").select("h", "kinds")  # kinds that occur twice are settled
     whole = kinds.where("n > 1").select(F.col("h").alias("_h"), F.col("dg").alias("_dg"))
     same = shared.join(whole, (F.col("h") == F.col("_h")) & (F.col("dg") == F.col("_dg"))).select("key", "a", (F.col("b") + length).alias("b"))
     wanted = kinds.join(mixed, "h").select("h", "n", "kinds", F.col("at.key").alias("key"), F.col("at.a").alias("a"), F.col("at.b").alias("b"))

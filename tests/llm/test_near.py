@@ -126,9 +126,9 @@ def test_repeats_of_odd_rows(odd):
     assert got[(3, 441)] == 441 and got[(5, 300_000)] == 300_000 and got[(1, 0)] == 0
 
 
-@pytest.mark.parametrize(("step", "hold", "alphabet"), [(1 << 20, 1 << 16, 2048), (16, 4, 2048), (16, 4, 3)])
+@pytest.mark.parametrize(("step", "hold", "alphabet"), [(1 << 20, 1 << 18, 2048), (16, 4, 2048), (16, 4, 3)])
 def test_external_suffixes(tmp_path, monkeypatch, step, hold, alphabet):
-    for name, value in (("STEP", step), ("HOLD", hold), ("ALPHABET", alphabet)):
+    for name, value in (("STEP", step), ("HOLD", hold), ("ALPHABET", alphabet), ("KEEP", hold)):
         monkeypatch.setattr(external_sa, name, value)
     rng = np.random.default_rng(4)
     for k in range(60):
