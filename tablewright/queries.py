@@ -642,3 +642,167 @@ def rule_flags_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rule_flags_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exceptions.orders(table(spark, sf_dir, "orders").withColumn("order_value", F.col("o_totalprice")))
     return rows.select("o_orderkey", F.array_join("exceptions", ",").alias("codes"))
+
+
+# -------------------------------------------------------------------------- sources
+def _nation_cells(spark: SparkSession, sf_dir: str) -> list[list[str]]:
+    rows = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # 25 rows
+    return [["Nation Key", "Name", "Region Key"], *[[str(r["n_nationkey"]), r["n_name"], str(r["n_regionkey"])] for r in rows]]
+
+
+_SQL_NATION = """SELECT row_number() OVER (ORDER BY n_nationkey) AS _source_row, CAST(n_nationkey AS VARCHAR) AS nation_key, n_name AS name, CAST(n_regionkey AS VARCHAR) AS region_key FROM nation"""
+
+
+def _named(df: DataFrame) -> DataFrame:
+    return df.toDF(*[c if c == ROW else names.standard(c) for c in df.columns])
+
+
+@query("src_csv_scan", _SQL_NATION)
+def src_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Semicolons, a title above the header, another encoding."""
+    from tablewright.sources.load import for_upload
+
+    text = "List of nations;;\n" + "\n".join(";".join(r) for r in _nation_cells(spark, sf_dir)) + "\n"
+    return _named(for_upload(spark, "nation.csv", text.encode("utf-16")).table()[0])
+
+
+@query("src_workbook_scan", _SQL_NATION)
+def src_workbook_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import os
+    import tempfile
+
+    from tablewright.sources import workbook
+    from tablewright.sources.load import for_upload
+
+    header, *rows = _nation_cells(spark, sf_dir)
+    handle, path = tempfile.mkstemp(suffix=".xlsx")
+    os.close(handle)
+    workbook.write(path, {"Nations": (header, rows)})
+    with open(path, "rb") as f:
+        content = f.read()
+    os.unlink(path)
+    return _named(for_upload(spark, "nation.xlsx", content).table()[0])
+
+
+@query("src_sheets_scan", _SQL_NATION)
+def src_sheets_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablewright.sources.load import Sheets
+
+    cells = _nation_cells(spark, sf_dir)
+
+    class Client:
+        def worksheets(self) -> list[str]:
+            return ["Nations"]
+
+        def values(self, title: str) -> list[list[str]]:
+            return cells
+
+    return _named(Sheets(spark, Client()).table()[0])
+
+
+@query("src_sql_scan", "SELECT n_regionkey, count(*) AS n FROM nation WHERE n_regionkey < 3 GROUP BY 1")
+def src_sql_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablewright.sources.load import Sql
+
+    table(spark, sf_dir, "nation").createOrReplaceTempView("tablewright_nation")
+    source = Sql(spark, query="select n_regionkey, count(*) as n from tablewright_nation where n_regionkey < :below group by 1", params={"below": 3})
+    return source.table()[0].drop(ROW)
+
+
+@query("src_row_numbers", "SELECT count(*) AS n, CAST(min(event_id) - min(event_id) + 1 AS BIGINT) AS first, count(*) AS last, count(*) AS different FROM events")
+def src_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablewright.operators.rows import numbered
+
+    rows = numbered(table(spark, sf_dir, "events").repartition(5))
+    return rows.agg(F.count("*").alias("n"), F.min(ROW).alias("first"), F.max(ROW).alias("last"), F.count_distinct(ROW).alias("different"))
+
+
+@query("src_preview", "SELECT o_orderkey FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 7)")
+def src_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey")).orderBy("o_orderkey").limit(7)
+
+
+# -------------------------------------------------------------- reports and summaries
+@query("dq_metrics", f"""WITH t AS ({SQL_PARSED}) SELECT
+ CAST(round((count(*) FILTER (b_branch) + count(*) FILTER (b_department)) / (6 * count(*)) * 100, 2) AS DOUBLE) AS missing_values_pct,
+ CAST(round((count(*) - count(DISTINCT request_id)) / count(*) * 100, 2) AS DOUBLE) AS duplicate_pct,
+ CAST(round(count(*) FILTER (v_created IS NULL) / (count(created_at) + count(completed_at)) * 100, 2) AS DOUBLE) AS invalid_dates_pct,
+ CAST(round(count(*) FILTER (v_value IS NULL) / count(order_value) * 100, 2) AS DOUBLE) AS invalid_numbers_pct,
+ CAST(round(count(*) FILTER (k_priority = 'urgent') / (2 * count(*)) * 100, 2) AS DOUBLE) AS invalid_categories_pct FROM t""")
+def dq_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _validator().validate(dirty(spark, sf_dir), "orders").metrics
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"{k} double" for k in found))
+
+
+@query("dq_checks_table", f"""WITH i AS ({_SQL_ISSUES}) SELECT "check", nullif("column", '(row)') AS "column", count(*) AS failed FROM i GROUP BY 1, 2""")
+def dq_checks_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _validator().validate(dirty(spark, sf_dir), "orders").checks_frame().where("failed > 0").select("check", "column", "failed")
+
+
+@query("dq_required_columns", "SELECT 'required_columns' AS name, 'error' AS severity, 7 AS checked, 2 AS failed, true AS blocking")
+def dq_required_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "nation").select(F.col("n_name").alias("Branch"), F.lit("1").alias("SKU"), F.lit("c").alias("category"), F.lit("2").alias("qty"), F.lit("x").alias("invoice_no"))
+    [found] = [r for r in _validator().validate(rows, "sales").results if r.name == "required_columns"]
+    return spark.createDataFrame([(found.name, found.severity, found.checked, found.failed, found.blocking)], "name string, severity string, checked int, failed int, blocking boolean")
+
+
+@query("dq_unexpected_columns", "SELECT 'unexpected_columns' AS name, 'error' AS severity, 4 AS checked, 2 AS failed")
+def dq_unexpected_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    strict = Catalog({"p": contract({"allow_unexpected_columns": False, "columns": {"p_partkey": {"type": "integer"}, "p_size": {"type": "integer"}}})}, _RANGES.weights)
+    report = Validator(strict).validate(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand", "p_type"), "p")
+    [found] = [r for r in report.results if r.name == "unexpected_columns"]
+    return spark.createDataFrame([(found.name, found.severity, found.checked, found.failed)], "name string, severity string, checked int, failed int")
+
+
+@query("dq_detect_dataset", "SELECT * FROM (VALUES ('orders', 'orders'), ('nation', NULL)) t(source, detected)")
+def dq_detect_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = load_catalog().contracts
+    return spark.createDataFrame([("orders", names.guess(dirty(spark, sf_dir).columns, known)), ("nation", names.guess(table(spark, sf_dir, "nation").columns, known))], "source string, detected string")
+
+
+@query(
+    "clean_column_changes",
+    f"""WITH c AS ({SQL_REASONS}) SELECT 'branch' AS "column", 'string' AS type_before, 'string' AS type_after, count(*) FILTER (b_branch) AS missing_before, CAST(0 AS BIGINT) AS missing_after FROM c
+    UNION ALL SELECT 'order_value', 'string', 'double', count(*) FILTER (order_value IS NULL), count(*) FILTER (len(reasons) = 0 AND v_value IS NULL) FROM c""",
+)
+def clean_column_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _cleaner().clean(dirty(spark, sf_dir), "orders").column_changes()
+    return out.where(F.col("column").isin("branch", "order_value")).select("column", "type_before", "type_after", "missing_before", "missing_after")
+
+
+@query(
+    "clean_steps",
+    f"""WITH c AS ({SQL_CLEAN}) SELECT 'Trim whitespace' AS step, count(*) FILTER (branch <> trim(branch)) + count(*) FILTER (priority <> trim(priority)) AS cells FROM c
+    UNION ALL SELECT 'Placeholders → missing', count(*) FILTER (b_branch) + count(*) FILTER (order_value = 'N/A') FROM c
+    UNION ALL SELECT 'Convert data types', count(*) FILTER (v_created IS NULL) + count(*) FILTER (v_value IS NULL AND order_value <> 'N/A') FROM c""",
+)
+def clean_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = ["Trim whitespace", "Placeholders → missing", "Convert data types"]
+    return _cleaner().clean(dirty(spark, sf_dir), "orders").steps_frame().where(F.col("step").isin(wanted)).select("step", "cells")
+
+
+@query("clean_fill_defaults", "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 0.0 ELSE CAST(p_size AS DOUBLE) END AS discount FROM part")
+def clean_fill_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = Catalog({"p": contract({"columns": {"p_partkey": {"type": "integer", "required": True}, "discount": {"type": "percent", "default": 0}}})}, _RANGES.weights)
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias(ROW), "p_partkey", F.when(F.col("p_partkey") % 4 == 0, "n/a").otherwise(F.concat(F.col("p_size").cast("string"), F.lit("%"))).alias("Discount"))
+    return Cleaner(own).clean(rows, "p").data.select("p_partkey", "discount")
+
+
+@query("clean_remove_duplicates", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY regexp_replace(trim(text), '\\s+', ' ', 'g'), lang ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
+def clean_remove_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias(ROW), "text", F.col("lang"))
+    own = Catalog({"d": contract({"columns": {"text": {"type": "string"}, "lang": {"type": "string"}}})}, _RANGES.weights)
+    return Cleaner(own).clean(docs, "d").data.select(F.col(ROW).alias("doc_id"))
+
+
+@query(
+    "stream_row_checks",
+    "SELECT 'negative_values(value)' AS \"check\", count(*) FILTER (event_id % 3 = 0 AND value <> 0) AS n FROM events",
+)
+def stream_row_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The expressions of the streaming checks, on a table."""
+    from tablewright.streaming.checks import annotate
+
+    own = Catalog({"e": contract({"columns": {"value": {"type": "float", "min": 0}}})}, _RANGES.weights)
+    events = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 3 == 0, -F.abs("value")).otherwise(F.abs("value")).alias("value"))
+    return annotate(events, own, "e").select(F.explode("_failed").alias("check")).groupBy("check").agg(F.count("*").alias("n"))
