@@ -139,7 +139,7 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
         return fit(np.zeros((0, BUCKETS)), [])
     first = None
     for lang in langs:
-        part = ids.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_lang)
+        part = common.lowest(ids.where(F.col("lang") == lang), per_lang, "doc_id")
         first = part if first is None else first.union(part)
     wanted = sorted({r["doc_id"] for r in first.collect()})
     rows = own.where(F.col("doc_id").isin(wanted)).select("lang", "text").mapInArrow(_bits, "lang string, bits binary").collect()

@@ -64,7 +64,9 @@ def train(docs: DataFrame, tokenizer: str, end_id: int, sample: int = SAMPLE) ->
 
     enc = tokens.encoder(tokenizer)
     width = 2 if max(len(enc.opens), end_id + 1) <= 1 << 16 else 4
-    rows = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
+    keys = [r["doc_id"] for r in common.lowest(docs.select("doc_id").where("doc_id is not null"), sample, "doc_id").collect()]
+    rows = docs.where(F.col("doc_id").isin(keys)).select("doc_id", "text").limit(2 * sample).collect()
+    rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))
     ids = [np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() for x in enc.ids([r["text"] or "" for r in rows])]
     try:
         made = zstandard.train_dictionary(DICT_BYTES, [x for x in ids if x]).as_bytes()
