@@ -28,13 +28,23 @@ class Cell:
         return ~self.blank & ~self.invalid
 
 
+def tidy(c: Column) -> Column:
+    """Whether a text is ASCII without white space but single spaces inside: nothing to strip or collapse. Byte tests only, so
+    that most cells meet no pattern."""
+    out = (F.octet_length(c) == F.char_length(c)) & ~c.startswith(" ") & ~c.endswith(" ") & ~c.contains("  ")
+    for mark in WHITE:
+        if mark < "\x7f" and mark != " ":
+            out = out & ~c.contains(mark)
+    return out
+
+
 def strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(WHITE))
+    return F.when(tidy(c), c).otherwise(F.btrim(c, F.lit(WHITE)))
 
 
 def squeeze(c: Column) -> Column:
     """Stripped, with inner white space collapsed to one space."""
-    return F.regexp_replace(strip(c), f"[{WHITE}]+", " ")
+    return F.when(tidy(c), c).otherwise(F.regexp_replace(F.btrim(c, F.lit(WHITE)), f"[{WHITE}]+", " "))
 
 
 def key(c: Column) -> Column:
@@ -63,7 +73,9 @@ def number(c: Column, kind: T.DataType | None = None) -> Cell:
         return Cell(F.lit(None).cast("double"), empty, ~empty)
     text = F.regexp_replace(F.regexp_replace(c, f"[,{WHITE}{CURRENCY}]", ""), "%$", "")
     text = F.when(text.rlike(r"^\(.*\)$"), F.concat(F.lit("-"), F.btrim(text, F.lit("()")))).otherwise(text)
-    value = F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    last = F.substring(c, -1, 1)  # plain digits need no pattern; a cast alone would take 5d and hexadecimal
+    plain = F.when(last.between("0", "9") & ~F.lower(c).contains("x"), c.try_cast("double"))
+    value = F.coalesce(plain, F.when(text.rlike(_NUMBER), text.try_cast("double")))
     return Cell(value, empty, ~empty & value.isNull())
 
 
@@ -80,6 +92,7 @@ def timestamp(c: Column, *, dayfirst: bool = True) -> Column:
     """The closed list of date forms: ISO-8601 (also yyyy, yyyy-MM, yyyyMMdd, yyyy/M/d), day and month in either order with
     - / or . (the other order where the preferred one is impossible), and months by name; each with an optional time of day.
     Times alone and words such as today are not dates."""
+    usual = F.when((F.char_length(c) == 10) & (F.substring(c, 5, 1) == "-") & (F.substring(c, 8, 1) == "-"), c.try_cast("date").cast("timestamp_ntz"))
     parts = r"^(\S.*?)(?:(?<=\d)(?: +|T)(\d{1,2}:\d{2}.*))?$"
     text = strip(c)
     day, clock = F.regexp_extract(text, parts, 1), _clock(F.regexp_extract(text, parts, 2))
@@ -93,7 +106,7 @@ def timestamp(c: Column, *, dayfirst: bool = True) -> Column:
     month = F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.substring(name, 6, 3)))
     numbered = F.concat(F.substring(name, 1, 5), ((month + 2) / 3).cast("int").cast("string"), F.substring(name, 9, 3))
     by_name = F.when(name.rlike(r"^\d{4}-[A-Za-z]{3}-\d{1,2}$") & (month % 3 == 1), numbered.try_cast("date"))
-    return F.concat(F.coalesce(by_iso, by_order, by_name).cast("string"), clock).try_cast("timestamp_ntz")
+    return F.coalesce(usual, F.concat(F.coalesce(by_iso, by_order, by_name).cast("string"), clock).try_cast("timestamp_ntz"))
 
 
 def date(c: Column, kind: T.DataType | None = None, *, time: bool = False, dayfirst: bool = True) -> Cell:

@@ -184,11 +184,12 @@ class Cleaner:
         lost = lambda c, old, new: old.isNotNull() & new.isNull()
         if cfg.trim_whitespace:
             frame = change(frame, "trim", {c: values.squeeze(quoted(c)) for c in texts}, differs)
-        bare = {c: values.strip(quoted(c)) for c in texts}
-        gone = {c: F.when((b != "") & ~F.lower(b).isin(list(cfg.placeholder_values)), quoted(c)) for c, b in bare.items()}
+        stripped = {c: quoted(c) if cfg.trim_whitespace else values.strip(quoted(c)) for c in texts}
+        gone = {c: F.when((b != "") & ~F.lower(b).isin(list(cfg.placeholder_values)), quoted(c)) for c, b in stripped.items()}
         frame = change(frame, "placeholders", gone, lost)
         if cfg.remove_duplicate_rows:
-            frame = repeats(frame, [values.strip(quoted(c).cast("string")) for c in work], "_copy")
+            bare = [quoted(c) if c in texts and cfg.trim_whitespace else values.strip(quoted(c).cast("string")) for c in work]
+            frame = repeats(frame, bare, "_copy")
         else:
             frame = frame.withColumn("_copy", F.lit(False))
         frame = self._keep(frame)

@@ -25,10 +25,10 @@ def numbered(df: DataFrame, name: str = ROW) -> DataFrame:
     return placed.join(offsets, "_pid", "left").select((F.col("_at") + F.col("_base")).alias(name), *[F.col(f"`{c}`") for c in df.columns])
 
 
-def digest(columns: Sequence[Column]) -> Column:
-    """128 bits of some values; NULL differs from every value."""
+def digest(columns: Sequence[Column]) -> tuple[Column, Column]:
+    """128 bits of some values, as two longs; NULL differs from every value."""
     marked = [x for c in columns for x in (c.isNull(), c)]
-    return F.struct(F.xxhash64(*marked).alias("a"), F.xxhash64(F.lit("salt"), *marked).alias("b"))
+    return F.xxhash64(*marked), F.xxhash64(F.lit("salt"), *marked)
 
 
 def repeats(df: DataFrame, key: Sequence[Column], name: str, among: Column | None = None, row: str = ROW, base: DataFrame | None = None) -> DataFrame:
@@ -36,9 +36,12 @@ def repeats(df: DataFrame, key: Sequence[Column], name: str, among: Column | Non
     combines before it shuffles (over base, where that is a cheaper frame with the same rows); rows then meet it in a join that
     splits hot keys."""
     among = F.lit(True) if among is None else among
-    marked = df.withColumn("_key", F.when(among, digest(key)))
-    source = marked if base is None else base.withColumn("_key", F.when(among, digest(key)))
-    first = source.where("_key is not null").groupBy("_key").agg(F.min(row).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    first = first.select(F.col("_key.a").alias("_a"), F.col("_key.b").alias("_b"), "_first")
-    joined = marked.join(first, (F.col("_key.a") == F.col("_a")) & (F.col("_key.b") == F.col("_b")), "left")
-    return joined.withColumn(name, F.coalesce(F.col("_first") < F.col(row), F.lit(False))).drop("_key", "_a", "_b", "_first")
+
+    def marked(frame: DataFrame) -> DataFrame:
+        a, b = digest(key)
+        return frame.withColumns({"_key_a": F.when(among, a), "_key_b": F.when(among, b)})
+
+    first = marked(df if base is None else base).where("_key_a is not null").groupBy("_key_a", "_key_b").agg(F.min(row).alias("_first"), F.count("*").alias("_n"))
+    first = first.where("_n > 1").select(F.col("_key_a").alias("_a"), F.col("_key_b").alias("_b"), "_first")
+    joined = marked(df).join(first, (F.col("_key_a") == F.col("_a")) & (F.col("_key_b") == F.col("_b")), "left")
+    return joined.withColumn(name, F.coalesce(F.col("_first") < F.col(row), F.lit(False))).drop("_key_a", "_key_b", "_a", "_b", "_first")
