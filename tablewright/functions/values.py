@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
 #: The currency signs that numbers may carry.
 CURRENCY = "₹$€£"
+#: How a date may start; only such text is looked at further.
+_DATED = rf"^[{WHITE}]*(\d{{4}}([{WHITE}]|$)|\d{{8}}|\d{{4}}[-/.]\d|\d{{1,2}}[-/.]\d{{1,2}}[-/.]\d|\d{{1,2}}[- ][A-Za-z]{{3}}|[A-Za-z]{{3,9}}[ -]\d)"
 _NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))$"
 
 
@@ -28,14 +30,14 @@ class Cell:
         return ~self.blank & ~self.invalid
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once and the code of use kept apart; for parts that few cells reach."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def tidy(c: Column) -> Column:
-    """Whether a text is ASCII without white space but single spaces inside: nothing to strip or collapse. Byte tests only, so
-    that most cells meet no pattern."""
-    out = (F.octet_length(c) == F.char_length(c)) & ~c.startswith(" ") & ~c.endswith(" ") & ~c.contains("  ")
-    for mark in WHITE:
-        if mark < "\x7f" and mark != " ":
-            out = out & ~c.contains(mark)
-    return out
+    """Whether a text is ASCII without white space but single spaces inside: nothing to strip or collapse."""
+    return (F.octet_length(c) == F.char_length(c)) & ~c.rlike(r"[\t-\r\x1c-\x1f]|^ | $|  ")
 
 
 def strip(c: Column) -> Column:
@@ -61,6 +63,12 @@ def blank(c: Column, kind: T.DataType | None = None) -> Column:
     return c.isNull() | (strip(c) == "")
 
 
+def _dressed(text: Column) -> Column:
+    """A number without separators and signs of currency; parentheses make it negative."""
+    signed = F.when(text.rlike(r"^\(.*\)$"), F.concat(F.lit("-"), F.btrim(text, F.lit("()")))).otherwise(text)
+    return F.when(signed.rlike(_NUMBER), signed.try_cast("double"))
+
+
 def number(c: Column, kind: T.DataType | None = None) -> Cell:
     """Numbers with thousands separators, currency signs, a per cent sign, or parentheses for negatives."""
     empty = blank(c, kind)
@@ -71,11 +79,9 @@ def number(c: Column, kind: T.DataType | None = None) -> Cell:
         return Cell(F.nullif(value, F.lit(float("nan"))), empty, F.lit(False))
     if kind is not None and not isinstance(kind, T.StringType):
         return Cell(F.lit(None).cast("double"), empty, ~empty)
-    text = F.regexp_replace(F.regexp_replace(c, f"[,{WHITE}{CURRENCY}]", ""), "%$", "")
-    text = F.when(text.rlike(r"^\(.*\)$"), F.concat(F.lit("-"), F.btrim(text, F.lit("()")))).otherwise(text)
     last = F.substring(c, -1, 1)  # plain digits need no pattern; a cast alone would take 5d and hexadecimal
     plain = F.when(last.between("0", "9") & ~F.lower(c).contains("x"), c.try_cast("double"))
-    value = F.coalesce(plain, F.when(text.rlike(_NUMBER), text.try_cast("double")))
+    value = F.coalesce(plain, F.when(~empty, let(F.regexp_replace(F.regexp_replace(c, f"[,{WHITE}{CURRENCY}]", ""), "%$", ""), _dressed)))
     return Cell(value, empty, ~empty & value.isNull())
 
 
@@ -88,13 +94,8 @@ def _clock(t: Column) -> Column:
     return F.when(t == "", F.lit("")).when(hour.isNotNull(), F.concat(F.lit(" "), F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), part(2), F.lit(":"), second))
 
 
-def timestamp(c: Column, *, dayfirst: bool = True) -> Column:
-    """The closed list of date forms: ISO-8601 (also yyyy, yyyy-MM, yyyyMMdd, yyyy/M/d), day and month in either order with
-    - / or . (the other order where the preferred one is impossible), and months by name; each with an optional time of day.
-    Times alone and words such as today are not dates."""
-    usual = F.when((F.char_length(c) == 10) & (F.substring(c, 5, 1) == "-") & (F.substring(c, 8, 1) == "-"), c.try_cast("date").cast("timestamp_ntz"))
+def _written(text: Column, dayfirst: bool) -> Column:
     parts = r"^(\S.*?)(?:(?<=\d)(?: +|T)(\d{1,2}:\d{2}.*))?$"
-    text = strip(c)
     day, clock = F.regexp_extract(text, parts, 1), _clock(F.regexp_extract(text, parts, 2))
     plain = F.regexp_replace(F.regexp_replace(day, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"), "[/.]", "-")
     by_iso = F.when(plain.rlike(r"^\d{4}(-\d{1,2}){0,2}$"), plain.try_cast("date"))
@@ -106,7 +107,15 @@ def timestamp(c: Column, *, dayfirst: bool = True) -> Column:
     month = F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.substring(name, 6, 3)))
     numbered = F.concat(F.substring(name, 1, 5), ((month + 2) / 3).cast("int").cast("string"), F.substring(name, 9, 3))
     by_name = F.when(name.rlike(r"^\d{4}-[A-Za-z]{3}-\d{1,2}$") & (month % 3 == 1), numbered.try_cast("date"))
-    return F.coalesce(usual, F.concat(F.coalesce(by_iso, by_order, by_name).cast("string"), clock).try_cast("timestamp_ntz"))
+    return F.concat(F.coalesce(by_iso, by_order, by_name).cast("string"), clock).try_cast("timestamp_ntz")
+
+
+def timestamp(c: Column, *, dayfirst: bool = True) -> Column:
+    """The closed list of date forms: ISO-8601 (also yyyy, yyyy-MM, yyyyMMdd, yyyy/M/d), day and month in either order with
+    - / or . (the other order where the preferred one is impossible), and months by name; each with an optional time of day.
+    Times alone and words such as today are not dates."""
+    usual = F.when((F.char_length(c) == 10) & (F.substring(c, 5, 1) == "-") & (F.substring(c, 8, 1) == "-"), c.try_cast("date").cast("timestamp_ntz"))
+    return F.coalesce(usual, F.when(c.rlike(_DATED), let(F.btrim(c, F.lit(WHITE)), lambda text: _written(text, dayfirst))))
 
 
 def date(c: Column, kind: T.DataType | None = None, *, time: bool = False, dayfirst: bool = True) -> Cell:

@@ -37,7 +37,7 @@ def _parsed(c: Column, k: int, kind: T.DataType) -> dict[str, Column]:
     if not isinstance(kind, T.StringType):
         return {}
     text = values.strip(c)
-    bare = F.regexp_replace(F.regexp_replace(text, ",", ""), "%+$", "")
+    bare = F.regexp_replace(F.regexp_replace(c, ",", ""), rf"%+[{values.WHITE}]*$", "")
     return {f"_text_{k}": text, f"_number_{k}": values.number(bare).value, f"_moment_{k}": values.timestamp(c, dayfirst=False)}
 
 
