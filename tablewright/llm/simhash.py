@@ -10,6 +10,10 @@ Narrow fingerprints (64 bits, a small radius) have tiles by the counts of either
 inside a tile. Wide ones (128 bits) are for similarities far from 1, where a link may differ in a fifth of the bits: their
 tiles are bands of the total count, and the comparison is quadratic in the number of different texts.
 
+keep_one() drops documents, so there a link of fingerprints is only a candidate: the texts of each group of candidates are
+compared, and two are near copies when the sets of their shingles have a Jaccard similarity of SIMILAR or more. A group of more
+than TEXTS bytes or MEMBERS texts is cut into chunks, and every two chunks meet in a task. Pairs already joined by verified links are skipped.
+
 A null text is empty; a text without words has fingerprint zero and links like any other. Repeated rows get a row each. Rows
 with a null doc_id get the smallest doc_id they reach, null if there is none. An empty table gives no rows.
 """
@@ -30,6 +34,8 @@ WORDS, RADIUS, SEED = 3, 3, 42
 #: Words and radius (of 128 bits) for a Jaccard similarity of 0.8 or more: such pairs differ in 19.4 bits or fewer in the mean,
 #: with a deviation of 4; unrelated texts differ in 64, with a deviation of 5.7.
 WIDE_WORDS, WIDE_RADIUS = 5, 27
+#: Jaccard similarity of near copies; bytes and texts of a group that meet as one chunk.
+SIMILAR, TEXTS, MEMBERS = 0.8, 1 << 25, 1 << 13
 #: Fingerprints of a tile that one task compares at home; pairs compared at a time.
 BLOCK, CHUNK = 1 << 17, 1 << 17
 
@@ -207,12 +213,9 @@ def _link(radius: int, lanes: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, *, words: int = WORDS, radius: int = RADIUS, lanes: int = 1, block: int = BLOCK) -> DataFrame:
-    """Rows: doc_id, fp0 [, fp1], component_id (the smallest doc_id reachable by links)."""
-    spark, names = docs.sparkSession, _lanes(lanes)
-    rows = common.saved(fingerprints(docs, words, lanes), "fingerprints")
-    firsts = rows.groupBy(*names).agg(F.min("doc_id").alias("first_doc")).withColumn("node", F.monotonically_increasing_id())
-    firsts = common.saved(firsts, "distinct-fingerprints")
+def _grouped(firsts: DataFrame, radius: int, lanes: int, block: int) -> DataFrame:
+    """firsts: node, fp0 [, fp1], no fingerprint twice. Rows: node, root, for nodes with links."""
+    names = _lanes(lanes)
     ones = sum((F.bit_count(c).cast("int") for c in names), F.lit(0))
     tile = F.bit_count(F.shiftrightunsigned("fp0", 32)).cast("int") * SIDE + F.bit_count(F.col("fp0").bitwiseAND(F.lit(0xFFFFFFFF))).cast("int")
     if lanes > 1:
@@ -224,24 +227,117 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, radius: int = RADIUS
         tiles[t] = (at, -(-n // each))
         at += tiles[t][1]
     routed = firsts.select("node", *names).mapInArrow(_route(tiles, radius, lanes), "block long, home boolean, node long" + "".join(f", {c} long" for c in names))
-    edges = routed.groupBy("block").applyInArrow(_link(radius, lanes), "u long, v long")
-    roots = components(edges)
-    joined = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return components(routed.groupBy("block").applyInArrow(_link(radius, lanes), "u long, v long"))
+
+
+def near_duplicates(docs: DataFrame, *, words: int = WORDS, radius: int = RADIUS, lanes: int = 1, block: int = BLOCK) -> DataFrame:
+    """Rows: doc_id, fp0 [, fp1], component_id (the smallest doc_id reachable by links)."""
+    spark, names = docs.sparkSession, _lanes(lanes)
+    rows = common.saved(fingerprints(docs, words, lanes), "fingerprints")
+    firsts = rows.groupBy(*names).agg(F.min("doc_id").alias("first_doc")).withColumn("node", F.monotonically_increasing_id())
+    firsts = common.saved(firsts, "distinct-fingerprints")
+    joined = firsts.join(_grouped(firsts, radius, lanes, block), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = joined.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     classes = joined.join(least, "root").select(*[F.col(c).alias("_" + c) for c in names], "component_id")
     on = [rows[c] == classes["_" + c] for c in names]
     return rows.join(classes, on).select("doc_id", *names, "component_id")
 
 
+def shingles(text: str, words: int = WIDE_WORDS) -> np.ndarray:
+    """Sorted hashes of the different shingles of a text; a text of fewer words is one shingle, one without words has none."""
+    import xxhash
+
+    parts = text.encode().lower().split()
+    k = min(words, len(parts))
+    return np.unique(np.array([xxhash.xxh3_64_intdigest(b" ".join(parts[i : i + k]), SEED) for i in range(len(parts) - k + 1) if parts], np.uint64))
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> bool:
+    """Whether two sets of shingles have a Jaccard similarity of least or more; two empty sets are equal."""
+    low, high = sorted((len(a), len(b)))
+    if low < least * high:  # the smaller within the larger is not enough
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (low + high - both)
+
+
+def _digests(words: int, lanes: int):
+    """Fingerprint of each text, and a 128-bit digest of its words: texts of one digest are the same words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            texts = common.texts_of(batch.column("text"))
+            found = np.array([fingerprint(t, words, lanes) for t in texts], np.uint64).reshape(-1, lanes)
+            own = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(t.encode().lower().split()), SEED) for t in texts), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_pydict(
+                {"_row": batch.column("_row"), "doc_id": batch.column("doc_id"), "size": pa.array([len(t.encode()) for t in texts], pa.int64())}
+                | {c: pa.array(found[:, i].copy().view(np.int64)) for i, c in enumerate(_lanes(lanes))}
+                | {f"d{i}": pa.array(own[:, i].copy()) for i in range(2)}
+            )
+
+    return run
+
+
+def verified(fps: np.ndarray, sets: list[np.ndarray], chunk: np.ndarray, radius: int) -> np.ndarray:
+    """Label of each text: the first place in its group by links between texts of two chunks (of one, if there is only one) whose
+    fingerprints are within the radius and whose shingles are similar."""
+    label, one = np.arange(len(fps)), len(fps) > 0 and (chunk == chunk[0]).all()
+    for i in range(len(fps) - 1):
+        apart = np.bitwise_count(fps[i + 1 :] ^ fps[i]).sum(axis=1, dtype=np.int64)
+        near = apart <= radius
+        if not one:
+            near &= chunk[i + 1 :] != chunk[i]
+        for j in (np.flatnonzero(near & (label[i + 1 :] != label[i])) + i + 1).tolist():
+            if label[i] != label[j] and similar(sets[i], sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label[label == high] = low
+    return label
+
+
+def _verify(words: int, radius: int, lanes: int):
+    def run(table: pa.Table) -> pa.Table:
+        node = table["node"].to_numpy()
+        sets = [shingles(t or "", words) for c in table["text"].chunks for t in c.to_pylist()]
+        label = verified(_read(table, lanes), sets, table["chunk"].to_numpy(), radius)
+        moved = label != np.arange(len(label))
+        return pa.table({"u": pa.array(node[moved], pa.int64()), "v": pa.array(node[label[moved]], pa.int64())})
+
+    return run
+
+
+def near_copies(keyed: DataFrame, *, words: int = WIDE_WORDS, radius: int = WIDE_RADIUS, lanes: int = 2, block: int = BLOCK, texts: int = TEXTS) -> DataFrame:
+    """keyed: _row (no value twice), doc_id, text. Rows: _row, doc_id, root: the row that stands for its group of near copies."""
+    names, own = _lanes(lanes), ["d0", "d1"]
+    schema = "_row long, doc_id long, size long" + "".join(f", {c} long" for c in [*names, *own])
+    cast = keyed.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = common.saved(cast.mapInArrow(_digests(words, lanes), schema), "digests")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))["_row"].alias("node")
+    nodes = common.saved(rows.groupBy(*own, *names).agg(first, F.max("size").alias("size")), "distinct-texts")
+    prints = common.saved(nodes.groupBy(*names).agg(F.min("node").alias("node"), F.count("*").alias("n"), F.sum("size").alias("sizes")), "distinct-fingerprints")
+    grouped = prints.join(_grouped(prints, radius, lanes, block), "node", "left").withColumn("group", F.coalesce("root", "node"))
+    groups = grouped.groupBy("group").agg(F.sum("n").alias("n"), F.sum("sizes").alias("sizes")).where("n > 1")
+    groups = groups.select("group", F.ceil(F.greatest(F.col("sizes") / texts, F.col("n") / MEMBERS)).cast("int").alias("chunks"))
+    members = nodes.join(grouped.select(*names, "group"), names).join(groups, "group")
+    members = common.saved(members.select("group", "chunks", "node", *names, F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk")), "candidates")
+    held = members.join(keyed.select(F.col("_row").alias("node"), "text"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    pairs = held.withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")})
+    edges = pairs.groupBy("group", "low", "high").applyInArrow(_verify(words, radius, lanes), "u long, v long")
+    stands = nodes.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return rows.join(stands.select(*own, *names, "root"), [*own, *names]).select("_row", "doc_id", "root")
+
+
 def keep_one(docs: DataFrame, *, words: int = WIDE_WORDS, radius: int = WIDE_RADIUS, lanes: int = 2) -> DataFrame:
-    """The rows of docs without near duplicates: of each group the row with the smallest doc_id (of rows that repeat it, the
-    one with the smallest text hash). Rows with a null doc_id cannot be told apart and all stay."""
-    found = near_duplicates(docs, words=words, radius=radius, lanes=lanes)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    """The rows of docs without near copies (verified, see near_copies): of each group the row with the smallest doc_id (of rows
+    that repeat it, the one with the smallest text hash). Rows with a null doc_id cannot be told apart and all stay."""
+    keyed = common.saved(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    found = near_copies(keyed, words=words, radius=radius, lanes=lanes)
+    kept = found.groupBy("root").agg(F.min("doc_id").alias("_kept")).select("_kept").distinct()
     cast = F.col("doc_id").cast("long")
     first = Window.partitionBy("_kept").orderBy(F.xxhash64("text"))
-    left = docs.join(kept, cast == F.col("_kept")).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_kept")
-    return left.unionByName(docs.where("doc_id is null"))
+    left = keyed.drop("_row").join(kept, cast == F.col("_kept")).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_kept")
+    return left.unionByName(keyed.drop("_row").where("doc_id is null"))
 
 
 def op9_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

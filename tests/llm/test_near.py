@@ -83,6 +83,51 @@ def test_keep_one(spark, odd):
     assert kept.where("doc_id is null").count() == 2
 
 
+def brute_similarity(a, b):
+    sets = []
+    for text in (a, b):
+        words = text.lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set())
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+
+
+@pytest.mark.parametrize("texts", [1 << 25, 600])
+def test_near_copies_are_similar(spark, texts):
+    rng = np.random.default_rng(3)
+    made = []
+    for _ in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 60)]
+        for changes in (0, 1, 2, 3, 4, 5):
+            own = list(words)
+            for at in rng.choice(60, changes, replace=False):
+                own[at] = f"n{rng.integers(0, 5000)}"
+            made.append(" ".join(own))
+    line = "one line that is repeated many times over "
+    made += [line * 30 + f"tail {' '.join(f'{k}x{i}' for i in range(12))}" for k in range(4)] + ["", " ", made[0].upper()]
+    fps = [simhash.fingerprint(t, 5, 2) for t in made]
+    up = list(range(len(made)))
+    candidates, pairs = 0, 0
+    for i in range(len(made)):
+        for j in range(i):
+            near = sum(bin(a ^ b).count("1") for a, b in zip(fps[i], fps[j], strict=True)) <= 27
+            candidates += near
+            if near and brute_similarity(made[i], made[j]) >= 0.8:
+                pairs += 1
+                a, b = up[i], up[j]
+                up = [min(a, b) if x in (a, b) else x for x in up]
+    keyed = spark.createDataFrame([(i, i, t) for i, t in enumerate(made)], "_row long, doc_id long, text string")
+    got = {r["_row"]: r["root"] for r in simhash.near_copies(keyed, texts=texts).collect()}
+    assert got == dict(enumerate(up)) and 0 < pairs < candidates
+
+
+def test_repeated_line_is_no_near_copy(spark):
+    line = "the same line of the form stands here once more "
+    texts = [line * 60 + " ".join(f"{k}word{i}" for i in range(20)) for k in "abc"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert brute_similarity(texts[0], texts[1]) < 0.3
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [0, 1, 2]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102), (7, 7), (200, 0)], "u long, v long")
     got = {r["node"]: r["root"] for r in components.components(edges).collect()}
