@@ -161,6 +161,24 @@ def test_bm25_equals_brute_force(spark, odd, empty):
     assert bm25.search(empty, empty.selectExpr("doc_id as query_id", "text")).count() == 0
 
 
+@pytest.mark.parametrize("asked", [2_000_000, 300])
+def test_bm25_searches_all_terms(spark, monkeypatch, asked):
+    monkeypatch.setattr(bm25, "ASKED", asked)
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 300, 60)) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    counts = [Counter(t.split()) for t in texts]
+    n = len(texts)
+    idf = {w: math.log(1 + (n - x + 0.5) / (x + 0.5)) for w, x in Counter(w for c in counts for w in c).items()}
+    got = {}
+    for r in bm25.search(docs, docs.where("doc_id % 20 = 0").selectExpr("doc_id as query_id", "text")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["doc_id"], round(r["score"], 8)))
+    for q in range(0, n, 20):
+        assert len(counts[q]) > 16
+        score = [(-round(sum(idf[w] * c[w] * 2.2 / (c[w] + 1.2) for w in counts[q] if w in c), 8), i) for i, c in enumerate(counts)]
+        assert got[q] == [(i, -s) for s, i in sorted(x for x in score if x[0] < 0)[:10]]
+
+
 @pytest.mark.parametrize("many", [False, True])
 def test_block_max_search_prunes_nothing_that_counts(many):
     builder, rng = bm25._Builder(), np.random.default_rng(6)
