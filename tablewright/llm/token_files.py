@@ -27,13 +27,16 @@ from tablewright.llm import common, tokens
 MAGIC = b"TWIDS001"
 INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("offset", "<u8"), ("size", "<u4"), ("n_tokens", "<u4")])
 FOOTER = "<QQ"
-#: Documents whose ids the dictionary is trained on (those with the lowest hash of doc_id), and the dictionary's size.
-SAMPLE, DICT_BYTES = 500, 64 << 10
+#: Documents whose ids the dictionary is trained on (those with the lowest hash of doc_id among those with texts of at most
+#: SAMPLE_BYTES bytes, as it is for short documents), and the dictionary's size.
+SAMPLE, SAMPLE_BYTES, DICT_BYTES = 500, 64 << 10, 64 << 10
+#: Documents, and bytes of their frames, that a reader takes in one read.
+TAKE, TAKE_BYTES = 10_000, 8 << 20
 
 
 @dataclass(frozen=True)
 class Spec:
-    """What writers and readers need; the dictionary is at most DICT_BYTES, so it travels with the tasks."""
+    """What writers and readers need. The dictionary is at most DICT_BYTES, so it travels with the tasks."""
 
     tokenizer: str
     end_id: int
@@ -60,12 +63,14 @@ def open_fs(uri: str):
 
 
 def train(docs: DataFrame, tokenizer: str, end_id: int, sample: int = SAMPLE) -> Spec:
+    """A dictionary from a bounded sample: at most twice `sample` rows of at most SAMPLE_BYTES bytes reach the driver."""
     import zstandard
 
     enc = tokens.encoder(tokenizer)
     width = 2 if max(len(enc.opens), end_id + 1) <= 1 << 16 else 4
-    keys = [r["doc_id"] for r in common.lowest(docs.select("doc_id").where("doc_id is not null"), sample, "doc_id").collect()]
-    rows = docs.where(F.col("doc_id").isin(keys)).select("doc_id", "text").limit(2 * sample).collect()
+    short = docs.where(F.octet_length("text") <= SAMPLE_BYTES).where("doc_id is not null").select("doc_id", "text")
+    keys = [r["doc_id"] for r in common.lowest(short.select("doc_id"), sample, "doc_id").collect()]
+    rows = short.where(F.col("doc_id").isin(keys)).limit(2 * sample).collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))
     ids = [np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() for x in enc.ids([r["text"] or "" for r in rows])]
     try:
@@ -91,18 +96,22 @@ def _write(spec: Spec, folder: str):
         name = f"{top}/shard-{context.partitionId():06d}.ids"
         scratch = f"{name}.{context.taskAttemptId()}"
         index, at = [], len(MAGIC) + 33
-        with fs.open_output_stream(scratch) as out:
-            out.write(MAGIC + spec.digest + bytes([spec.width]))
-            for batch in batches:
-                keys = batch.column(0).to_pylist()
-                for key, ids in zip(keys, enc.ids(common.texts_of(batch.column(1))), strict=True):
-                    arr = np.frombuffer(ids + end, "<u4")
-                    frame = compressor.compress(arr.astype(spec.dtype).tobytes())
-                    out.write(frame)
-                    index.append((key or 0, key is not None, at, len(frame), len(arr)))
-                    at += len(frame)
-            table = np.array(index, INDEX)
-            out.write(table.tobytes() + struct.pack(FOOTER, at, len(table)))
+        try:
+            with fs.open_output_stream(scratch) as out:
+                out.write(MAGIC + spec.digest + bytes([spec.width]))
+                for batch in batches:
+                    keys = batch.column(0).to_pylist()
+                    for key, ids in zip(keys, enc.ids(common.texts_of(batch.column(1))), strict=True):
+                        arr = np.frombuffer(ids + end, "<u4")
+                        frame = compressor.compress(arr.astype(spec.dtype).tobytes())
+                        out.write(frame)
+                        index.append((key or 0, key is not None, at, len(frame), len(arr)))
+                        at += len(frame)
+                table = np.array(index, INDEX)
+                out.write(table.tobytes() + struct.pack(FOOTER, at, len(table)))
+        except BaseException:
+            fs.delete_file(scratch)
+            raise
         fs.move(scratch, name)  # a task that runs twice writes the same file
         yield pa.RecordBatch.from_pydict(
             {"shard": pa.array([context.partitionId()], pa.int32()), "docs": [len(table)], "n_tokens": [int(table["n_tokens"].sum())]}
@@ -132,6 +141,19 @@ class ShardReader:
         x = self.index[k]
         return np.frombuffer(self.decompressor.decompress(self.file.read_at(int(x["size"]), int(x["offset"]))), self.dtype).astype("<u4")
 
+    def spans(self) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """All documents in order, many in a read: (the first one's number, ids of each)."""
+        ends = (self.index["offset"] + self.index["size"]).astype(np.int64)
+        a = 0
+        while a < len(self.index):
+            first = int(self.index["offset"][a])
+            b = max(a + 1, min(a + TAKE, int(np.searchsorted(ends, first + TAKE_BYTES, side="right"))))
+            data = memoryview(self.file.read_at(int(ends[b - 1]) - first, first))
+            own = self.index[a:b]
+            at = (own["offset"].astype(np.int64) - first).tolist()
+            yield a, [np.frombuffer(self.decompressor.decompress(data[x : x + n]), self.dtype).astype("<u4") for x, n in zip(at, own["size"].tolist(), strict=True)]
+            a = b
+
     def close(self) -> None:
         self.file.close()
 
@@ -144,13 +166,12 @@ def _read(spec: Spec, folder: str, shards: list[tuple[int, int]]):
                 reader = ShardReader(f"{folder}/shard-{shard:06d}.ids", spec)
                 sizes = reader.index["n_tokens"].astype(np.int64)
                 starts = start + np.concatenate([[0], np.cumsum(sizes)])[:-1]
-                for a in range(0, len(sizes), 10_000):
-                    part = reader.index[a : a + 10_000]
-                    got = [reader.ids(a + i) for i in range(len(part))]
+                for a, got in reader.spans():
+                    part = reader.index[a : a + len(got)]
                     yield pa.RecordBatch.from_pydict(
                         {
                             "doc_id": pa.array(part["doc_id"].copy(), pa.int64(), mask=part["has_id"] == 0),
-                            "start": pa.array(starts[a : a + 10_000].astype(np.int64)),
+                            "start": pa.array(starts[a : a + len(got)].astype(np.int64)),
                             "n_tokens": pa.array([len(x) for x in got], pa.int64()),
                             "ids_crc32": pa.array([zlib.crc32(x.tobytes()) for x in got], pa.int64()),
                         }

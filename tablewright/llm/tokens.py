@@ -3,22 +3,26 @@
 The pre-tokenizer of a byte-level BPE ends a piece wherever one space or line feed stands between two characters that are
 not white space, so a text may be cut there and its parts encoded apart: the ids are those of the whole text. Parts repeat
 far more often than texts: a block of texts is cut and its different parts are numbered by Arrow, each part is encoded once
-for the block, and the ids of the texts are gathered by number. Parts are encoded many in a call: joined by single spaces (or
-line feeds, for those that have no space before them), each shows where it begins by a token that starts with a space (or by
-the line feed between). Texts with other white space, or with what may be a special token's string, are given to the library
-whole.
+for the block, and the ids of the texts are gathered by number. Parts that occurred more than once in a block are held in a
+table of at most TABLE parts, which the worker process keeps for its later blocks and tasks. Parts are encoded many in a call:
+joined by single spaces (or line feeds, for those that have no space before them), each shows where it begins by a token that
+starts with a space (or by the line feed between). Texts with other white space, or with what may be a special token's string,
+are given to the library whole.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Characters of text that are encoded together, and parts in one call (calls on long texts are slower for each part).
-BLOCK, RUN = 12_000_000, 1000
+#: Characters of text that are encoded together, parts in one string (long strings are slower for each part), strings in a call.
+BLOCK, RUN, CALL = 12_000_000, 100, 64
+#: Parts that a worker process keeps, with their ids.
+TABLE = 250_000
 _SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _ODD = f"{_SPACE}{_SPACE}|^{_SPACE}|{_SPACE}$|<\\||^$"
 
@@ -27,6 +31,7 @@ class Encoder:
     """Little-endian unsigned 32-bit ids of whole texts, as bytes."""
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -36,6 +41,27 @@ class Encoder:
         self.opens[[i for t, i in vocab.items() if t.startswith(space)]] = True
         self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         assert len(self.feed) == 1
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empty the table."""
+        self.known: tuple[dict[str, int], dict[str, int]] = ({}, {})  # parts without and with a space before them
+        self.flat, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+
+    def _keep(self, parts: tuple[list[str], list[str]], ids: np.ndarray, sizes: np.ndarray, often: np.ndarray) -> None:
+        """Add those of the new parts (without a space first) that occurred more than once."""
+        if len(self.sizes) + int(often.sum()) > TABLE:
+            self._forget()
+        chosen = np.flatnonzero(often)[:TABLE]
+        at = len(self.sizes)
+        for k in chosen.tolist():
+            spaced = k >= len(parts[0])
+            self.known[spaced][parts[spaced][k - len(parts[0]) * spaced]] = at
+            at += 1
+        own = np.zeros(len(sizes), bool)
+        own[chosen] = True
+        self.flat = np.concatenate([self.flat, ids[np.repeat(own, sizes)]])
+        self.sizes = np.concatenate([self.sizes, sizes[chosen]])
 
     def whole(self, text: str) -> bytes:
         """By the library alone."""
@@ -44,20 +70,22 @@ class Encoder:
     def _parts(self, parts: list[str], spaced: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids of different parts, with a space before each or without, and the number of each."""
         ids, sizes = [], []
-        for a in range(0, len(parts), RUN):
-            run = parts[a : a + RUN]
-            text = " " + " ".join(run) if spaced else "\n".join(run)
-            got = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-            if spaced:
-                cuts = np.flatnonzero(self.opens[got])
-                sizes.append(np.diff(cuts, append=len(got)))
-            else:
-                gaps = got == self.feed[0]
-                cuts = np.append(np.flatnonzero(gaps), len(got))
-                sizes.append(np.diff(cuts, prepend=-1) - 1)
-                got = got[~gaps]
-            assert len(sizes[-1]) == len(run)
-            ids.append(got)
+        runs = [parts[a : a + RUN] for a in range(0, len(parts), RUN)]
+        for a in range(0, len(runs), CALL):
+            texts = [" " + " ".join(run) if spaced else "\n".join(run) for run in runs[a : a + CALL]]
+            found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            for run, one in zip(runs[a : a + CALL], found, strict=True):
+                got = np.array(one.ids, dtype="<u4")
+                if spaced:
+                    cuts = np.flatnonzero(self.opens[got])
+                    sizes.append(np.diff(cuts, append=len(got)))
+                else:
+                    gaps = got == self.feed[0]
+                    cuts = np.append(np.flatnonzero(gaps), len(got))
+                    sizes.append(np.diff(cuts, prepend=-1) - 1)
+                    got = got[~gaps]
+                assert len(sizes[-1]) == len(run)
+                ids.append(got)
         return (np.concatenate(ids), np.concatenate(sizes)) if ids else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
 
     def _block(self, texts: list[str]) -> list[bytes]:
@@ -81,16 +109,32 @@ class Encoder:
         start[1:] |= start[:-1].copy()
         start[cuts[:-1]] = True
         start &= codes != feed
-        spaced, unspaced = np.unique(codes[~start & (codes != feed)]), np.unique(codes[start])
-        a_ids, a_sizes = self._parts([words[i] for i in spaced.tolist()], True)
-        b_ids, b_sizes = self._parts([words[i] for i in unspaced.tolist()], False)
-        flat = np.concatenate([a_ids, b_ids, np.array(self.feed, "<u4")])
-        sizes = np.concatenate([a_sizes, b_sizes, [1]])
-        place = np.full((2, len(words)), len(sizes) - 1, np.int64)
-        place[0, spaced] = np.arange(len(spaced))
-        place[1, unspaced] = len(spaced) + np.arange(len(unspaced))
+        n = len(words)
+        met = np.bincount(codes + n * (~start & (codes != feed)), minlength=2 * n).reshape(2, n)  # without and with a space
+        if feed >= 0:
+            met[0, feed] = 0
+        place = np.zeros((2, n), np.int64)
+        fresh, counts = ([], []), []
+        at = len(self.sizes)
+        for spaced in (0, 1):
+            own = np.flatnonzero(met[spaced])
+            get = self.known[spaced].get
+            found = np.fromiter((get(words[i], -1) for i in own.tolist()), np.int64, len(own))
+            new = own[found < 0]
+            found[found < 0] = at + np.arange(len(new))
+            at += len(new)
+            place[spaced, own] = found
+            fresh[spaced].extend([words[i] for i in new.tolist()])
+            counts.append(met[spaced, new])
+        if feed >= 0:
+            place[0, feed] = at
         del words
-        number = place[start.astype(np.int8), codes]
+        ids, sizes = (np.concatenate(x) for x in zip(self._parts(fresh[0], False), self._parts(fresh[1], True), strict=True))
+        flat = np.concatenate([self.flat, ids, np.array(self.feed, "<u4")])
+        all_sizes = np.concatenate([self.sizes, sizes, [1]])
+        self._keep(fresh, ids, sizes, np.concatenate(counts) > 1)
+        sizes = all_sizes
+        number = place[(~start & (codes != feed)).astype(np.int8), codes]
         starts = (np.cumsum(sizes) - sizes)[number]
         own = sizes[number]
         ends = np.cumsum(own)

@@ -15,6 +15,17 @@ def test_ids_are_the_librarys():
     assert list(enc.ids(texts)) == [enc.whole(t) for t in texts]
 
 
+def test_the_table_of_parts_is_bounded_and_exact(monkeypatch):
+    enc, rng = tokens.Encoder(tokens.default_path()), random.Random(2)
+    monkeypatch.setattr(tokens, "TABLE", 40)
+    monkeypatch.setattr(tokens, "BLOCK", 300)
+    words = ["".join(rng.choices("abcdefg,.'1é", k=rng.randint(1, 7))) for _ in range(300)]
+    for _ in range(20):
+        texts = [rng.choice([" ", "\n"]).join(rng.choices(words, k=rng.randint(1, 40))) for _ in range(30)]
+        assert list(enc.ids(texts)) == [enc.whole(t) for t in texts]
+        assert len(enc.sizes) <= 40 and sum(map(len, enc.known)) == len(enc.sizes) and enc.sizes.sum() == len(enc.flat)
+
+
 def expected(text, end):
     enc = tokens.encoder(tokens.default_path())
     return np.append(np.frombuffer(enc.whole(text or ""), "<u4"), end).astype("<u4")
@@ -38,6 +49,18 @@ def test_token_files(spark, odd, empty):
     assert token_files.read_files(spark, folder, *token_files.write_files(empty, folder)).count() == 0
 
 
+def test_dictionary_samples_are_bounded(spark):
+    rows = [(7, "same key " + str(i)) for i in range(3000)] + [(8, "x y " * 300_000)]
+    sent = []
+    real = tokens.Encoder.ids
+    try:
+        tokens.Encoder.ids = lambda self, texts: real(self, sent.extend(texts) or list(sent))
+        token_files.train(spark.createDataFrame(rows, "doc_id long, text string"), tokens.default_path(), 2, 20)
+    finally:
+        tokens.Encoder.ids = real
+    assert len(sent) <= 40 and max(map(len, sent)) <= token_files.SAMPLE_BYTES
+
+
 def test_packing(odd, empty):
     rows = packing.pack(odd, max_tokens=64, with_ids=True).collect()
     seqs, docs = {}, {}
