@@ -113,11 +113,14 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -
 
 def lowest(df: DataFrame, n: int, *key: str) -> DataFrame:
     """The n rows with the lowest hash of the key: a bounded sample that does not depend on the layout. A first count keeps what
-    tasks send for it to a few times n rows in all, however many tasks there are."""
+    tasks send for it to a few times n rows in all, however many tasks there are, unless most rows repeat a few keys (then a task
+    sends n rows at most)."""
     h = F.pmod(F.xxhash64(*key), F.lit(1 << 30))
     total = df.count()
-    if total > 8 * n:  # the n lowest are under this bound but for a chance that is nil
-        df = df.where(h < int((1 << 30) * 4 * n / total) + 1)
+    if total > 8 * n:
+        under = h < int((1 << 30) * 4 * n / total) + 1
+        if df.where(under).limit(n).count() == n:
+            df = df.where(under)
     return df.orderBy(h, *key).limit(n)
 
 

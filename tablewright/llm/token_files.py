@@ -27,7 +27,7 @@ from tablewright.llm import common, tokens
 MAGIC = b"TWIDS001"
 INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("offset", "<u8"), ("size", "<u4"), ("n_tokens", "<u4")])
 FOOTER = "<QQ"
-#: Documents whose ids the dictionary is trained on (those with the lowest hash of doc_id among those with texts of at most
+#: Documents whose ids the dictionary is trained on (those with the lowest hash among those with texts of at most
 #: SAMPLE_BYTES bytes, as it is for short documents), and the dictionary's size.
 SAMPLE, SAMPLE_BYTES, DICT_BYTES = 500, 64 << 10, 64 << 10
 #: Documents, and bytes of their frames, that a reader takes in one read.
@@ -63,14 +63,13 @@ def open_fs(uri: str):
 
 
 def train(docs: DataFrame, tokenizer: str, end_id: int, sample: int = SAMPLE) -> Spec:
-    """A dictionary from a bounded sample: at most twice `sample` rows of at most SAMPLE_BYTES bytes reach the driver."""
+    """A dictionary from a bounded sample: at most `sample` rows of at most SAMPLE_BYTES bytes reach the driver."""
     import zstandard
 
     enc = tokens.encoder(tokenizer)
     width = 2 if max(len(enc.opens), end_id + 1) <= 1 << 16 else 4
     short = docs.where(F.octet_length("text") <= SAMPLE_BYTES).where("doc_id is not null").select("doc_id", "text")
-    keys = [r["doc_id"] for r in common.lowest(short.select("doc_id"), sample, "doc_id").collect()]
-    rows = short.where(F.col("doc_id").isin(keys)).limit(2 * sample).collect()
+    rows = common.lowest(short, sample, "doc_id", "text").collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))
     ids = [np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() for x in enc.ids([r["text"] or "" for r in rows])]
     try:
