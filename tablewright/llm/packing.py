@@ -1,19 +1,25 @@
 """Best-fit packing of documents into training sequences by bin completion.
 
 How many sequences are needed depends on how many pieces there are of each length and on nothing else, so the search runs
-on a histogram of at most max_tokens counts, whatever the corpus. It goes around the largest piece left, enumerates
-fillings of the room beside it with least waste first (fewer, larger pieces dominate), applies a filling as often as the
-counts allow, goes back while the waste so far leaves a chance to beat the incumbent, and starts from best-fit decreasing
-as the incumbent. It ends at the lower bound or after NODES fillings. Pieces then take their places by their rank among
-the pieces of the same length.
+on a histogram of at most max_tokens counts, whatever the corpus. It goes around the largest piece left and enumerates every
+undominated filling of the room beside it, least waste first. A filling is dominated if some pieces in it (or the room left)
+could be changed for one larger piece that is still there and fits; all that can be gained with a dominated filling can be
+gained with another. Waste bounds prune the enumeration, and a bound on the pieces left prunes a branch that cannot beat the
+incumbent, which is best-fit decreasing at first. A filling is applied as often as the counts allow, and then, on the way
+back, once less at a time, so that the search is complete: it ends with as few sequences as there can be, unless NODES
+fillings were tried before. Packing is a hard problem, so some such limit must stand; Search says whether it was reached.
+Pieces then take their places by their rank among the pieces of the same length.
 
-Null texts are empty and give the end id alone. Repeated rows are packed once each. An empty table gives no rows.
+Null texts are empty and give the end id alone. Repeated rows are packed once each; rows with a null doc_id are packed like
+others. Only doc_id and text are read of a table, whatever its other columns are called. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,23 +29,22 @@ from pyspark.sql import functions as F
 from tablewright.llm import common, tokens
 
 MAX_TOKENS = 2048
-#: Fillings tried in all, and alternatives tried beside one largest piece.
-NODES, WIDTH = 10_000, 4
+#: Fillings tried in all.
+NODES = 50_000
 
 Pattern = tuple[tuple[int, ...], int]  # lengths in one sequence, how many such sequences
 
 
 def lower_bound(counts: np.ndarray, size: int) -> int:
-    """Total volume, and pieces over half a sequence with what cannot lie beside them."""
-    lengths = np.arange(len(counts))
-    best = -(-int((lengths * counts).sum()) // size)
-    for k in range(1, size // 2 + 1):
-        big = int(counts[size - k + 1 :].sum())
-        mid = counts[size // 2 + 1 : size - k + 1]
-        room = int(mid.sum()) * size - int((lengths[size // 2 + 1 : size - k + 1] * mid).sum())
-        small = int((lengths[k : size // 2 + 1] * counts[k : size // 2 + 1]).sum())
-        best = max(best, big + int(mid.sum()) + max(0, -(-(small - room) // size)))
-    return best
+    """Total volume, and pieces over half a sequence with what cannot lie beside them, for each least size of a small piece."""
+    n, volume = np.cumsum(counts), np.cumsum(np.arange(len(counts)) * counts)
+    half = size // 2
+    k = np.arange(1, half + 1)
+    over = n[size - k] - n[half]  # over half, with room for a piece of k
+    room = over * size - (volume[size - k] - volume[half])
+    small = volume[half] - volume[k - 1]
+    bounds = n[size] - n[half] + np.maximum(0, -((room - small) // size))
+    return max(-(-int(volume[size]) // size), int(bounds.max(initial=0)))
 
 
 def best_fit_decreasing(counts: np.ndarray, size: int) -> list[Pattern]:
@@ -73,87 +78,136 @@ def best_fit_decreasing(counts: np.ndarray, size: int) -> list[Pattern]:
     return [x for groups in open_bins.values() for x in groups]
 
 
-def fillings(counts: np.ndarray, room: int, width: int = WIDTH) -> list[tuple[int, tuple[int, ...]]]:
-    """(waste, lengths): fillings of room with what counts has, least waste and largest pieces first."""
-    found: dict[tuple[int, ...], int] = {}
-    counts = counts.copy()
-    taken: tuple[int, ...] = ()
-    while True:
-        have = np.flatnonzero(counts[: room + 1])
-        if not len(have):
-            found.setdefault(taken, room)
-            break
-        largest = int(have[-1])
-        found.setdefault((*taken, largest), room - largest)
-        best = min(found.values())
-        if best:  # two pieces: beside each the largest that still fits and is no larger
-            k = np.searchsorted(have, np.minimum(room - have, have), side="right") - 1
-            k -= (have[k] == have) & (counts[have] < 2)
-            fits = k >= 0
-            a, b = have[fits], have[k[fits]]
-            left = room - a - b
-            at = np.flatnonzero((left >= 0) & (left < best))
-            at = at[np.lexsort((-a[at], left[at]))][:width]
-            for x in at.tolist():
-                found.setdefault((*taken, int(a[x]), int(b[x])), int(left[x]))
-        if sum(w == 0 for w in found.values()) >= width or largest == room:
-            break
-        counts[largest] -= 1
-        taken, room = (*taken, largest), room - largest
-    return sorted(((w, x) for x, w in found.items()), key=lambda p: (p[0], len(p[1]), [-y for y in p[1]]))[:width]
-
-
-def bin_completion(counts: np.ndarray, size: int = MAX_TOKENS, nodes: int = NODES) -> list[Pattern]:
-    """Patterns that hold every piece of the histogram; at most as many sequences as best-fit decreasing needs."""
+class _Budget:
+    """How many fillings may still be tried."""
+
+    def __init__(self, left: int) -> None:
+        self.left = left
+
+
+def _dominated(items: tuple[int, ...], counts: np.ndarray, there: int, room: int) -> bool:
+    """Whether some of the items, or none, can be changed for one larger piece, or several for one as large. there: the lengths
+    that counts has, as bits."""
+    one, many, copies = 0, 0, {}
+    for x in items:
+        many |= (one | many) << x
+        one |= 1 << x
+        copies[x] = copies.get(x, 0) + 1
+    for x, n in copies.items():
+        if n == counts[x]:
+            there &= ~(1 << x)
+    slack = room - sum(items)
+    sums, width = 1 | one | many, 1
+    gained = sums << 1 if slack else 0  # sums of some items and 1 to slack more
+    while width < slack:
+        step = min(width, slack - width)
+        gained |= gained << step
+        width += step
+    return bool((gained | many) & there & ((1 << (room + 1)) - 1))
+
+
+def fillings(counts: np.ndarray, room: int, most: int, budget: _Budget | None = None) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """(waste, lengths) of all undominated fillings of room with what counts has that waste at most `most`; least waste and
+    largest pieces first. They are made as they are asked for."""
+    budget = budget or _Budget(1 << 62)
+    have = [int(x) for x in np.flatnonzero(counts[: room + 1]) if x]
+    reach, there, mask = [1], 0, (1 << (room + 1)) - 1  # sums of the first pieces, as bits
+    for length in have:
+        bits, left, step = reach[-1], min(int(counts[length]), room // length), 1
+        while left:
+            step = min(step, left)
+            bits |= (bits << (step * length)) & mask
+            left, step = left - step, step * 2
+        reach.append(bits)
+        there |= 1 << length
+
+    def exact(k: int, left: int) -> Iterator[tuple[int, ...]]:
+        """Of the first k lengths, with a sum of left."""
+        if not left:
+            yield ()
+            return
+        for j in range(bisect_right(have, left, 0, k) - 1, -1, -1):
+            if not reach[j + 1] >> left & 1:
+                return
+            length = have[j]
+            for n in range(min(int(counts[length]), left // length), 0, -1):
+                if reach[j] >> (left - n * length) & 1:
+                    for rest in exact(j, left - n * length):
+                        yield (length,) * n + rest
+
+    for waste in range(min(most, room) + 1):
+        if reach[-1] >> (room - waste) & 1:
+            for items in exact(len(have), room - waste):
+                budget.left -= 1
+                if budget.left < 0:
+                    return
+                if not _dominated(items, counts, there, room):
+                    yield waste, items
+
+
+@dataclass(frozen=True)
+class Search:
+    """patterns hold every piece; least: a lower bound on the sequences; complete: whether there cannot be fewer sequences (the
+    bound was met, or the search ended before its limit)."""
+
+    patterns: list[Pattern]
+    least: int
+    complete: bool
+
+    @property
+    def sequences(self) -> int:
+        return sum(n for _, n in self.patterns)
+
+
+def bin_completion(counts: np.ndarray, size: int = MAX_TOKENS, nodes: int = NODES) -> Search:
+    """Branch and bound over the fillings around the largest piece; never more sequences than best-fit decreasing needs."""
     counts = counts.astype(np.int64).copy()
-    best = best_fit_decreasing(counts, size)
-    least = lower_bound(counts, size)
-    bins = sum(n for _, n in best)
-    total = int((np.arange(len(counts)) * counts).sum())
-    path: list[tuple[tuple[int, ...], int]] = []
-    stack: list[list[tuple[int, tuple[int, ...]]]] = []
-    waste, used, tried = 0, 0, 0
-
-    def undo() -> None:
-        nonlocal waste, used
-        items, n = path.pop()
-        np.add.at(counts, list(items), n)
-        waste -= n * (size - sum(items))
-        used -= n
-
-    while bins > least and tried < nodes:
-        have = np.flatnonzero(counts)
-        if not len(have):
-            if used < bins:
-                best, bins = list(path), used
-            choices: list = []
-        else:
-            largest = int(have[-1])
-            counts[largest] -= 1
-            choices = [(w, (largest, *x)) for w, x in fillings(counts, size - largest)][::-1]
-            counts[largest] += 1
-        stack.append(choices)
-        while stack and bins > least:
-            if not stack[-1]:
-                stack.pop()
-                if path:
-                    undo()
-                    continue
-                return best
-            more, items = stack[-1].pop()
-            lengths, mult = np.unique(items, return_counts=True)
-            n = int((counts[lengths] // mult).min())
-            if waste + more * n > (bins - 1) * size - total:  # too much waste to need fewer sequences
-                n = ((bins - 1) * size - total - waste) // more if more else n
-                if n < 1:
-                    continue
-            np.subtract.at(counts, list(items), n)
-            path.append((items, n))
-            waste, used, tried = waste + more * n, used + n, tried + 1
-            break
-        else:
-            break
-    return best
+    best, least = best_fit_decreasing(counts, size), lower_bound(counts, size)
+    bins, budget = sum(n for _, n in best), _Budget(nodes)
+    path: list[Pattern] = []
+    used = 0
+    seen: dict[tuple, int] = {}
+
+    def options(last: tuple[int, ...] | None) -> Iterator[tuple[tuple[int, ...], int, tuple[int, ...] | None]]:
+        """(filling, how often, the filling that may not come next); last may not come here."""
+        own = counts.copy()
+        largest = int(np.flatnonzero(own)[-1])
+        spare = (bins - 1 - used) * size - int((np.arange(len(own)) * own).sum())
+        own[largest] -= 1
+        for waste, rest in fillings(own, size - largest, spare, budget):
+            items = (largest, *rest)
+            if items == last:
+                continue
+            lengths, each = np.unique(items, return_counts=True)
+            often = int(((own[lengths] + (lengths == largest)) // each).min())
+            for n in range(min(often, spare // waste) if waste else often, 0, -1):
+                yield items, n, items if n < often else None
+
+    stack = [options(None)] if bins > least else []
+    while stack and bins > least and budget.left > 0:
+        step = next(stack[-1], None)
+        if step is None:
+            stack.pop()
+            if path:
+                items, n = path.pop()
+                np.add.at(counts, list(items), n)
+                used -= n
+            continue
+        items, n, last = step
+        budget.left -= 1
+        np.subtract.at(counts, list(items), n)
+        state = (counts.tobytes(), last)
+        hopeless = used + n + lower_bound(counts, size) >= bins or seen.get(state, 1 << 62) <= used + n
+        if not hopeless and not counts.any():
+            best, bins, hopeless = [*path, (items, n)], used + n, True
+        if hopeless:
+            np.add.at(counts, list(items), n)
+            continue
+        seen[state] = used + n
+        path.append((items, n))
+        used += n
+        stack.append(options(last))
+    return Search(best, least, bins == least or budget.left > 0)
 
 
 def _pieces(tokenizer: str, end_id: int, size: int, with_ids: bool):
@@ -193,10 +247,11 @@ def _places(key: np.ndarray, seq: np.ndarray, offset: np.ndarray):
     return run
 
 
-def pack(docs: DataFrame, *, max_tokens: int = MAX_TOKENS, tokenizer: str | None = None, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, *, max_tokens: int = MAX_TOKENS, tokenizer: str | None = None, end_id: int = 0, with_ids: bool = False, nodes: int = NODES) -> DataFrame:
     """Rows: doc_id, piece, start, length, ids_crc32, [ids], sequence_id, offset.
 
-    Documents longer than max_tokens are cut into pieces of max_tokens, of which the first may be shorter.
+    Documents longer than max_tokens are cut into pieces of max_tokens, of which the first may be shorter. nodes: the limit of
+    the search.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
@@ -205,7 +260,7 @@ def pack(docs: DataFrame, *, max_tokens: int = MAX_TOKENS, tokenizer: str | None
     for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most max_tokens rows
         counts[r["length"]] = r["n"]
     slots, used, seq = [], np.zeros(max_tokens + 1, np.int64), 0
-    for items, n in bin_completion(counts, max_tokens):
+    for items, n in bin_completion(counts, max_tokens, nodes).patterns:
         at = 0
         for length in items:
             slots.append(((length << 40) | int(used[length]), seq, at))

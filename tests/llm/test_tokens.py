@@ -86,7 +86,7 @@ def test_bin_completion_holds_every_piece(seed):
     size = int(rng.integers(10, 60))
     counts = np.zeros(size + 1, np.int64)
     counts[rng.integers(1, size + 1, 12)] = rng.integers(1, 30, 12)
-    made = packing.bin_completion(counts, size, 500)
+    made = packing.bin_completion(counts, size, 500).patterns
     held = np.zeros_like(counts)
     for items, n in made:
         assert sum(items) <= size
@@ -99,4 +99,54 @@ def test_bin_completion_beats_best_fit():
     counts = np.zeros(101, np.int64)
     for x, n in ((44, 2), (28, 2), (36, 2), (24, 2), (34, 1), (33, 2)):  # best fit needs one sequence more
         counts[x] += n
-    assert sum(n for _, n in packing.bin_completion(counts, 100)) == packing.lower_bound(counts, 100)
+    assert packing.bin_completion(counts, 100).sequences == packing.lower_bound(counts, 100)
+    counts = np.zeros(2049, np.int64)
+    counts[[1048, 900, 648, 500, 350, 330, 320]] = 1
+    assert packing.bin_completion(counts, 2048).sequences == 2
+
+
+def fewest(pieces, size):
+    """By trying all subsets."""
+    best = [(1, 0)] + [(len(pieces) + 1, 0)] * ((1 << len(pieces)) - 1)  # bins, and what is in the last one
+    for mask in range(1, 1 << len(pieces)):
+        for i, x in enumerate(pieces):
+            if mask >> i & 1:
+                bins, load = best[mask ^ (1 << i)]
+                best[mask] = min(best[mask], (bins, load + x) if load + x <= size else (bins + 1, x))
+    return best[-1][0]
+
+
+def test_bin_completion_is_optimal():
+    rng, met, beaten = random.Random(5), 0, 0
+    while beaten < 200:
+        size = rng.randint(15, 60)
+        pieces = sorted(rng.choices(range(1, rng.randint(size // 3, size) + 1), k=rng.randint(6, 11)))
+        counts = np.bincount(pieces, minlength=size + 1)
+        incumbent = sum(n for _, n in packing.best_fit_decreasing(counts, size))
+        if incumbent == packing.lower_bound(counts, size):
+            continue
+        found, want = packing.bin_completion(counts, size), fewest(pieces, size)
+        assert found.complete and found.sequences == want >= found.least, (size, pieces)
+        met, beaten = met + 1, beaten + (want < incumbent)
+    counts = np.bincount([2, 3, 3, 3, 6, 7, 7, 8, 9, 12, 12, 12], minlength=29)
+    assert packing.bin_completion(counts, 28).sequences == 3
+
+
+def test_fillings_are_all_that_are_not_dominated():
+    rng = random.Random(9)
+    for _ in range(150):
+        room = rng.randint(5, 30)
+        counts = np.bincount(rng.choices(range(1, room + 5), k=7), minlength=room + 6)
+        pieces = [x for x in range(1, room + 1) for _ in range(counts[x])]
+        every = {tuple(sorted((pieces[i] for i in range(len(pieces)) if mask >> i & 1), reverse=True)) for mask in range(1 << len(pieces))}
+        every = {x for x in every if sum(x) <= room}
+
+        def fits(small, large):
+            """Whether the pieces of small can be put into those of large."""
+            if not small:
+                return True
+            return any(fits(small[1:], large[:k] + (large[k] - small[0],) + large[k + 1 :]) for k in range(len(large)) if large[k] >= small[0])
+
+        want = {x for x in every if not any(x != y and sum(y) >= sum(x) and fits(x, y) for y in every)}
+        got = [x for _, x in packing.fillings(counts, room, room)]
+        assert len(got) == len(set(got)) and set(got) == want
