@@ -21,7 +21,7 @@ def odd(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(ODD, SCHEMA)
-    return df.withColumns({n: F.lit("clash") for n in ("fp0", "key", "h", "_rank", "component_id", "start", "length", "row", "keep")})
+    return df.withColumns({n: F.lit("clash") for n in ("fp0", "key", "h", "_rank", "component_id", "start", "length", "row", "keep", "_n", "_kept", "_row", "node", "group", "band")})
 
 
 @pytest.fixture(scope="session")
