@@ -95,25 +95,67 @@ def test_network_learns_and_secret_scan(spark, odd, empty):
     assert rows[999]["spans"] == "" and sum(r["n_added"] for r in rows.values()) == 0
     net = secrets.train(secrets.scan(docs))
     hit, miss = (secrets.window(t, *secrets.candidates(t, t.encode())[0]) for t in (f"the access code {hexes(20)}g{hexes(9)} works", texts[-1]))
-    score = net.scores(np.frombuffer(hit[0] + miss[0], np.uint8).reshape(2, -1), np.array([hit[1], miss[1]]))
-    assert score[0] > score[1]
+    score = net.scores([hit, miss])
+    assert score[0] > score[1] and net.proof["positives"] >= 20 and net.proof["recall"] >= 0.9 and net.proof["precision"] >= 0.9
     clean = secrets.redact(docs.withColumn("n_chars", docs["doc_id"])).collect()
     assert all("token" not in (r["text"] or "") for r in clean) and next(r for r in clean if r["doc_id"] == 0)["n_chars"] == len(next(r for r in clean if r["doc_id"] == 0)["text"])
     assert secrets.find(odd).count() == odd.count() and secrets.redact(empty).count() == 0 and secrets.redact(odd).columns == odd.columns
 
 
+def brute_logit(net, codes):
+    """One candidate at a time, place by place."""
+    n = len(codes) - 2 * secrets.AROUND
+    most, total = np.zeros(secrets.FILTERS), np.zeros(secrets.FILTERS)
+    for k in range(-(-n // secrets.SPAN)):
+        piece = codes[k * secrets.SPAN : k * secrets.SPAN + secrets.WINDOW].ljust(secrets.WINDOW, b"\0")
+        x = [[*net.p["embed"][c], float(secrets.AROUND <= k * secrets.SPAN + i < secrets.AROUND + n)] for i, c in enumerate(piece)]
+        for i in range(secrets.WINDOW - secrets.WIDTH + 1):
+            act = np.maximum(np.concatenate(x[i : i + secrets.WIDTH]) @ net.p["conv"] + net.p["bias"], 0)
+            most, at = np.maximum(most, act), i + secrets.WIDTH // 2
+            if secrets.AROUND <= at < secrets.AROUND + secrets.SPAN and k * secrets.SPAN + at < secrets.AROUND + n:
+                total += act
+    return float(np.concatenate([most, total / n]) @ net.p["out"] + net.p["last"][0])
+
+
+@pytest.mark.parametrize("step", [512, 2])
+def test_network_reads_whole_candidates(monkeypatch, step):
+    monkeypatch.setattr(secrets, "STEP", step)
+    rng, net = np.random.default_rng(3), secrets.Network()
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    windows = [rng.integers(1, 128, n + 2 * secrets.AROUND).astype(np.uint8).tobytes() for n in (12, 48, 49, 300, 97, 20)]
+    assert np.allclose(net.logits(windows), [brute_logit(net, w) for w in windows])
+    other = [w[:-30] + bytes(c ^ 1 for c in w[-30:]) for w in windows]  # the end of a candidate and what follows it count
+    assert (abs(net.logits(windows) - net.logits(other)) > 1e-9).all()
+
+
+def test_threshold_keeps_the_recall():
+    """Hard labels: the threshold falls as far as the recall needs, below one half."""
+    rng = np.random.default_rng(5)
+    windows = [rng.integers(97, 122, 16 + 2 * secrets.AROUND).astype(np.uint8).tobytes() for _ in range(900)]
+    net = secrets.Network().fit(windows, (rng.random(900) < 0.15).astype(np.float32))
+    assert net.threshold < 0.5 and net.proof["recall"] >= 0.8
+    few = secrets.Network().fit(windows[:4], np.array([1, 0, 0, 1], np.float32))
+    assert few.proof["positives"] == 2 and few.proof["recall"] == 1.0
+
+
+@pytest.mark.parametrize(("text", "want"), [("see eyJhbGciOi.eyJzdWIiO.SflKxwRJSM.", [(4, 35)]), ("Donaudampfschiffahrts is a word", []), ("x" * 24, [(0, 24)]), ("--abcdefghij-klm--", [(2, 16)]), ("camelCaseSecret", [(0, 15)]), ("", [])])
+def test_candidates(text, want):
+    assert secrets.candidates(text, text.encode()) == want
+
+
 def test_gradient():
     rng = np.random.default_rng(0)
-    codes, sizes, y = rng.integers(1, 128, (6, secrets.WINDOW)).astype(np.uint8), np.full(6, 20), np.array([1, 0, 1, 0, 1, 0], np.float32)
+    windows = [rng.integers(1, 128, n + 2 * secrets.AROUND).astype(np.uint8).tobytes() for n in (20, 60, 20, 110, 48, 12)]
+    y = np.array([1, 0, 1, 0, 1, 0], np.float32)
     net = secrets.Network()
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
 
     def loss():
-        z = net.logits(codes, sizes)
+        z = net.logits(windows)
         return float((np.logaddexp(0, z) - y * z).mean())
 
-    g = net._gradient(codes, sizes, y)
-    for name, at in (("conv", (3, 4)), ("out", (5,)), ("embed", (int(codes[0, 30]), 2)), ("bias", (1,))):
+    g = net._gradient(windows, y)
+    for name, at in (("conv", (3, 4)), ("out", (5,)), ("embed", (windows[0][30], 2)), ("bias", (1,))):
         keep = net.p[name][at]
         net.p[name][at] = keep + 1e-4
         up = loss()
