@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions import names, values
-from tablewright.operators.rows import ROW, repeats
+from tablewright.operators.rows import ROW, Repeats
 from tablewright.plans.contracts import Contract
 from tablewright.plans.settings import Validation
 
@@ -252,13 +252,17 @@ def parsed(ctx: Context) -> DataFrame:
     out = frame.withColumns({"_cells": F.struct(*cells) if cells else F.lit(None).cast("struct<none: int>"), "_empty": empty})
     if not ctx.settings.duplicate_check:
         return out.withColumns({"_copy": F.lit(False), "_same_key": F.lit(False)})
-    out = repeats(out, [values.strip(quoted(c).cast("string")) for c in data], "_copy", base=frame)
-    if not keyed(ctx):
+    asked = {"_copy": ([values.strip(quoted(c).cast("string")) for c in data], None)}
+    if keyed(ctx):
+        keys = [values.key(ctx.source(k)) for k in ctx.contract.business_key]
+        whole = F.lit(True)
+        for k in keys:
+            whole = whole & k.isNotNull() & (k != "")
+        # the first row of a key copies no row, so copies need not be left out to find it
+        asked["_same_key"] = (keys, whole)
+    found = Repeats(frame, asked)
+    out = found.mark(out, "_copy")
+    if "_same_key" not in asked:
         return out.withColumn("_same_key", F.lit(False))
-    keys = [values.key(ctx.source(k)) for k in ctx.contract.business_key]
-    whole = F.lit(True)
-    for k in keys:
-        whole = whole & k.isNotNull() & (k != "")
-    # the first row of a key copies no row, so copies need not be left out to find it
-    out = repeats(out, keys, "_same_key", among=whole, base=frame)
+    out = found.mark(out, "_same_key")
     return out.withColumn("_same_key", F.col("_same_key") & ~F.col("_copy"))

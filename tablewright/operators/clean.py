@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from tablewright.errors import ProcessingFailed, TablewrightError
 from tablewright.functions import names, values
 from tablewright.operators.checks import quoted
-from tablewright.operators.rows import ROW, numbered, repeats
+from tablewright.operators.rows import ROW, bounded, numbered, repeats
 from tablewright.plans.contracts import Catalog, Contract
 from tablewright.plans.settings import Cleaning
 
@@ -192,12 +192,12 @@ class Cleaner:
             frame = repeats(frame, bare, "_copy")
         else:
             frame = frame.withColumn("_copy", F.lit(False))
-        frame = self._keep(frame)
         live = {n: r for n, r in contract.columns.items() if n in work}
         if cfg.standardize_categories:
             new = {}
             free = [n for n, rule in live.items() if rule.type == "category" and not rule.allowed]
             spellings = modal_spellings(frame.where(~F.col("_copy")), free) if free else None
+            shown = bounded(spellings) if free else None  # categories are few; if not, they are joined with a shuffle
             for n, rule in live.items():
                 if rule.type != "category":
                     continue
@@ -205,7 +205,7 @@ class Cleaner:
                     pairs = [x for v in rule.allowed for x in (F.lit(v.strip().lower().replace("ß", "ss")), F.lit(v))]
                     found = F.element_at(F.create_map(*pairs), values.key(quoted(n)))
                 else:
-                    own = spellings.where(F.col("_c") == n).select(F.col("_k").alias(f"_k_{n}"), F.col("_v").alias(f"_v_{n}"))
+                    own = (spellings if shown is None else F.broadcast(shown)).where(F.col("_c") == n).select(F.col("_k").alias(f"_k_{n}"), F.col("_v").alias(f"_v_{n}"))
                     frame = frame.join(own, values.key(quoted(n)) == F.col(f"_k_{n}"), "left").drop(f"_k_{n}")
                     found = cased(F.col(f"_v_{n}"), cfg.category_case)
                 new[n] = F.coalesce(found, quoted(n).cast("string"))
@@ -240,7 +240,7 @@ class Cleaner:
         return frame.drop(*[f"_bad_{n}" for n in typed]), {c: mapping[c] for c in columns if c != mapping[c]}, df
 
     def _keep(self, frame: DataFrame) -> DataFrame:
-        """Frames that several plans read are held (in memory, on disk beyond it) until release()."""
+        """The typed frame, which all results are made from, is held (in memory, on disk beyond it) until release()."""
         self._held.append(frame.persist(StorageLevel.MEMORY_AND_DISK))
         return self._held[-1]
 
@@ -282,12 +282,12 @@ class Cleaner:
         keep_bad = cfg.invalid_rows == "keep"
         bad = F.size("_reasons") > 0
         kept = ~F.col("_copy") & (F.lit(True) if keep_bad else ~bad)
-        frame = self._keep(frame.withColumn("_kept", kept))
+        frame = frame.withColumn("_kept", kept)
         columns = [c for c in frame.columns if c not in (ROW, "_original", "_changes", "_copy", "_reasons", "_kept")]
         joined = F.array_join("_reasons", "; ")
         data = frame.where("_kept").select(ROW, *map(quoted, columns), *([F.when(bad, joined).alias(ISSUES)] if keep_bad else []))
         reason = F.when(F.col("_copy"), COPY_REASON).otherwise(joined)
-        quarantine = frame.where("not _kept").select(ROW, "_original.*", reason.alias(REASON))
+        quarantine = frame.where("not _kept").select(ROW, "_original.*", reason.alias(REASON)).orderBy(ROW)
         counts = frame.agg(
             F.count("*").alias("n"),
             F.count_if("_kept").alias("kept"),

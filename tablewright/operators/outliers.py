@@ -7,15 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewright.operators.rows import bounded, durable
 from tablewright.plans.settings import Anomaly
 
 
 def _with_stats(df: DataFrame, by: Sequence[str], *stats) -> DataFrame:
-    """Group statistics beside each row: aggregated first, then joined, so that a large group is combined before it is shuffled."""
+    """Group statistics beside each row: aggregated first, so that a large group is combined before it is shuffled. A bounded
+    number of groups is broadcast; more are joined from a checkpoint, so that adaptive execution can split a large group."""
     if not by:
         return df.crossJoin(F.broadcast(df.agg(*stats)))
     found = df.groupBy(*by).agg(*stats)
     renamed = found.select(*[F.col(c).alias(f"_by_{c}") for c in by], *[c for c in found.columns if c not in by])
+    small = bounded(renamed)
+    renamed = durable(renamed) if small is None else F.broadcast(small)
     on = [df[c].eqNullSafe(renamed[f"_by_{c}"]) for c in by]
     return df.join(renamed, on).drop(*[f"_by_{c}" for c in by])
 

@@ -1,11 +1,16 @@
-"""Column profiles and type detection: one aggregation over the whole table, votes instead of samples."""
+"""Column profiles and type detection: votes of all values instead of samples.
+
+The cells of all columns are first combined by value, in one aggregation; each different value is then looked at once, with the
+number of its rows and the first of them, and the votes, the numbers of different values and the samples all come from there.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,52 +103,88 @@ def detected(kind: T.DataType, v: dict) -> str:
     return "string"
 
 
-def _distinct(df: DataFrame) -> dict[str, dict[str, int]]:
-    """Different values of each column, exactly, raw and stripped: cells are first combined by value, all columns at once."""
-    columns = [c for c in df.columns if c != ROW]
-    cells = []
-    for k, c in enumerate(columns):
-        own = F.when(~values.blank(quoted(c), df.schema[c].dataType), quoted(c).cast("string"))
-        cells += [F.struct(F.lit(k).alias("k"), F.lit(False).alias("bare"), own.alias("v")), F.struct(F.lit(k).alias("k"), F.lit(True).alias("bare"), values.strip(own).alias("v"))]
-    each = df.select(F.explode(F.array(*cells)).alias("x")).select("x.*").where("v is not null").distinct()
-    out: dict[str, dict[str, int]] = {c: {"unique": 0, "texts": 0} for c in columns}
-    for r in each.groupBy("k", "bare").agg(F.count("*").alias("n")).collect():  # two rows for each column
-        out[columns[r["k"]]]["texts" if r["bare"] else "unique"] = r["n"]
+def _values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """k (the column's number), v, n and first (row) of each different value that is not blank."""
+    at = F.col(ROW) if ROW in df.columns else F.lit(0)
+    cells = [F.struct(F.lit(k).alias("k"), F.when(~values.blank(quoted(c), df.schema[c].dataType), quoted(c).cast("string")).alias("v")) for k, c in enumerate(columns)]
+    each = df.select(at.alias("at"), F.explode(F.array(*cells)).alias("x")).select("at", "x.*").where("v is not null")
+    return each.groupBy("k", "v").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+
+
+def _of_values(each: DataFrame, texts: list[int]) -> dict[int, dict]:
+    """By column number: n, unique, and the votes of text columns, whose values are parsed once each."""
+    is_text, n = F.col("k").isin(texts), F.col("n")
+    text = values.strip(F.col("v"))
+    bare = F.regexp_replace(F.regexp_replace("v", ",", ""), rf"%+[{values.WHITE}]*$", "")
+    held = each.withColumns({"text": F.when(is_text, text), "number": F.when(is_text, values.number(bare).value), "moment": F.when(is_text, values.timestamp(F.col("v"), dayfirst=False))})
+    count = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0))
+    text, number, moment = F.col("text"), F.col("number"), F.col("moment")
+    votes = held.groupBy("k").agg(
+        F.sum(n).alias("n"),
+        F.count("*").alias("unique"),
+        count(F.lower(text).isin(list(BOOLEAN_WORDS))).alias("words"),
+        count(number.isNotNull()).alias("numbers"),
+        count(text.endswith("%")).alias("percents"),
+        F.bool_and(F.when(number.isNotNull(), F.pmod(number, F.lit(1.0)) == 0)).alias("whole"),
+        count(text.rlike(r"[-/.:]|\d\s+[A-Za-z]{3}")).alias("marks"),
+        count(moment.isNotNull()).alias("dates"),
+        F.bool_or(F.date_trunc("DAY", moment) != moment).alias("clock"),
+        F.count_if(text != F.col("v")).alias("dressed"),
+    )
+    out = {r["k"]: r.asDict() for r in votes.collect()}  # a row for each column
+    dressed = [k for k, r in out.items() if r["dressed"]]
+    for r in out.values():
+        r["texts"] = r["unique"]
+    if dressed:  # values that are equal when stripped
+        rows = each.where(F.col("k").isin(dressed)).select("k", values.strip(F.col("v")).alias("text")).distinct().groupBy("k").agg(F.count("*").alias("n"))
+        for r in rows.collect():
+            out[r["k"]]["texts"] = r["n"]
     return out
 
 
-def votes(df: DataFrame, approximate: bool = False) -> tuple[int, dict[str, dict]]:
-    """Rows, and the votes of each column: one job of counts and, unless approximate, one of distinct values."""
+def _firsts(each: DataFrame, order: str, n: int = SAMPLES) -> dict[int, tuple[str, ...]]:
+    """By column number: the first n values. Tasks keep n of each column before they shuffle."""
+    rows = each.withColumn("at", F.row_number().over(Window.partitionBy("k").orderBy(order, "v"))).where(F.col("at") <= n)
+    out: dict[int, list[str]] = {}
+    for r in rows.orderBy("k", "at").collect():  # n rows for each column
+        out.setdefault(r["k"], []).append(r["v"])
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def votes(df: DataFrame, approximate: bool = False, with_samples: bool = False) -> tuple[int, dict[str, dict]]:
+    """Rows, and the votes of each column (with samples, where they are asked for). Approximate: one aggregation without a shuffle
+    of values."""
     columns = [c for c in df.columns if c != ROW]
     kinds = [df.schema[c].dataType for c in columns]
-    asked = {(c, name): col for k, (c, kind) in enumerate(zip(columns, kinds, strict=True)) for name, col in _votes(quoted(c), k, kind, approximate).items()}
-    plain, df = df, df.withColumns({n: v for k, (c, kind) in enumerate(zip(columns, kinds, strict=True)) for n, v in _parsed(quoted(c), k, kind).items()})
+    direct = [k for k, kind in enumerate(kinds) if approximate or not isinstance(kind, T.StringType)]
+    asked = {(k, name): col for k in direct for name, col in _votes(quoted(columns[k]), k, kinds[k], approximate).items()}
+    plain, df = df, df.withColumns({n: v for k in direct for n, v in _parsed(quoted(columns[k]), k, kinds[k]).items()})
     row = df.agg(F.count("*").alias("n"), *[col.alias(f"v{k}") for k, col in enumerate(asked.values())]).first()
-    out: dict[str, dict] = {c: {} for c in columns}
-    for k, (c, name) in enumerate(asked):
-        out[c][name] = row[f"v{k}"]
-    if not approximate:
-        for c, own in _distinct(plain).items() if columns else ():
-            out[c] |= own
+    out: dict[str, dict] = {c: {"n": 0, "unique": 0} for c in columns}
+    for at, (k, name) in enumerate(asked):
+        out[columns[k]][name] = row[f"v{at}"]
+    if not approximate and columns:
+        each = _values(plain, columns).persist(StorageLevel.MEMORY_AND_DISK)
+        for k, own in _of_values(each, [k for k in range(len(columns)) if k not in direct]).items():
+            out[columns[k]] = (own if k not in direct else {"unique": own["unique"]} | out[columns[k]]) | {"unique": own["unique"]}
+        if with_samples:
+            for k, found in _firsts(each, "first").items():
+                out[columns[k]]["samples"] = found
+        each.unpersist()
     return row["n"], out
 
 
 def samples(df: DataFrame, column: str, n: int = SAMPLES) -> tuple[str, ...]:
-    """The first distinct values, by row number where there is one."""
-    own = quoted(column)
-    rows = df.where(~values.blank(own, df.schema[column].dataType))
-    if ROW not in df.columns:
-        return tuple(r["v"] for r in rows.select(own.cast("string").alias("v")).distinct().orderBy("v").limit(n).collect())
-    first = rows.groupBy(own.cast("string").alias("v")).agg(F.min(ROW).alias("at")).orderBy("at").limit(n)
-    return tuple(r["v"] for r in first.collect())
+    """The first distinct values, by row number where there is one, else in order."""
+    return _firsts(_values(df.select(*[c for c in df.columns if c in (column, ROW)]), [column]), "first", n).get(0, ())
 
 
 def profile(df: DataFrame, *, approximate: bool = False, with_samples: bool = True) -> list[ColumnProfile]:
-    total, found = votes(df, approximate)
+    total, found = votes(df, approximate, with_samples)
     out = []
     for c, v in found.items():
         pct = round((total - v["n"]) / total * 100, 2) if total else 0.0
-        out.append(ColumnProfile(c, detected(df.schema[c].dataType, v), v["n"], total - v["n"], pct, v["unique"], samples(df, c) if with_samples else ()))
+        out.append(ColumnProfile(c, detected(df.schema[c].dataType, v), v["n"], total - v["n"], pct, v["unique"], (v["samples"] if "samples" in v else samples(df, c) if approximate else ()) if with_samples else ()))
     return out
 
 

@@ -199,7 +199,7 @@ class Validator:
 
     def annotate(self, df: DataFrame, dataset: str) -> tuple[DataFrame, list[Finding], Context]:
         """The table with _issues (ordinal and value of each failing check) and _invalid. No job but the row count by partition
-        where rows have no numbers yet."""
+        where rows have no numbers yet, and that of the keys that repeat."""
         df = numbered(df)
         contract = self.catalog[dataset]
         found = names.match([c for c in df.columns if c != ROW], contract)

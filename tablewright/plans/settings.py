@@ -137,7 +137,9 @@ class Settings:
     anomaly: Anomaly = Anomaly()
     thresholds: Thresholds = Thresholds()
     top_n: int = 10
-    features: dict[str, bool] = field(default_factory=dict)
+    features: dict[str, bool] = field(default_factory=lambda: {"email": False, "ai_analysis": False, "google_sheets": False})
+    paths: dict[str, str] = field(default_factory=lambda: {"logs": "logs", "reports": "reports", "uploads": "uploads", "database": "data/tablewright.db"})
+    holidays: str | None = None
 
 
 def settings(data: Mapping[str, Any]) -> Settings:
@@ -151,5 +153,7 @@ def settings(data: Mapping[str, Any]) -> Settings:
             if odd := set(value) - {f.name for f in fields(now)}:
                 raise ConfigError(f"{name}: unknown setting(s) {', '.join(sorted(odd))}")
             value = replace(now, **{k: tuple(v) if isinstance(v, list) else v for k, v in value.items()})
+        elif isinstance(now, dict) and isinstance(value, Mapping):
+            value = now | dict(value)
         out = replace(out, **{name: value})
     return out

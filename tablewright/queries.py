@@ -210,6 +210,93 @@ def dq_issue_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _validator().validate(dirty(spark, sf_dir), "orders").issues().select("row", "column", "check", "value")
 
 
+#: The checks of the dirty orders in the order in which they are reported.
+_CHECK_ORDER = """CASE WHEN "check" = 'missing_values' AND "column" = 'branch' THEN 1 WHEN "check" = 'missing_values' THEN 2 WHEN "check" = 'invalid_dates' THEN 3
+  WHEN "check" = 'invalid_numbers' THEN 4 WHEN "check" = 'invalid_categories' THEN 5 WHEN "check" = 'negative_values' THEN 6 WHEN "check" = 'consistency_rule' THEN 7 ELSE 8 END"""
+
+
+@query("dq_issue_log_capped", f'SELECT "row", "column", "check", value FROM ({_SQL_ISSUES}) ORDER BY {_CHECK_ORDER}, "row" LIMIT 400')
+def dq_issue_log_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cap keeps the checks that come first."""
+    return Validator(load_catalog(), Validation(issue_log_limit=400)).validate(dirty(spark, sf_dir), "orders").issues().select("row", "column", "check", "value")
+
+
+@query("dq_failed_checks", f"""SELECT "check", "column", 'error' AS severity, count(*) AS failed FROM ({_SQL_ISSUES}) GROUP BY 1, 2""")
+def dq_failed_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _validator().validate(dirty(spark, sf_dir), "orders").failing
+    return spark.createDataFrame([(r.name, r.column or "(row)", r.severity, r.failed) for r in found], "check string, column string, severity string, failed long")
+
+
+@query(
+    "dq_optional_severity",
+    f"""SELECT 'completed_at' AS "column", CASE WHEN count(*) FILTER (completed_at IS NULL) * 100.0 / count(*) > 5 THEN 'warning' ELSE 'info' END AS at_5,
+    CASE WHEN count(*) FILTER (completed_at IS NULL) * 100.0 / count(*) > 25 THEN 'warning' ELSE 'info' END AS at_25 FROM ({SQL_DIRTY})""",
+)
+def dq_optional_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An optional column with blanks is a warning over the threshold only."""
+    found = []
+    for threshold in (5, 25):
+        report = Validator(load_catalog(), Validation(missing_value_threshold=threshold)).validate(dirty(spark, sf_dir), "orders")
+        found += [r.severity for r in report.results if r.name == "missing_values" and r.column == "completed_at"]
+    return spark.createDataFrame([("completed_at", *found)], "column string, at_5 string, at_25 string")
+
+
+@query(
+    "dq_status",
+    f"""SELECT 'orders' AS name, CASE WHEN (SELECT count(*) FROM ({_SQL_ISSUES})) > 0 THEN 'PASSED WITH WARNINGS' ELSE 'PASSED' END AS status, CAST(0 AS BIGINT) AS blocking, false AS raised
+    UNION ALL SELECT 'nation', 'PASSED', 0, false
+    UNION ALL SELECT 'discounts', CASE WHEN count(*) FILTER (l_discount > 0.02) * 100 > 50 * count(*) THEN 'FAILED' ELSE 'PASSED WITH WARNINGS' END, CAST(count(*) FILTER (l_discount > 0.02) * 100 > 50 * count(*) AS BIGINT), count(*) FILTER (l_discount > 0.02) * 100 > 50 * count(*) FROM lineitem
+    UNION ALL SELECT 'nothing', 'FAILED', 1, true""",
+)
+def dq_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status, blocking rules and the raise gate of four tables: faulty, clean, under the least score, and empty."""
+    from tablewright.errors import ValidationFailed
+
+    only = {d: 1.0 if d == "consistency" else 0.0 for d in _RANGES.weights}
+    strict = Catalog({"n": contract({"columns": {"n_nationkey": {"type": "integer", "required": True}}}), "d": contract({"columns": {"l_discount": {"type": "percent", "max": 0.02}}})}, _RANGES.weights)
+    scored = Catalog(strict.contracts, weights(only))
+    nation, discounts = table(spark, sf_dir, "nation").select("n_nationkey"), table(spark, sf_dir, "lineitem").select("l_discount")
+    off = Validation(duplicate_check=False)
+    reports = {
+        "orders": _validator().validate(dirty(spark, sf_dir), "orders"),
+        "nation": Validator(strict, off).validate(nation, "n"),
+        "discounts": Validator(scored, off).validate(discounts, "d"),
+        "nothing": Validator(strict, off).validate(nation.limit(0), "n"),
+    }
+    rows = []
+    for name, report in reports.items():
+        try:
+            report.raise_if_blocking()
+            raised = False
+        except ValidationFailed:
+            raised = True
+        rows.append((name, report.status, len(report.blocking), raised))
+    return spark.createDataFrame(rows, "name string, status string, blocking long, raised boolean")
+
+
+@query("dq_column_mapping", "SELECT 'column_mapping' AS name, 'info' AS severity, 'Ticket ID as request_id' AS part")
+def dq_column_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dirty(spark, sf_dir).withColumnRenamed("request_id", "Ticket ID")
+    [found] = [r for r in _validator().validate(rows, "orders").results if r.name == "column_mapping"]
+    return spark.createDataFrame([(found.name, found.severity, "Ticket ID as request_id" if "'Ticket ID' as request_id" in found.message else found.message)], "name string, severity string, part string")
+
+
+@query("dq_custom_check", "SELECT 'whole_prices' AS name, 'p_retailprice' AS \"column\", count(*) AS checked, count(*) FILTER (p_retailprice % 1 <> 0) AS failed FROM part")
+def dq_custom_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A check from outside, beside the built-in ones."""
+    from tablewright.operators.checks import CHECKS, Check, Finding
+
+    class WholePrices(Check):
+        name = "whole_prices"
+
+        def findings(self, ctx) -> list[Finding]:
+            value = F.col("_cells.p_retailprice.value")
+            return [Finding(self.name, "validity", value.isNotNull(), value % 1 != 0, "p_retailprice", invalidates=True, message="{failed} price(s) are not whole.")]
+
+    report = Validator(_RANGES, Validation(duplicate_check=False), (*CHECKS, WholePrices())).validate(table(spark, sf_dir, "part").select("p_size", "p_retailprice"), "part")
+    return spark.createDataFrame([(r.name, r.column, r.checked, r.failed) for r in report.results if r.name == "whole_prices"], "name string, column string, checked long, failed long")
+
+
 @query("dq_valid_invalid_split", f'SELECT CAST(o_orderkey AS BIGINT) AS _source_row, o_orderkey IN (SELECT "row" FROM ({_SQL_ISSUES})) AS invalid FROM orders')
 def dq_valid_invalid_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame, _, _ = _validator().annotate(dirty(spark, sf_dir), "orders")
@@ -327,6 +414,35 @@ def clean_change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cleaner().clean(dirty(spark, sf_dir), "orders").changes()
 
 
+#: The changes of the dirty orders: step, place of the column, row, column, whether the row stays.
+_SQL_CHANGES = f"""
+ WITH c AS ({SQL_REASONS})
+ SELECT 0 AS step, 1 AS ordinal, _source_row, 'branch' AS "column", len(reasons) = 0 AS kept FROM c WHERE branch <> trim(branch)
+ UNION ALL SELECT 0, 3, _source_row, 'priority', len(reasons) = 0 FROM c WHERE priority <> trim(priority)
+ UNION ALL SELECT 1, 1, _source_row, 'branch', len(reasons) = 0 FROM c WHERE b_branch
+ UNION ALL SELECT 1, 7, _source_row, 'order_value', len(reasons) = 0 FROM c WHERE order_value = 'N/A'
+ UNION ALL SELECT 2, 1, _source_row, 'branch', len(reasons) = 0 FROM c WHERE NOT b_branch AND trim(branch) <> c_branch
+ UNION ALL SELECT 2, 3, _source_row, 'priority', len(reasons) = 0 FROM c WHERE trim(priority) <> c_priority
+ UNION ALL SELECT 2, 6, _source_row, 'status', len(reasons) = 0 FROM c WHERE status <> c_status
+ UNION ALL SELECT 3, 4, _source_row, 'created_at', len(reasons) = 0 FROM c WHERE v_created IS NULL
+ UNION ALL SELECT 3, 7, _source_row, 'order_value', len(reasons) = 0 FROM c WHERE v_value IS NULL AND order_value <> 'N/A'
+"""
+
+
+@query("clean_change_log_capped", f"""SELECT _source_row AS source_row, "column", list_value('Trim whitespace', 'Placeholders → missing', 'Standardise categories', 'Convert data types')[at + 1] AS step
+    FROM (SELECT *, step AS at FROM ({_SQL_CHANGES})) ORDER BY at, ordinal, _source_row LIMIT 7000""")
+def clean_change_log_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cap keeps the changes of the first steps and columns."""
+    out = Cleaner(load_catalog(), Cleaning(change_log_limit=7000)).clean(dirty(spark, sf_dir), "orders")
+    return out.changes().select("source_row", "column", "step")
+
+
+@query("clean_rows_modified", f"SELECT count(DISTINCT _source_row) FILTER (kept) AS rows_modified, count(*) AS cells FROM ({_SQL_CHANGES})")
+def clean_rows_modified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _cleaner().clean(dirty(spark, sf_dir), "orders")
+    return spark.createDataFrame([(out.modified, out.cells)], "rows_modified long, cells long")
+
+
 @query(
     "clean_summary",
     f"SELECT count(*) AS rows_before, count(*) FILTER (len(reasons) = 0) AS rows_after, count(*) FILTER (len(reasons) > 0) AS rows_removed FROM ({SQL_REASONS})",
@@ -717,9 +833,51 @@ def src_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.min(ROW).alias("first"), F.max(ROW).alias("last"), F.count_distinct(ROW).alias("different"))
 
 
-@query("src_preview", "SELECT o_orderkey FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 7)")
+@query("src_preview", "SELECT row_number() OVER (ORDER BY n_nationkey) AS _source_row, n_nationkey, n_name FROM nation ORDER BY 1 LIMIT 7")
 def src_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey")).orderBy("o_orderkey").limit(7)
+    from tablewright.sources.load import Parquet
+
+    return Parquet(spark, f"{sf_dir}/nation.parquet").load().preview(7).select(ROW, "n_nationkey", "n_name")
+
+
+@query(
+    "src_profile_table",
+    """SELECT 'p_partkey' AS name, 'integer' AS detected_type, count(*) AS non_null_count, CAST(0 AS BIGINT) AS null_count, count(DISTINCT p_partkey) AS unique_count FROM part
+    UNION ALL SELECT 'p_brand', 'category', count(*), 0, count(DISTINCT p_brand) FROM part UNION ALL SELECT 'p_size', 'integer', count(*), 0, count(DISTINCT p_size) FROM part""",
+)
+def src_profile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablewright.sources.load import Parquet
+
+    rows = Parquet(spark, f"{sf_dir}/part.parquet").load().columns_frame()
+    return rows.where(F.col("name").isin("p_partkey", "p_brand", "p_size")).select("name", "detected_type", "non_null_count", "null_count", "unique_count")
+
+
+@query("src_path_scan", "SELECT CAST(o_orderkey AS VARCHAR) AS order_key, o_orderpriority AS priority, CAST(o_custkey AS VARCHAR) AS customer FROM orders")
+def src_path_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders as delimited files of a folder, of which the driver reads the first lines alone."""
+    import atexit
+    import shutil
+    import tempfile
+    import uuid
+
+    from tablewright.sources import sinks
+    from tablewright.sources.load import create
+
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:  # only where no shared folder is named, as in tests
+        shared = tempfile.mkdtemp(prefix="tablewright-")
+        atexit.register(shutil.rmtree, shared, True)
+    folder = f"{shared.rstrip('/')}/orders-{uuid.uuid4().hex}"
+    sinks.to_csv(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("Order Key"), F.col("o_orderpriority").alias("Priority"), F.col("o_custkey").alias("Customer")), folder, header=False)
+    rows = create("delimited_path", spark, folder, header=None).table()[0]
+    return rows.select(F.col("column_1").alias("order_key"), F.col("column_2").alias("priority"), F.col("column_3").alias("customer"))
+
+
+@query("src_registry", "SELECT * FROM (VALUES ('csv', '.csv,.tsv,.txt'), ('delimited_path', ''), ('parquet', '.parquet'), ('sheets', ''), ('sql', ''), ('xlsx', '.xlsx')) t(kind, endings)")
+def src_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablewright.sources.load import kinds
+
+    return spark.createDataFrame([(k, ",".join(sorted(e))) for k, e in kinds().items()], "kind string, endings string")
 
 
 # -------------------------------------------------------------- reports and summaries

@@ -5,32 +5,38 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from pathlib import PurePath
+from collections.abc import Callable, Iterator
+
+from pyspark.errors import ParseException
+from pyspark.sql import SparkSession
 
 from tablewright.errors import SourceError, UnsupportedFile
 from tablewright.plans.settings import Upload
 
 #: First bytes of files that are no text.
-SIGNATURES = {
-    b"MZ": "Windows executable",
-    b"\x7fELF": "Linux executable",
-    b"%PDF": "PDF document",
-    b"PK\x03\x04": "ZIP archive",
-    b"\xd0\xcf\x11\xe0": "legacy Office file",
-    b"#!": "script",
-}
-#: Words that a read-only query must not hold.
+PROGRAM, PDF, ARCHIVE, OLD_OFFICE, SCRIPT = (b"MZ", b"\x7fELF"), (b"%PDF",), (b"PK\x03\x04",), (b"\xd0\xcf\x11\xe0",), (b"#!",)
+#: Byte order marks of encodings in which a zero byte is text.
+WIDE_TEXT = (b"\xff\xfe", b"\xfe\xff")
+#: Bytes that are looked at, and characters that a name may have.
+HEAD, NAME = 8192, 200
+#: What a file name may hold beside letters and digits; words that a read-only query must not hold.
+NAME_SIGNS = "_.-()&+ "
 CHANGING = ("insert", "update", "delete", "drop", "alter", "create", "truncate", "grant", "revoke", "merge", "replace", "attach", "pragma")
 
 
 def safe_name(name: str) -> str:
-    """The last part of a path, without control characters; what is not a letter, digit or one of _.-()&+ and space becomes _."""
-    text = unicodedata.normalize("NFKC", PurePath(name.replace("\\", "/")).name)
-    text = "".join(c for c in text if not unicodedata.category(c).startswith("C"))
-    text = re.sub(r"[^\w.\- ()&+]", "_", text).strip(" .")[:200]
-    if not text:
+    """The last part of a path in its composed form: control characters go, other signs become _."""
+
+    def safe(sign: str) -> str:
+        if sign.isalnum() or sign in NAME_SIGNS:
+            return sign
+        return "" if unicodedata.category(sign)[0] == "C" else "_"
+
+    last = re.split(r"[/\\]", name)[-1]
+    kept = "".join(map(safe, unicodedata.normalize("NFKC", last))).strip(". ")
+    if not kept:
         raise UnsupportedFile(f"{name!r} is no usable file name")
-    return text
+    return kept[:NAME]
 
 
 def size_label(n: int) -> str:
@@ -49,24 +55,31 @@ def check_size(name: str, size: int, upload: Upload) -> None:
         raise UnsupportedFile(f"{name} has {size_label(size)}; at most {upload.max_file_size_mb:g} MB are taken")
 
 
+def _faults_of_workbooks(head: bytes) -> Iterator[str]:
+    if not head.startswith(ARCHIVE):
+        yield "is no Excel workbook"
+
+
+def _faults_of_text(head: bytes) -> Iterator[str]:
+    kinds = {"a program": PROGRAM, "a PDF document": PDF, "a compressed archive": ARCHIVE, "a workbook of an old format": OLD_OFFICE, "a script": SCRIPT}
+    yield from (f"is {kind}, not text" for kind, marks in kinds.items() if head.startswith(marks))
+    if 0 in head and not head.startswith(WIDE_TEXT):
+        yield "holds binary data"
+
+
+#: What is wrong with the first bytes of a file, by its ending; of other endings, as text.
+FAULTS: dict[str, Callable[[bytes], Iterator[str]]] = {"xlsx": _faults_of_workbooks}
+
+
 def check_upload(name: str, content: bytes, upload: Upload | None = None) -> str:
     """The safe name of an upload that may be read."""
-    upload = upload or Upload()
-    name = safe_name(name)
-    ending = PurePath(name).suffix.lower()
-    if ending not in upload.allowed_extensions:
-        raise UnsupportedFile(f"{name}: only {', '.join(upload.allowed_extensions)} are taken")
+    name, upload = safe_name(name), upload or Upload()
+    _, dot, ending = name.lower().rpartition(".")
+    if dot + ending not in upload.allowed_extensions:
+        raise UnsupportedFile(f"{name} is none of {', '.join(upload.allowed_extensions)}")
     check_size(name, len(content), upload)
-    head = content[:8192]
-    if ending == ".xlsx":
-        if not head.startswith(b"PK\x03\x04"):
-            raise UnsupportedFile(f"{name} is no Excel workbook")
-        return name
-    for first, label in SIGNATURES.items():
-        if head.startswith(first):
-            raise UnsupportedFile(f"{name} is a {label}, not text")
-    if b"\0" in head and not head.startswith((b"\xff\xfe", b"\xfe\xff")):
-        raise UnsupportedFile(f"{name} holds binary data")
+    for fault in FAULTS.get(ending, _faults_of_text)(content[:HEAD]):
+        raise UnsupportedFile(f"{name} {fault}")
     return name
 
 
@@ -84,16 +97,44 @@ def _without_literals(query: str) -> str:
     return re.sub(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", " '' ", query, flags=re.S)
 
 
-def check_query(query: str) -> str:
-    """A single SELECT or WITH that changes nothing; words inside literals, quoted names and comments do not count."""
+def _changes(spark: SparkSession, query: str) -> bool:
+    """Whether a statement does anything but select, by the plan that Spark's parser makes of it. ParseException: not one
+    statement, or of another dialect."""
+    jvm = spark.sparkContext._jvm
+    logical = "org.apache.spark.sql.catalyst.plans.logical."
+    doing = [jvm.java.lang.Class.forName(logical + kind) for kind in ("Command", "ParsedStatement")]
+    plans = [spark._jsparkSession.sessionState().sqlParser().parsePlan(query)]
+    while plans:
+        plan = plans.pop()
+        if any(kind.isInstance(plan) for kind in doing):
+            return True
+        children = plan.children()
+        plans += [children.apply(k) for k in range(children.size())]
+    return False
+
+
+def check_query(query: str, *, foreign: bool = False) -> str:
+    """A single SELECT or WITH that changes nothing. Spark's parser decides, where there is a session; of what it cannot read in a
+    foreign dialect, the words outside literals, quoted names and comments do."""
     bare = _without_literals(query).strip().rstrip(";")
-    if ";" in bare or not re.match(r"(?i)\s*(select|with)\b", bare):
-        raise SourceError("only one SELECT or WITH statement is taken", user_message="The query must be a single SELECT.")
-    if found := re.search(rf"(?i)\b({'|'.join(CHANGING)})\b(?!\s*\()", bare):
-        raise SourceError(f"the query holds {found[1]!r}", user_message="The query could change data and was refused.")
+    refused = SourceError("only one SELECT or WITH statement is taken", user_message="The query must be a single SELECT that changes nothing.")
+    if not re.match(r"(?i)(select|with)\b", bare):
+        raise refused
+    spark = SparkSession.getActiveSession()
+    try:
+        if spark is not None and _changes(spark, query.strip().rstrip(";")):
+            raise refused
+        by_words = spark is None
+    except ParseException as e:
+        if not foreign:
+            raise refused from e
+        by_words = True
+    if by_words and (";" in bare or re.search(rf"(?i)\b({'|'.join(CHANGING)})\b(?!\s*\()", bare)):
+        raise refused
     return query.strip().rstrip(";")
 
 
-def redact(url: str) -> str:
-    """A URL without its password."""
-    return re.sub(r"(?i)(://[^:/@\s]+:)[^@\s]*(@)|((?:password|pwd)=)[^;&\s]*", lambda m: f"{m[1]}***{m[2]}" if m[1] else f"{m[3]}***", url)
+def redact(text: str) -> str:
+    """A text without the passwords of its URLs and settings."""
+    text = re.sub(r"(://[^:/@\s]+:)[^@\s]*(?=@)", r"\1***", text)
+    return re.sub(r"(?i)\b((?:password|passwd|pwd|secret|token|api_?key)\s*[=:]\s*)[^;&,\s]+", r"\1***", text)

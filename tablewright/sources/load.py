@@ -42,10 +42,19 @@ def source(kind: str, *endings: str):
     return add
 
 
-def create(kind: str, *args: Any, **options: Any) -> Source:
+def kinds() -> dict[str, tuple[str, ...]]:
+    """The registered kinds of sources, with the file endings of each."""
+    return {kind: tuple(e for e, k in ENDINGS.items() if k == kind) for kind in sorted(REGISTRY)}
+
+
+def kind_class(kind: str) -> type[Source]:
     if kind not in REGISTRY:
-        raise SourceError(f"no source {kind!r}; there are {', '.join(sorted(REGISTRY))}")
-    return REGISTRY[kind](*args, **options)
+        raise SourceError(f"no source {kind!r}; there are {', '.join(kinds())}")
+    return REGISTRY[kind]
+
+
+def create(kind: str, *args: Any, **options: Any) -> Source:
+    return kind_class(kind)(*args, **options)
 
 
 def for_upload(spark: SparkSession, name: str, content: bytes, upload: Upload | None = None, **options: Any) -> Source:
@@ -184,24 +193,66 @@ class Delimited(_File):
 
     def read(self) -> tuple[DataFrame, bool, dict[str, Any]]:
         text, encoding = decode(self.content, self.upload.csv_encoding_fallbacks, self.encoding)
-        mark = self.delimiter or sniff(text)
-        width = max((len(r) for _, r in zip(range(HEAD_LINES), csv.reader(text.splitlines(keepends=True), delimiter=mark), strict=False)), default=0)
-        if not width:
-            raise SourceError(f"{self.name} has no rows")
-        schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(width)] + [T.StructField("_corrupt", T.StringType())])
-        rows = scan_csv(self.spark, self.staged(text.encode(), ".csv"), schema, mark, multiline='"' in text)
-        wide = rows.where("_corrupt is not null").limit(1).collect()
-        if wide:
-            raise SourceError(f"a row has more than {width} cells: {wide[0]['_corrupt'][:80]!r}", user_message="A row has more cells than the header.")
-        return numbered(rows.drop("_corrupt")), False, self.details() | {"encoding": encoding, "delimiter": mark}
+        rows, mark = _delimited(self.spark, self.name, self.staged(text.encode(), ".csv"), text, self.delimiter, multiline='"' in text)
+        return rows, False, self.details() | {"encoding": encoding, "delimiter": mark}
+
+
+def _delimited(spark: SparkSession, name: str, path: str, head: str, delimiter: str | None, *, encoding: str = "utf-8", multiline: bool = False) -> tuple[DataFrame, str]:
+    """Numbered rows of a delimited file, and its delimiter. head: its first lines, or the whole of it."""
+    mark = delimiter or sniff(head)
+    width = max((len(r) for _, r in zip(range(HEAD_LINES), csv.reader(head.splitlines(keepends=True), delimiter=mark), strict=False)), default=0)
+    if not width:
+        raise SourceError(f"{name} has no rows")
+    schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(width)] + [T.StructField("_corrupt", T.StringType())])
+    rows = scan_csv(spark, path, schema, mark, encoding=encoding, multiline=multiline)
+    wide = rows.where("_corrupt is not null").limit(1).collect()
+    if wide:
+        raise SourceError(f"a row has more than {width} cells: {wide[0]['_corrupt'][:80]!r}", user_message="A row has more cells than the header.")
+    return numbered(rows.drop("_corrupt")), mark
+
+
+@source("delimited_path")
+class DelimitedPath(Source):
+    """Delimited text of any size, where Spark reads it (a file or a folder of files): the driver reads the first HEAD_BYTES of
+    one file alone, for the encoding, the delimiter and the width; the scan is distributed. A quoted cell has no line feeds,
+    unless multiline is set, which makes a file one task."""
+
+    def __init__(self, spark: SparkSession, path: str, *, delimiter: str | None = None, encoding: str | None = None, multiline: bool = False, header: str | int | None = "auto") -> None:
+        super().__init__(spark, os.path.basename(path.rstrip("/")), header=header)
+        self.path, self.delimiter, self.encoding, self.multiline = path, delimiter, encoding, multiline
+
+    def _head(self) -> bytes:
+        context = self.spark.sparkContext
+        jvm, conf = context._jvm, context._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = path.getFileSystem(conf)
+        if not fs.exists(path):
+            raise SourceError(f"{self.path} does not exist")
+        files = [f for f in fs.listStatus(path) if f.isFile() and f.getLen() and not f.getPath().getName().startswith(("_", "."))]
+        if not files:
+            raise SourceError(f"{self.path} is empty")
+        first = min(files, key=lambda f: f.getPath().toString())
+        stream = fs.open(first.getPath())
+        try:
+            return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(HEAD_BYTES, first.getLen())))
+        finally:
+            stream.close()
+
+    def read(self) -> tuple[DataFrame, bool, dict[str, Any]]:
+        head = self._head()
+        whole = head.rfind(b"\n") + 1 if len(head) == HEAD_BYTES else len(head)
+        text, encoding = decode(head[:whole] or head, Upload().csv_encoding_fallbacks, self.encoding)
+        rows, mark = _delimited(self.spark, self.name, self.path, text, self.delimiter, encoding={"utf-8-sig": "utf-8"}.get(encoding, encoding), multiline=self.multiline)
+        return rows, False, {"path": self.path, "encoding": encoding, "delimiter": mark}
 
 
-def scan_csv(spark: SparkSession, path: str, schema: T.StructType, delimiter: str, *, multiline: bool = False) -> DataFrame:
+def scan_csv(spark: SparkSession, path: str, schema: T.StructType, delimiter: str, *, encoding: str = "utf-8", multiline: bool = False) -> DataFrame:
     options = {"sep": delimiter, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "multiLine": multiline, "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    rows = spark.read.schema(schema).options(**options).csv(path)
+    # whole rows are parsed, so that a wide one is seen whatever columns are asked for
+    rows = spark.read.schema(schema).options(**options, encoding=encoding, columnPruning=False).csv(path)
     cells = F.size(F.split(F.regexp_replace("_corrupt", r'"[^"]*"', ""), re.escape(delimiter)))
     # a short row is marked too, but is only padded
-    return rows.cache().withColumn("_corrupt", F.when(cells > len(schema.fields) - 1, F.col("_corrupt")))
+    return rows.withColumn("_corrupt", F.when(cells > len(schema.fields) - 1, F.col("_corrupt")))
 
 
 @source("xlsx", ".xlsx")
@@ -241,7 +292,7 @@ class Sql(Source):
     def __init__(self, spark: SparkSession, url: str | None = None, *, table: str | None = None, query: str | None = None, params: dict[str, Any] | None = None, options: dict[str, str] | None = None) -> None:
         if (table is None) == (query is None):
             raise SourceError("either a table or a query is needed")
-        self.what = guards.check_identifier(table) if table else guards.check_query(query)
+        self.what = guards.check_identifier(table) if table else guards.check_query(query, foreign=url is not None)
         self.is_table, self.url, self.params, self.options = table is not None, url, params or {}, options or {}
         super().__init__(spark, table or "query")
 

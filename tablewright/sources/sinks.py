@@ -11,8 +11,8 @@ from tablewright.sources import workbook
 SHEET_ROWS = 100_000
 
 
-def to_csv(df: DataFrame, path: str, *, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+def to_csv(df: DataFrame, path: str, *, mode: str = "overwrite", header: bool = True) -> None:
+    df.write.mode(mode).option("header", header).csv(path)
 
 
 def to_parquet(df: DataFrame, path: str, *, by: tuple[str, ...] = (), mode: str = "overwrite") -> None:

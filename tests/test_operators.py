@@ -24,6 +24,72 @@ def test_numbered_and_repeats(spark):
         seen.add(r["k"])
 
 
+@pytest.mark.parametrize("shown", [100_000, 0])
+def test_repeats_split_hot_keys_and_rows_outside(spark, monkeypatch, shown):
+    """A key on a third of the rows, and half of the rows outside: no partition of the marked rows is far over the mean."""
+    monkeypatch.setattr(rows, "SHOWN", shown)
+    monkeypatch.setattr(rows, "HOT_ROWS", 100)
+    n = 24_000
+    own = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {name: spark.conf.get(name) for name in own}
+    for name, value in own.items():
+        spark.conf.set(name, value)
+    try:
+        df = spark.range(1, n + 1, 1, 6).select(F.col("id").alias("_source_row"), F.when(F.col("id") % 3 == 0, 7).otherwise((F.col("id") / 2).cast("long") + 100).alias("k"), (F.col("id") % 2 == 0).alias("use"))
+        for among in (None, F.col("use")):
+            out = rows.repeats(df, [F.col("k")], "again", among=among).withColumn("pid", F.spark_partition_id()).collect()
+            seen, sizes = set(), {}
+            for r in sorted(out, key=lambda r: r["_source_row"]):
+                used = among is None or r["use"]
+                assert r["again"] == (used and r["k"] in seen)
+                seen |= {r["k"]} if used else set()
+                sizes[r["pid"]] = sizes.get(r["pid"], 0) + 1
+            assert len(out) == n and max(sizes.values()) < 2 * n / len(sizes), sizes
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def test_numbers_of_groups_that_are_joined(spark, monkeypatch):
+    df = spark.createDataFrame([(i % 40, float(i % 7)) for i in range(800)], "g int, v double")
+    want = sorted(map(tuple, outliers.iqr(df, "v", ["g"]).collect()))
+    monkeypatch.setattr(rows, "SHOWN", 3)
+    assert sorted(map(tuple, outliers.iqr(df, "v", ["g"]).collect())) == want
+
+
+def test_workspace(tmp_path, capsys):
+    import logging
+
+    from tablewright.errors import FeatureUnavailable
+    from tablewright.plans.workspace import Workspace, stage, start_logging
+
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "tablewright.yaml").write_text("")
+    own = Workspace(settings({"features": {"email": True}, "holidays": "days.csv"}), {"SMTP_HOST": "h"}, tmp_path / "a" / "b")
+    assert own.home == tmp_path.resolve() and own.path("logs") == own.home / "logs" and own.holidays == own.home / "days.csv" and own.locate("/x") == own.locate("/x").resolve()
+    assert own.folder("reports").is_dir() and own.database.startswith("sqlite:///") and own.features() == {"email": False, "ai_analysis": False, "google_sheets": False}
+    named = Workspace(own.settings, {"SMTP_HOST": "h", "SMTP_FROM": "f", "DATABASE_URL": "db://x", "TABLEWRIGHT_HOME": str(tmp_path / "a")}, tmp_path)
+    named.need("email")
+    assert named.features()["email"] and named.database == "db://x" and named.home == (tmp_path / "a").resolve()
+    for feature in ("email", "ai_analysis"):
+        with pytest.raises(FeatureUnavailable):
+            own.need(feature)
+    with pytest.raises(ConfigError):
+        own.path("nowhere")
+    for _ in range(2):
+        log = start_logging(tmp_path / "logs", console=False)
+    assert len(log.handlers) == 1
+    log.info("password=%s of db://user:%s@host", "hidden1", "hidden2")
+    with pytest.raises(ZeroDivisionError), stage("dividing") as took:
+        1 / 0  # noqa: B018
+    assert took.seconds == took.seconds >= 0
+    for handler in logging.getLogger("tablewright").handlers:
+        handler.flush()
+    text = (tmp_path / "logs" / "tablewright.log").read_text()
+    assert text.count("password=***") == 1 and "hidden" not in text and "dividing took" in text
+    start_logging(console=False)
+
+
 def working_seconds(a, b, calendar, off):
     total, day = 0, a.date()
     while day <= b.date():

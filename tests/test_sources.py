@@ -102,7 +102,8 @@ def test_sheets(spark):
 
 
 def test_guards():
-    assert guards.safe_name("../../x;rm.csv") == "x_rm.csv"
+    assert guards.safe_name("../../x;rm.csv") == "x_rm.csv" and guards.safe_name("C:\\d\\\u0007Caf\u00e9 (1).csv.") == "Caf\u00e9 (1).csv" and len(guards.safe_name("x" * 900)) == 200
+    assert guards.redact("a password = hidden; token:x&k=1") == "a password = ***; token:***&k=1"
     for name, content in (("a.exe", b"x"), ("a.csv", b""), ("a.csv", b"MZ.."), ("a.csv", b"a\0b"), ("a.xlsx", b"text"), ("...", b"x")):
         with pytest.raises(UnsupportedFile):
             guards.check_upload(name, content)
@@ -112,6 +113,46 @@ def test_guards():
         load.create("none")
 
 
+def test_delimited_paths(spark, tmp_path):
+    """Files of a folder, of which the driver reads the first lines of one."""
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for k in range(3):
+        (folder / f"part-{k}.csv").write_text("".join(f"{k}-{i};\u00e9x{i};{i}\n" for i in range(400)), encoding="utf-8")
+    got = load.create("delimited_path", spark, str(folder), header=None).load()
+    assert got.rows == 1200 and got.details["delimiter"] == ";" and got.details["encoding"] == "utf-8"
+    assert sorted(r["_source_row"] for r in got.table.collect()) == list(range(1, 1201)) and {r["column_2"] for r in got.table.collect()} == {f"\u00e9x{i}" for i in range(400)}
+    one = tmp_path / "one.csv"
+    one.write_text(CSV, encoding="cp1252")
+    got = load.DelimitedPath(spark, str(one)).load()
+    assert got.rows == 60 and [c.detected_type for c in got.columns] == ["string", "date", "category", "integer", "float"]
+    one.write_text("a,b\n" + "1,2\n" * 300 + "1,,,4\n")
+    for path in (str(one), str(tmp_path / "nowhere")):
+        with pytest.raises(SourceError):
+            load.DelimitedPath(spark, path).load()
+
+
+def test_registry(spark):
+    @load.source("own", ".own")
+    class Own(load.Source):
+        def read(self):
+            return spark.createDataFrame([(1, "a")], "_source_row long, n string"), True, {"by": "hand"}
+
+    try:
+        assert load.kind_class("own") is Own and load.kinds()["own"] == (".own",) and "xlsx" in load.kinds()
+        got = load.create("own", spark, "x").load()
+        assert got.rows == 1 and got.to_dict()["by"] == "hand" and guards.sha256(b"") == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+    finally:
+        del load.REGISTRY["own"], load.ENDINGS[".own"]
+
+
+def test_queries_of_foreign_dialects(spark):
+    assert guards.check_query("select top 5 [a b] from t", foreign=True)
+    for bad in ("select [a] from t; drop table t", "select 1 insert into t", "show tables", "with a as (select 1) delete from b"):
+        with pytest.raises(SourceError):
+            guards.check_query(bad, foreign=True)
+
+
 def test_parquet_and_csv_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a")], "n int, s string")
     sinks.to_parquet(df, str(tmp_path / "p"))
