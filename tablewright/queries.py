@@ -429,8 +429,8 @@ _SQL_CHANGES = f"""
 """
 
 
-@query("clean_change_log_capped", f"""SELECT _source_row AS source_row, "column", list_value('Trim whitespace', 'Placeholders → missing', 'Standardise categories', 'Convert data types')[at + 1] AS step
-    FROM (SELECT *, step AS at FROM ({_SQL_CHANGES})) ORDER BY at, ordinal, _source_row LIMIT 7000""")
+@query("clean_change_log_capped", f"""SELECT _source_row AS source_row, "column", list_extract(['Trim whitespace', 'Placeholders → missing', 'Standardise categories', 'Convert data types'], number + 1) AS step
+    FROM (SELECT *, step AS number FROM ({_SQL_CHANGES})) ORDER BY number, ordinal, _source_row LIMIT 7000""")
 def clean_change_log_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cap keeps the changes of the first steps and columns."""
     out = Cleaner(load_catalog(), Cleaning(change_log_limit=7000)).clean(dirty(spark, sf_dir), "orders")
