@@ -4,22 +4,24 @@ Suffixes are sorted by induction from the left-most smaller suffixes (S*): their
 named, and the string of names is sorted in turn, by the same induction while its alphabet is small and by doubling sorted
 on disk in ranges otherwise. A second induction carries (position, common prefix) tuples through priority queues. Induction
 asks its queues for the smallest symbol first and, within a symbol, for the earliest arrival, so a queue is a first-in
-first-out spool for each symbol, held in memory up to HOLD entries and on disk beyond. The text and large arrays are memory maps
-in a scratch folder; memory is bounded by HOLD, STEP and KEEP, not by the text.
+first-out spool for each symbol; together the spools hold up to HOLD entries in memory, and the rest on disk. Whatever is as long
+as the text, or as its S* positions, is a scratch array: a memory map in a scratch folder if it is over KEEP bytes. It is read and
+written in steps of STEP, so memory is bounded by HOLD, STEP and KEEP, not by the text.
 """
 
 from __future__ import annotations
 
 import os
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 
-#: Entries a spool holds in memory; entries handled at a time; the largest alphabet that is induced rather than doubled; the
-#: least run of a symbol that is handled at once.
-HOLD, STEP, ALPHABET, RUN = 1 << 18, 1 << 20, 2048, 8
+#: Entries that the spools of a queue hold in memory (a put counts as PUT more); entries handled at a time; the largest alphabet
+#: that is induced rather than doubled; the least run of a symbol that is handled at once.
+HOLD, PUT, STEP, ALPHABET, RUN = 1 << 21, 12, 1 << 19, 2048, 8
 #: Bytes of an array that is kept in memory; a larger one is a memory map.
-KEEP = 48 << 20
+KEEP = 16 << 20
 ENTRY = np.dtype([("pos", "<i8"), ("lcp", "<u2")])
 
 
@@ -31,33 +33,37 @@ def scratch(folder: str, name: str, kind: type, n: int) -> np.ndarray:
 
 
 class Spool:
-    """A first-in first-out queue of entries, on disk beyond HOLD."""
+    """A first-in first-out queue of entries, in memory until flush() puts them on disk."""
 
     def __init__(self, path: str) -> None:
-        self.path, self.file, self.on_disk, self.taken = path, None, 0, 0
+        self.path, self.on_disk, self.taken = path, 0, 0
         self.held: list[np.ndarray] = []
         self.n_held = 0
 
     def put(self, entries: np.ndarray) -> None:
         self.held.append(entries)
         self.n_held += len(entries)
-        if self.n_held > HOLD:
-            if self.file is None:
-                self.file = open(self.path, "w+b")  # noqa: SIM115
-            self.file.seek(0, os.SEEK_END)
-            for x in self.held:
-                self.file.write(x.tobytes())
-            self.on_disk += self.n_held
-            self.held, self.n_held = [], 0
+
+    def flush(self) -> None:
+        if self.n_held:
+            with open(self.path, "ab") as file:
+                for x in self.held:
+                    file.write(x.tobytes())
+        self.on_disk += self.n_held
+        self.held, self.n_held = [], 0
 
     def __len__(self) -> int:
         return self.on_disk + self.n_held - self.taken
 
+    def _read(self, a: int, b: int) -> np.ndarray:
+        with open(self.path, "rb") as file:
+            file.seek(a * ENTRY.itemsize)
+            return np.frombuffer(file.read((b - a) * ENTRY.itemsize), ENTRY)
+
     def take(self) -> np.ndarray:
         """The next entries; they leave the queue's front but stay readable by slices()."""
         if self.taken < self.on_disk:
-            self.file.seek(self.taken * ENTRY.itemsize)
-            got = np.frombuffer(self.file.read(min(STEP, self.on_disk - self.taken) * ENTRY.itemsize), ENTRY)
+            got = self._read(self.taken, min(self.taken + STEP, self.on_disk))
         else:
             if len(self.held) > 1:
                 self.held = [np.concatenate(self.held)]
@@ -71,19 +77,14 @@ class Spool:
         cuts = [(a, min(a + STEP, self.on_disk)) for a in range(0, self.on_disk, STEP)]
         cuts += [(self.on_disk, total)] if self.n_held else []
         for a, b in reversed(cuts) if backwards else cuts:
-            if a < self.on_disk:
-                self.file.seek(a * ENTRY.itemsize)
-                got = np.frombuffer(self.file.read((b - a) * ENTRY.itemsize), ENTRY)
-            else:
-                got = np.concatenate(self.held)
+            got = self._read(a, b) if a < self.on_disk else np.concatenate(self.held)
             yield got[::-1] if backwards else got
 
     def drop(self) -> None:
-        self.held = []
-        if self.file is not None:
-            self.file.close()
+        self.held, self.n_held = [], 0
+        if self.on_disk:
             os.unlink(self.path)
-            self.file = None
+            self.on_disk = 0
 
 
 class _Queues:
@@ -93,6 +94,15 @@ class _Queues:
         self.spools = [Spool(f"{folder}/{name}-{c}") for c in range(symbols)]
         self.least = np.full(symbols, -1, np.int64)  # -1: nothing has arrived
         self.cap = cap
+        self.held = 0
+
+    def put(self, c: int, entries: np.ndarray) -> None:
+        self.spools[c].put(entries)
+        self.held += len(entries) + PUT
+        if self.held > HOLD:
+            for spool in self.spools:
+                spool.flush()
+            self.held = 0
 
     def induce(self, symbols: np.ndarray, pos: np.ndarray, go: np.ndarray, lcp: np.ndarray) -> None:
         """Entries popped in order, with the common prefix of each and the one popped before it; those that go put pos
@@ -118,7 +128,7 @@ class _Queues:
             if b - a > 1:
                 mins[1:] = np.minimum.reduceat(lcp[: own[-1] + 1], own[:-1] + 1) + 1
             out["lcp"] = np.minimum(mins, self.cap)
-            self.spools[c].put(out)
+            self.put(c, out)
             rest = lcp[own[-1] + 1 :]
             self.least[c] = rest.min() if len(rest) else self.cap
 
@@ -138,8 +148,7 @@ def _join(text: np.ndarray, a: int, b: int, cap: int) -> int:
 def _sorted_by_induction(text: np.ndarray, symbols: int, stars: np.ndarray, prefixes: np.ndarray, cap: int, folder: str, level: str) -> tuple[list[Spool], list[Spool]]:
     """Spools of L suffixes (ascending) and S suffixes (descending) for each symbol, from S* positions in order."""
     big = _Queues(folder, f"{level}-L", symbols, cap)
-    first = text[stars]
-    at = np.searchsorted(first, np.arange(symbols + 1)) if len(stars) else np.zeros(symbols + 1, np.int64)
+    at = np.concatenate([[0], np.cumsum(_symbols(text, stars, symbols))])
 
     def pop(queues: _Queues, entries_pos: np.ndarray, lcp: np.ndarray, c: int, test) -> None:
         before = entries_pos - 1
@@ -170,7 +179,7 @@ def _sorted_by_induction(text: np.ndarray, symbols: int, stars: np.ndarray, pref
         out["lcp"] = np.minimum(first + np.arange(1, rounds + 1)[:, None], queues.cap)
         queues.least = np.where(queues.least >= 0, np.minimum(queues.least, min(low, int(out["lcp"].min()))), -1)
         queues.least[c] = queues.cap
-        spool.put(out.ravel())
+        queues.put(c, out.ravel())
         spool.taken += out.size
         return out[-1]
 
@@ -206,22 +215,60 @@ def _sorted_by_induction(text: np.ndarray, symbols: int, stars: np.ndarray, pref
     return big.spools, small.spools
 
 
-def _stars(text: np.ndarray) -> np.ndarray:
+def _steps(n: int) -> Iterator[tuple[int, int]]:
+    for a in range(0, n, STEP):
+        yield a, min(a + STEP, n)
+
+
+def _symbols(text: np.ndarray, places: np.ndarray, symbols: int) -> np.ndarray:
+    """How often each symbol stands at the places."""
+    out = np.zeros(symbols, np.int64)
+    for a, b in _steps(len(places)):
+        out += np.bincount(text[places[a:b]], minlength=symbols)
+    return out
+
+
+def _stars(text: np.ndarray, folder: str, level: str) -> np.ndarray:
     """S* positions, ascending; text ends with its only smallest symbol."""
-    n, found, carry = len(text), [], True
-    for b in range(n, 0, -STEP):
-        a = max(0, b - STEP)
-        here = np.asarray(text[a : min(b + 1, n)]).astype(np.int64)
-        step = np.sign(np.diff(here)) if b < n else np.append(np.sign(np.diff(here)), 1)
-        if step[-1] == 0:
-            step[-1] = 1 if carry else -1
-        nonzero = np.where(step != 0, np.arange(len(step)), len(step) - 1)
-        small = step[np.minimum.accumulate(nonzero[::-1])[::-1]] > 0
-        if b < n and not small[-1] and carry:
-            found.append(np.array([b]))
-        found.append(np.flatnonzero(small[1:] & ~small[:-1]) + a + 1)
-        carry = bool(small[0])
-    return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    n, total, carry = len(text), 0, True
+    with tempfile.SpooledTemporaryFile(KEEP, dir=folder) as back:  # from the last to the first
+        for b in range(n, 0, -STEP):
+            a = max(0, b - STEP)
+            here = np.asarray(text[a : min(b + 1, n)]).astype(np.int64)
+            step = np.sign(np.diff(here)) if b < n else np.append(np.sign(np.diff(here)), 1)
+            if step[-1] == 0:
+                step[-1] = 1 if carry else -1
+            nonzero = np.where(step != 0, np.arange(len(step)), len(step) - 1)
+            small = step[np.minimum.accumulate(nonzero[::-1])[::-1]] > 0
+            found = np.flatnonzero(small[1:] & ~small[:-1]) + a + 1
+            if b < n and not small[-1] and carry:
+                found = np.append(found, b)
+            back.write(found[::-1].astype("<i8").tobytes())
+            total += len(found)
+            carry = bool(small[0])
+        out = scratch(folder, f"{level}-stars", np.int64, total)
+        back.seek(0)
+        while total:
+            got = np.frombuffer(back.read(8 * min(STEP, total)), "<i8")
+            out[total - len(got) : total] = got[::-1]
+            total -= len(got)
+    return out
+
+
+def _by_symbol(text: np.ndarray, places: np.ndarray, symbols: int, folder: str, level: str) -> np.ndarray:
+    """The places in the order of their symbols."""
+    out = scratch(folder, f"{level}-seeds", np.int64, len(places))
+    counts = _symbols(text, places, symbols)
+    at = np.cumsum(counts) - counts
+    for a, b in _steps(len(places)):
+        own = np.asarray(places[a:b])
+        met = np.asarray(text[own]).astype(np.int64)
+        order = np.argsort(met, kind="stable")
+        own, met = own[order], met[order]
+        here = np.bincount(met, minlength=symbols)
+        out[at[met] + np.arange(len(met)) - (np.cumsum(here) - here)[met]] = own
+        at += here
+    return out
 
 
 def _alike(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -259,42 +306,51 @@ def _alike(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) ->
 
 def _ranges(keys: np.ndarray, order: np.ndarray, folder: str, name: str) -> Iterator[np.ndarray]:
     """Places of keys in ascending order of key, by ranges that fit into memory. order: places that are nearly in order."""
-    if len(keys) <= 8 * STEP:
+    if len(keys) <= 4 * STEP:
         own = np.array(order)
         yield own[np.argsort(keys[own], kind="stable")]
         return
     some = np.sort(np.asarray(keys[:: max(1, len(keys) // 4096)]))
-    bounds = np.unique(some[:: max(1, len(some) * STEP // (2 * len(keys)))])
-    files = [open(f"{folder}/{name}-range-{k}", "w+b") for k in range(len(bounds) + 1)]  # noqa: SIM115
-    for a in range(0, len(keys), STEP):
-        places = np.array(order[a : a + STEP])
+    picked = some[:: max(1, len(some) * STEP // (2 * len(keys)))]
+    often = picked[1:][np.diff(picked) == 0]  # a key of many places has a range of its own, in which nothing is to be sorted
+    bounds = np.unique(np.concatenate([picked, often + 1]))
+    alone = np.isin(np.concatenate([[-1], bounds]), often)
+    paths = [f"{folder}/{name}-range-{k}" for k in range(len(bounds) + 1)]
+    for a, b in _steps(len(keys)):
+        places = np.array(order[a:b])
         part = np.searchsorted(bounds, np.asarray(keys[places]), side="right")
         by = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[by], np.arange(len(files) + 1))
-        for k, f in enumerate(files):
+        cuts = np.searchsorted(part[by], np.arange(len(paths) + 1))
+        for k, path in enumerate(paths):
             if cuts[k] < cuts[k + 1]:
-                f.write(places[by[cuts[k] : cuts[k + 1]]].astype("<i8").tobytes())
-    for f in files:
-        f.seek(0)
-        places = np.frombuffer(f.read(), "<i8")
-        f.close()
-        os.unlink(f.name)
-        if len(places):
-            yield places[np.argsort(np.asarray(keys[places]), kind="stable")]
+                with open(path, "ab") as f:
+                    f.write(places[by[cuts[k] : cuts[k + 1]]].astype("<i8").tobytes())
+    for k, path in enumerate(paths):
+        if not os.path.exists(path):
+            continue
+        with open(path, "rb") as f:
+            while data := f.read(8 * STEP if alone[k] else -1):
+                places = np.frombuffer(data, "<i8")
+                yield places if alone[k] else places[np.argsort(np.asarray(keys[places]), kind="stable")]
+        os.unlink(path)
 
 
 def _doubled(names: np.ndarray, cap: int, folder: str, level: str) -> tuple[np.ndarray, list[np.ndarray]]:
     """Order of the suffixes of names by their first cap names (later ones do not matter), and their ranks by the first 1, 2,
     4, ... names."""
     n = len(names)
-    rank, order = (scratch(folder, f"{level}-{name}", np.int64, n) for name in ("rank", "order"))
-    rank[:] = names
-    order[:] = np.arange(n)
+    rank, order, keys = (scratch(folder, f"{level}-{name}", np.int64, n) for name in ("rank", "order", "keys"))
+    for a, b in _steps(n):
+        rank[a:b] = names[a:b]
+        order[a:b] = np.arange(a, b)
     width, before = 1, 0
-    levels = [np.asarray(names)]
+    levels = [names]
     while True:
-        keys = rank * (n + 1)
-        keys[: n - width] += rank[width:] + 1
+        for a, b in _steps(n):
+            keys[a:b] = rank[a:b] * (n + 1)
+            c = min(b, n - width)
+            if c > a:
+                keys[a:c] += rank[a + width : c + width] + 1
         at, count, last = 0, -1, None
         for places in _ranges(keys, order, folder, level):
             order[at : at + len(places)] = places
@@ -309,58 +365,69 @@ def _doubled(names: np.ndarray, cap: int, folder: str, level: str) -> tuple[np.n
         if count in (n - 1, before) or width >= cap:  # nothing left to tell apart, or nothing was
             return order, levels
         held = scratch(folder, f"{level}-rank-{width}", np.int32 if n < 1 << 31 else np.int64, n)
-        held[:] = rank
+        for a, b in _steps(n):
+            held[a:b] = rank[a:b]
         levels.append(held)
         before = count
 
 
 def _star_order(text: np.ndarray, symbols: int, cap: int, folder: str, level: int) -> tuple[np.ndarray, np.ndarray]:
     """S* positions in the order of their suffixes, and the common prefix of each with the one before, at most cap."""
-    stars = _stars(text)
-    if len(stars) <= 1:
-        return stars, np.zeros(len(stars), np.uint16)
-    by_symbol = np.argsort(text[stars], kind="stable")
-    seeds = stars[by_symbol]
-    big, small = _sorted_by_induction(text, symbols, seeds, np.zeros(len(seeds), np.uint16), 1, folder, f"{level}a")
-    is_star = np.zeros(len(text), bool)
-    is_star[stars] = True
-    ordered = []
+    stars = _stars(text, folder, str(level))
+    n, m = len(text), len(stars)
+    if m <= 1:
+        return stars, np.zeros(m, np.uint16)
+    new = lambda name, kind, size=m: scratch(folder, f"{level}-{name}", kind, size)
+    seeds = _by_symbol(text, stars, symbols, folder, str(level))
+    big, small = _sorted_by_induction(text, symbols, seeds, new("none", np.uint16), 1, folder, f"{level}a")
+    is_star = new("is-star", np.uint8, n)
+    for a, b in _steps(m):
+        is_star[stars[a:b]] = 1
+    ordered = new("ordered", np.int64)
+    ordered[0], at = stars[m - 1], 1  # the last suffix is its own sentinel and is induced by nothing
     for c in range(symbols):
-        parts = [x["pos"][is_star[x["pos"]]] for x in small[c].slices(backwards=True)]
-        ordered += parts
+        for x in small[c].slices(backwards=True):
+            own = x["pos"][is_star[x["pos"]] > 0]
+            ordered[at : at + len(own)] = own
+            at += len(own)
     for s in (*big, *small):
         s.drop()
-    ordered = np.concatenate(ordered)
-    if len(ordered) < len(stars):  # the last suffix is its own sentinel and is induced by nothing
-        ordered = np.concatenate([stars[-1:], ordered])
-    ends = np.append(stars[1:], len(text) - 1)
-    index = np.searchsorted(stars, ordered)
-    sizes = ends[index] - ordered + 1
-    same = np.zeros(len(ordered), bool)
-    equal = np.flatnonzero(sizes[1:] == sizes[:-1]) + 1
-    for a in range(0, len(equal), STEP):
-        k = equal[a : a + STEP]
-        same[k] = _alike(text, ordered[k - 1], ordered[k], sizes[k]) == sizes[k]
-    names = np.empty(len(stars), np.int64)
-    names[index] = np.cumsum(~same) - 1
-    if not same.any():
-        return ordered, _star_prefixes(text, stars, index, [], cap)
-    n_names = int(names.max()) + 1
-    if n_names < ALPHABET:
-        inner = suffixes(np.append(names + 1, 0), n_names + 1, cap, folder, level + 1)
-        order, levels = np.concatenate([x["pos"] for x in inner]), [names]
-        order = order[order < len(names)]
+    assert at == m
+    names, order, count = new("names", np.int64), new("order", np.int64), -1
+    last, last_size = -1, -1
+    for a, b in _steps(m):
+        own = np.asarray(ordered[a:b])
+        index = np.searchsorted(stars, own)
+        sizes = np.where(index + 1 < m, stars[np.minimum(index + 1, m - 1)], n - 1) - own + 1
+        before, fresh = np.concatenate([[last], own[:-1]]), np.ones(b - a, bool)
+        equal = np.flatnonzero(sizes == np.concatenate([[last_size], sizes[:-1]]))
+        fresh[equal] = _alike(text, before[equal], own[equal], sizes[equal]) < sizes[equal]
+        own_names = count + np.cumsum(fresh)
+        names[index], order[a:b] = own_names, index
+        count, last, last_size = int(own_names[-1]), int(own[-1]), int(sizes[-1])
+    if count == m - 1:
+        return ordered, _star_prefixes(text, stars, order, [], cap, folder, level)
+    if count + 1 < ALPHABET:
+        inner = new("inner", np.int64, m + 1)
+        for a, b in _steps(m):
+            inner[a:b] = names[a:b] + 1
+        at, levels = 0, [names]
+        for x in suffixes(inner, count + 2, cap, folder, level + 1):
+            own = x["pos"][x["pos"] < m]
+            order[at : at + len(own)] = own
+            at += len(own)
     else:
         order, levels = _doubled(names, cap // 2 + 1, folder, f"{level}d")  # a name spans two symbols at least
-    order = np.asarray(order)
-    return stars[order], _star_prefixes(text, stars, order, levels, cap)
+    for a, b in _steps(m):
+        ordered[a:b] = stars[order[a:b]]
+    return ordered, _star_prefixes(text, stars, order, levels, cap, folder, level)
 
 
-def _star_prefixes(text: np.ndarray, stars: np.ndarray, order: np.ndarray, levels: list[np.ndarray], cap: int) -> np.ndarray:
+def _star_prefixes(text: np.ndarray, stars: np.ndarray, order: np.ndarray, levels: list[np.ndarray], cap: int, folder: str, level: int) -> np.ndarray:
     """Of S* suffixes in order: equal ranks skip many names at once, the rest is compared by symbols."""
-    out = np.zeros(len(order), np.uint16)
-    for a in range(1, len(order), STEP):
-        k = np.arange(a, min(a + STEP, len(order)))
+    out = scratch(folder, f"{level}-prefixes", np.uint16, len(order))
+    for a, b in _steps(len(order) - 1):
+        k = np.arange(a + 1, b + 1)
         i, j = order[k - 1].copy(), order[k].copy()
         for depth in range(len(levels) - 1, -1, -1):
             ranks, width = levels[depth], 1 << depth
@@ -370,7 +437,7 @@ def _star_prefixes(text: np.ndarray, stars: np.ndarray, order: np.ndarray, level
             j[skip] += width
         done = stars[i] - stars[order[k - 1]]
         most = np.maximum(cap - done, 0)
-        out[k] = np.minimum(done + _alike(text, stars[i], stars[j], most), cap)
+        out[a + 1 : b + 1] = np.minimum(done + _alike(text, stars[i], stars[j], most), cap)
     return out
 
 

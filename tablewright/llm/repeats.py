@@ -10,7 +10,9 @@ Shards. A shard puts its slices on disk behind one another and sorts their suffi
 string, and repeats if it has two starts. A hash with over MAX_SLICES different slices would make one shard grow with the
 input: its windows are counted by their digests in a distributed aggregation instead, which gives the same answer.
 
-Texts are keyed by XXH64 and length. A null text is empty and keeps its zero bytes; texts shorter than `length` lose
+There are as many shards as shuffle partitions, or more, so that a shard has about SHARD_BYTES.
+
+Texts are keyed by two 64-bit hashes. A null text is empty and keeps its zero bytes; texts shorter than `length` lose
 nothing; repeated rows repeat each other's text; an empty table gives no rows.
 """
 
@@ -32,6 +34,8 @@ from tablewright.llm import common, external_sa
 LENGTH, GRAM = 200, 32
 #: Different slices of one hash that may go into a shard.
 MAX_SLICES = 200_000
+#: Bytes of slices in a shard, about.
+SHARD_BYTES = 64 << 20
 #: Bytes of a text that are hashed at a time.
 PIECE = 1 << 21
 
@@ -101,17 +105,17 @@ def _anchors(length: int):
 
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            keys = batch.column("key").to_pylist()
-            out: list[list] = [[], [], [], [], [], []]
-            for key, data in zip(keys, _data(batch, "text"), strict=True):
+            keys = [batch.column(c).to_pylist() for c in ("key", "key2")]
+            out: list[list] = [[], [], [], [], [], [], []]
+            for key, key2, data in zip(*keys, _data(batch, "text"), strict=True):
                 h, a, b, again = slices(data, length)
                 if len(h):
                     view = memoryview(data)
                     own = np.array([digest(view[x:y]) for x, y in zip(a.tolist(), (b + length).tolist(), strict=True)], np.uint64)
-                    for column, x in zip(out, (np.full(len(h), key), h.view(np.int64), own.view(np.int64), a, b, again), strict=True):
+                    for column, x in zip(out, (np.full(len(h), key), np.full(len(h), key2), h.view(np.int64), own.view(np.int64), a, b, again), strict=True):
                         column.append(x)
             if out[0]:
-                yield pa.RecordBatch.from_pydict({n: pa.array(np.concatenate(x)) for n, x in zip(("key", "h", "dg", "a", "b", "again"), out, strict=True)})
+                yield pa.RecordBatch.from_pydict({n: pa.array(np.concatenate(x)) for n, x in zip(("key", "key2", "h", "dg", "a", "b", "again"), out, strict=True)})
 
     return run
 
@@ -123,9 +127,10 @@ def _cut(length: int):
         for batch in batches:
             out: list[tuple] = []
             size = 0
-            for key, data, wanted in zip(batch.column("key").to_pylist(), _data(batch, "text"), batch.column("wanted").to_pylist(), strict=True):
+            keys = [batch.column(c).to_pylist() for c in ("key", "key2")]
+            for key, key2, data, wanted in zip(*keys, _data(batch, "text"), batch.column("wanted").to_pylist(), strict=True):
                 for w in wanted:
-                    out.append((w["h"], w["n"], key, w["a"], data[w["a"] : w["b"] + length].tobytes()))
+                    out.append((w["h"], w["n"], key, key2, w["a"], data[w["a"] : w["b"] + length].tobytes()))
                     size += len(out[-1][-1])
                 if size > 8 << 20:
                     yield _rows(out)
@@ -137,9 +142,8 @@ def _cut(length: int):
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
-    h, n, key, a, data = zip(*out, strict=True)
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_pydict({c: pa.array(x, t) for c, x, t in zip(("h", "n", "key", "a", "data"), (h, n, key, a, data), kinds, strict=True)})
+    names = ("h", "n", "key", "key2", "a", "data")
+    return pa.RecordBatch.from_pydict({c: pa.array(x, pa.binary() if c == "data" else pa.int64()) for c, x in zip(names, zip(*out, strict=True), strict=True)})
 
 
 def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +152,7 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shard(length: int):
-    """One shard a partition: intervals (key, a, b) of the texts whose windows repeat."""
+    """One shard a partition: intervals (key, key2, a, b) of the texts whose windows repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = tempfile.mkdtemp(prefix="suffixes-")  # scratch of this task alone, like a spill
@@ -161,18 +165,18 @@ def _shard(length: int):
 
 
 def _search(batches: Iterator[pa.RecordBatch], length: int, folder: str) -> Iterator[pa.RecordBatch]:
-    keys, firsts, counts, sizes = [], [], [], []
+    keys, seconds, firsts, counts, sizes = [], [], [], [], []
     with open(f"{folder}/text", "wb") as f:
         for batch in batches:
             for data in _data(batch, "data"):
                 f.write((data.astype("<u2") + 2).tobytes() + b"\x01\x00")
                 sizes.append(len(data))
-            for column, name in ((keys, "key"), (firsts, "a"), (counts, "n")):
+            for column, name in ((keys, "key"), (seconds, "key2"), (firsts, "a"), (counts, "n")):
                 column.append(batch.column(name).to_numpy())
         f.write(b"\x00\x00")
     if not sizes:
         return
-    keys, firsts, counts = map(np.concatenate, (keys, firsts, counts))
+    keys, seconds, firsts, counts = map(np.concatenate, (keys, seconds, firsts, counts))
     text = np.memmap(f"{folder}/text", "<u2", "r")
     ends = np.cumsum(np.array(sizes, np.int64) + 1) - 1  # the place of each separator
     starts = ends - sizes
@@ -205,10 +209,9 @@ def _search(batches: Iterator[pa.RecordBatch], length: int, folder: str) -> Iter
         own = np.asarray(hit[starts[k] : ends[k] - length + 1])
         if own.any():
             a, b = _runs(own > 0)
-            out += zip([int(keys[k])] * len(a), (a + firsts[k]).tolist(), (b - 1 + length + firsts[k]).tolist(), strict=True)
+            out += zip([int(keys[k])] * len(a), [int(seconds[k])] * len(a), (a + firsts[k]).tolist(), (b - 1 + length + firsts[k]).tolist(), strict=True)
     if out:
-        key, a, b = zip(*out, strict=True)
-        yield pa.RecordBatch.from_pydict({n: pa.array(x, pa.int64()) for n, x in (("key", key), ("a", a), ("b", b))})
+        yield pa.RecordBatch.from_pydict({n: pa.array(x, pa.int64()) for n, x in zip(("key", "key2", "a", "b"), zip(*out, strict=True), strict=True)})
 
 
 def _windows(length: int):
@@ -219,10 +222,10 @@ def _windows(length: int):
 
         digest = xxhash.xxh3_128_digest
         for batch in batches:
-            for key, a, n, data in zip(*(batch.column(c).to_pylist() for c in ("key", "a", "n", "data")), strict=True):
+            for key, key2, a, n, data in zip(*(batch.column(c).to_pylist() for c in ("key", "key2", "a", "n", "data")), strict=True):
                 at = range(len(data) - length + 1)
                 yield pa.RecordBatch.from_pydict(
-                    {"window": [digest(data[i : i + length]) for i in at], "key": pa.array([key] * len(at)), "a": pa.array([a + i for i in at]), "n": pa.array([n] * len(at))}
+                    {"window": [digest(data[i : i + length]) for i in at], "key": pa.array([key] * len(at)), "key2": pa.array([key2] * len(at)), "a": pa.array([a + i for i in at]), "n": pa.array([n] * len(at))}
                 )
 
     return run
@@ -263,42 +266,45 @@ def _remove():
 
 def repeated_spans(docs: DataFrame, *, length: int = LENGTH, max_slices: int = MAX_SLICES) -> DataFrame:
     """Rows: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (start and end of each maximal run, in bytes)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text, F.octet_length(text)).alias("key"))
-    all_slices, path = common.saved_at(keyed.select("key", "text").mapInArrow(_anchors(length), "key long, h long, dg long, a long, b long, again boolean"), "slices")
+    text, keys = F.coalesce(F.col("text"), F.lit("")), ["key", "key2"]
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text, F.octet_length(text)).alias("key"), F.xxhash64(F.lit(1), text).alias("key2"))
+    all_slices, path = common.saved_at(keyed.select(*keys, "text").mapInArrow(_anchors(length), "key long, key2 long, h long, dg long, a long, b long, again boolean"), "slices")
+    # what is joined by h or by text is a table on both sides, so that adaptive execution can split a hot one
     often = all_slices.groupBy("h").agg(F.count("*").alias("c"), F.max("again").alias("again")).where("c > 1 or again").select("h")
-    shared = all_slices.join(often, "h").groupBy("h", "dg", "key", "a", "b", "again").agg(F.count("*").alias("c"))
+    shared = all_slices.join(common.saved(often, "often"), "h").groupBy("h", "dg", *keys, "a", "b", "again").agg(F.count("*").alias("c"))
     shared = common.saved(shared, "shared-slices")
     common.drop_table(docs.sparkSession, path)
     # one row a different slice, with one place where it stands
-    kinds = shared.groupBy("h", "dg").agg(F.sum("c").alias("n"), F.min(F.struct("key", "a", "b")).alias("at"), F.max("again").alias("again"))
+    kinds = shared.groupBy("h", "dg").agg(F.sum("c").alias("n"), F.min(F.struct(*keys, "a", "b")).alias("at"), F.max("again").alias("again"))
     kinds = common.saved(kinds, "slice-kinds")
     mixed = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.max("again").alias("again"), F.min("n").alias("least"))
-    mixed = mixed.where("least = 1 and (kinds > 1 or again)").select("h", "kinds")  # kinds that occur twice are settled
+    mixed = common.saved(mixed.where("least = 1 and (kinds > 1 or again)").select("h", "kinds"), "mixed")  # kinds that occur twice are settled
     whole = kinds.where("n > 1").select(F.col("h").alias("_h"), F.col("dg").alias("_dg"))
-    same = shared.join(whole, (F.col("h") == F.col("_h")) & (F.col("dg") == F.col("_dg"))).select("key", "a", (F.col("b") + length).alias("b"))
-    wanted = kinds.join(mixed, "h").select("h", "n", "kinds", F.col("at.key").alias("key"), F.col("at.a").alias("a"), F.col("at.b").alias("b"))
-    wanted = wanted.groupBy("key").agg(F.collect_list(F.struct("h", "n", "a", "b")).alias("wanted"))
-    one = keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(wanted, "key")
-    one = one.select(F.col("key").alias("_key"), F.col("doc_id").alias("_doc_id"), "wanted")
-    source = keyed.join(one, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc_id"))).select("key", "text", "wanted")
-    cut = source.mapInArrow(_cut(length), "h long, n long, key long, a long, data binary")
+    same = shared.join(whole, (F.col("h") == F.col("_h")) & (F.col("dg") == F.col("_dg"))).select(*keys, "a", (F.col("b") + length).alias("b"))
+    wanted = common.saved(kinds.join(mixed, "h").select("h", "n", "kinds", "at.*"), "wanted")
+    size = wanted.agg(F.sum(F.col("b") - F.col("a") + length)).first()[0] or 0
+    wanted = wanted.groupBy(*keys).agg(F.collect_list(F.struct("h", "n", "a", "b")).alias("wanted"))
+    one = common.saved(keyed.groupBy(*keys).agg(F.min("doc_id").alias("doc_id")).join(wanted, keys), "asked-texts")
+    one = one.select(F.col("key").alias("_key"), F.col("key2").alias("_key2"), F.col("doc_id").alias("_doc_id"), "wanted")
+    on = (F.col("key") == F.col("_key")) & (F.col("key2") == F.col("_key2"))
+    source = keyed.join(one, on & F.col("doc_id").eqNullSafe(F.col("_doc_id"))).select(*keys, "text", "wanted")
+    cut = source.mapInArrow(_cut(length), "h long, n long, key long, key2 long, a long, data binary")
     hot = mixed.where(F.col("kinds") > max_slices).select("h")
     found = []
     if not hot.isEmpty():
         cut = common.saved(cut, "slice-data")
-        crowd = cut.join(hot, "h", "left_semi").dropDuplicates(["key", "a"]).mapInArrow(_windows(length), "window binary, key long, a long, n long")
+        crowd = cut.join(hot, "h", "left_semi").dropDuplicates([*keys, "a"]).mapInArrow(_windows(length), "window binary, key long, key2 long, a long, n long")
         crowd = common.saved(crowd, "windows")
         again = crowd.groupBy("window").agg(F.sum("n").alias("total")).where("total > 1").select("window")
-        found.append(crowd.join(again, "window").select("key", "a", (F.col("a") + length).alias("b")))
+        found.append(crowd.join(again, "window").select(*keys, "a", (F.col("a") + length).alias("b")))
         cut = cut.join(hot, "h", "left_anti")
-    shards = cut.repartition(common.partitions(docs.sparkSession), "h")
-    found += [shards.mapInArrow(_shard(length), "key long, a long, b long"), same]
+    shards = cut.repartition(max(common.partitions(docs.sparkSession), -(-size // SHARD_BYTES)), "h")
+    found += [shards.mapInArrow(_shard(length), "key long, key2 long, a long, b long"), same]
     spans = found[0]
     for x in found[1:]:
         spans = spans.union(x)
-    spans = common.saved(spans.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans").withColumnRenamed("key", "_key")
-    joined = keyed.join(spans, F.col("key") == F.col("_key"), "left").select("doc_id", "text", "spans")
+    spans = common.saved(spans.groupBy(*keys).agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans").withColumnsRenamed({"key": "_key", "key2": "_key2"})
+    joined = keyed.join(spans, on, "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_remove(), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<array<long>>")
 
 

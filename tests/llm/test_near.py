@@ -242,6 +242,31 @@ def test_external_suffixes(tmp_path, monkeypatch, step, hold, alphabet):
             assert x <= y and same == lcp
 
 
+def test_external_suffixes_in_bounded_memory(tmp_path, monkeypatch):
+    """Four times the text takes no more memory: what is as long as the text lies on disk."""
+    import tracemalloc
+
+    for name, value in (("STEP", 1 << 13), ("HOLD", 1 << 13), ("KEEP", 1 << 13)):
+        monkeypatch.setattr(external_sa, name, value)
+    rng, peaks = np.random.default_rng(8), []
+    words = [rng.integers(1, 27, rng.integers(2, 9)) for _ in range(4000)]
+    for k, size in enumerate((150_000, 600_000)):
+        folder = tmp_path / str(k)
+        folder.mkdir()
+        text = np.memmap(folder / "text", np.uint16, "w+", shape=(size,))
+        at = 0
+        while at < size - 1:
+            word = words[int(rng.zipf(1.2)) % len(words)][: size - 1 - at]
+            text[at : at + len(word)] = word
+            at += len(word)
+        tracemalloc.start()
+        n = sum(len(x) for x in external_sa.suffixes(text, 27, 200, str(folder)))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert n == size
+    assert peaks[1] < 1.5 * peaks[0] and peaks[1] < 12 << 20, peaks
+
+
 def test_null_text_is_empty(spark):
     docs = spark.createDataFrame([(1, None)], "doc_id long, text string").withColumn("text", F.col("text"))
     assert simhash.near_duplicates(docs).first()["fp0"] == 0
