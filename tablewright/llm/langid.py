@@ -2,8 +2,9 @@
 
 The kernel of two texts is the number of letter n-grams (n = 1 to 3, blended) that both have, over the geometric mean of the
 numbers each has; it counts presence, so whole texts of any length compare. Nyström landmarks (LANDMARKS texts) turn it into
-features, on which one-versus-rest kernel ridge regression is solved on the driver. The fit reads at most PER_LANG rows of each
-language (those with the lowest hash of doc_id), as presence bits. All texts are scored by batched matrix products of their
+features, on which one-versus-rest kernel ridge regression is solved on the driver. The fit reads at most PER_LANG different rows
+(those with the lowest hash of doc_id and text) of each of the LANGS most frequent languages, as presence bits: no more than that
+reaches the driver, however often rows or doc_ids repeat. All texts are scored by batched matrix products of their
 presence with the landmarks' weights.
 
 N-grams are hashed to BUCKETS; texts are lower-cased and everything but letters is one separator. A text that is null or has no
@@ -13,18 +14,19 @@ sorts first. Repeated rows get a row each; a null doc_id is never learned from a
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm import common
 
 BUCKETS, ORDERS = 1 << 15, (1, 2, 3)
-PER_LANG, LANDMARKS, RIDGE = 400, 256, 1e-2
+PER_LANG, LANGS, LANDMARKS, RIDGE = 400, 200, 256, 1e-2
 #: Texts in one matrix product; sharpness of the score; the score under which keep_identified() rejects a text.
 BATCH, SHARPNESS, MIN_SCORE = 64, 6.0, 0.3
 
@@ -133,16 +135,27 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     """From rows with a lang whose crc32(doc_id) mod 3 is not 1."""
     own = docs.where("lang is not null and pmod(crc32(cast(cast(doc_id as string) as binary)), 3) <> 1").select("doc_id", "lang", "text")
-    ids = own.select("doc_id", "lang")
-    langs = sorted(r["lang"] for r in ids.select("lang").distinct().collect())  # languages are few
-    if not langs:
+    keyed = own.withColumn("_key", F.xxhash64("doc_id", "text"))
+    most = keyed.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()
+    counts = {r["lang"]: r["n"] for r in most}
+    if not counts:
         return fit(np.zeros((0, BUCKETS)), [])
-    first = None
-    for lang in langs:
-        part = common.lowest(ids.where(F.col("lang") == lang), per_lang, "doc_id")
-        first = part if first is None else first.union(part)
-    wanted = sorted({r["doc_id"] for r in first.collect()})
-    rows = own.where(F.col("doc_id").isin(wanted)).select("lang", "text").mapInArrow(_bits, "lang string, bits binary").collect()
+    h = F.pmod(F.xxhash64("_key"), F.lit(1 << 30))
+
+    def lowest(bounds: dict[str, int]) -> list[tuple[str, int]]:
+        """(language, key) of the rows with the lowest hash under the bound of each language; tasks keep PER_LANG of each."""
+        rows = keyed.select("lang", "_key", h.alias("_h")).where(F.col("lang").isin(list(bounds)))
+        limit = F.element_at(F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair]), F.col("lang"))
+        rows = rows.where(F.col("_h") < limit).distinct()
+        at = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "_key"))
+        return [(r["lang"], r["_key"]) for r in rows.withColumn("_at", at).where(F.col("_at") <= per_lang).collect()]
+
+    wanted = lowest({lang: min(1 << 30, int((1 << 30) * 4 * per_lang / n) + 1) if n > 8 * per_lang else 1 << 30 for lang, n in counts.items()})
+    found = Counter(lang for lang, _ in wanted)
+    if few := [lang for lang, n in counts.items() if n > 8 * per_lang and found[lang] < per_lang]:  # rows that mostly repeat
+        wanted = [w for w in wanted if w[0] not in few] + lowest(dict.fromkeys(few, 1 << 30))
+    asked = keyed.where(F.col("_key").isin([k for _, k in wanted])).where(F.col("lang").isin(list(counts)))
+    rows = asked.dropDuplicates(["lang", "_key"]).select("lang", "text").mapInArrow(_bits, "lang string, bits binary").collect()
     rows = sorted((r["lang"], bytes(r["bits"])) for r in rows)
     if not rows:
         return fit(np.zeros((0, BUCKETS)), [])
