@@ -7,9 +7,12 @@ joined with them from order 1 up, so that each gets its probability once. Each s
 documents, gets back their probabilities in one file of the shared folder, and adds up the documents' logarithms. What is
 gathered grows with the corpus; a task holds the n-grams of its unit only.
 
-A document is rejected when its perplexity is over the QUANTILE of the held-out trusted documents of its language: one in
-HELD_OUT, by hash of doc_id, is not learned from, as texts that were learned from have lower perplexities. Languages with fewer
-than LEAST held-out documents (null is a language of its own) take the quantile of all.
+A document is rejected when its perplexity is over a quantile of the held-out trusted documents of its language: one in
+HELD_OUT, by hash of doc_id, is not learned from, as texts that were learned from have lower perplexities. The quantile of a
+language is the one of QUANTILES that tells its held-out trusted documents best from those labelled as bad, none of which is
+learned from: with the greatest share of bad documents caught less the share of trusted ones rejected, and the highest of equals.
+A language without LEAST bad documents takes the highest quantile, one without LEAST held-out trusted documents (null is a
+language of its own) the threshold of all.
 
 A null or empty text has only its end mark. Repeated rows get a row each. With no trusted documents at all every byte is equally
 likely and nothing is rejected; an empty table gives no rows. docs must be a plain scan: its partitions are the units of two
@@ -29,7 +32,9 @@ from pyspark.sql import functions as F
 from tablewright.llm import common
 from tablewright.llm.token_files import open_fs
 
-ORDER, QUANTILE, HELD_OUT, LEAST = 5, 0.99, 4, 30
+ORDER, QUANTILES, HELD_OUT, LEAST = 5, (0.95, 0.96, 0.97, 0.98, 0.99), 4, 30
+#: Folders of probabilities; scan tasks beyond them share one.
+FOLDERS = 10_000
 #: Trusted ids that are broadcast (8 bytes each); more are joined with a shuffle.
 MAX_IDS = 4_000_000
 #: Bytes of text that are numbered together; a longer text is a piece of its own.
@@ -138,7 +143,7 @@ def probabilities(counts: DataFrame, asked: DataFrame, order: int = ORDER) -> Da
     return found
 
 
-def _scored(path: str, order: int):
+def _scored(path: str, order: int, share: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
 
@@ -147,8 +152,9 @@ def _scored(path: str, order: int):
             if not batch.num_rows:
                 continue
             if grams is None:
-                fs, top = open_fs(f"{path}/unit={TaskContext.get().partitionId()}")
-                table = pq.read_table(top, filesystem=fs, columns=["g", "p"], partitioning=None)
+                unit = TaskContext.get().partitionId()
+                fs, top = open_fs(f"{path}/folder={unit // share}")
+                table = pq.read_table(top, filesystem=fs, columns=["g", "p"], partitioning=None, filters=[("unit", "=", unit)])
                 grams, logs = table["g"].to_numpy(), np.log(table["p"].to_numpy())
                 order_of = np.argsort(grams)
                 grams, logs = grams[order_of], logs[order_of]
@@ -180,26 +186,41 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> Dat
     sums = common.saved(listed.groupBy("g").agg(F.sum("c").alias("c")), "counts")
     found = probabilities(sums.where("c > 0"), sums.select("g"), order)
     path = common.fresh_path(spark, "unit-probabilities")
-    listed.join(found, "g").select("unit", "g", "p").repartition(common.partitions(spark), "unit").write.partitionBy("unit").option("compression", "zstd").parquet(path)
+    share = -(-(1 + (listed.agg(F.max("unit")).first()[0] or 0)) // FOLDERS)
+    placed = listed.join(found, "g").select("unit", "g", "p", F.floor(F.col("unit") / share).cast("int").alias("folder"))
+    placed.repartition(common.partitions(spark), "folder").sortWithinPartitions("folder", "unit", "g").write.partitionBy("folder").option("compression", "zstd").parquet(path)
     common.drop_table(spark, listed_path)
-    scored = common.saved(docs.select("doc_id", "lang", "text").mapInArrow(_scored(path, order), "doc_id long, lang string, n_bytes long, perplexity double"), "scored")
+    scored = common.saved(docs.select("doc_id", "lang", "text").mapInArrow(_scored(path, order, share), "doc_id long, lang string, n_bytes long, perplexity double"), "scored")
     common.drop_table(spark, path)
     return scored.join(trusted.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
 
 
-def classify(docs: DataFrame, trusted: DataFrame, *, order: int = ORDER, quantile: float = QUANTILE) -> DataFrame:
-    """Rows: doc_id, lang, n_bytes, perplexity, threshold, keep."""
+def classify(docs: DataFrame, trusted: DataFrame, bad: DataFrame | None = None, *, order: int = ORDER, quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
+    """trusted, bad: doc_id. Rows: doc_id, lang, n_bytes, perplexity, threshold, keep."""
+    key = F.col("doc_id").cast("long").alias("doc_id")
     held = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(HELD_OUT)) == 0
     rows = perplexities(docs, trusted.where(~held), order).drop("trusted")
-    proof = rows.join(trusted.where(held).select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id")
-    cut = F.percentile_approx("perplexity", quantile, 10_000).alias("threshold")
-    by_lang = proof.groupBy(F.col("lang").alias("_lang")).agg(cut, F.count("*").alias("n")).where(F.col("n") >= LEAST).drop("n")
-    overall = proof.agg(cut).first()["threshold"]
+    proof = rows.join(trusted.where(held).select(key).distinct(), "doc_id")
+    cuts = F.percentile_approx("perplexity", F.array(*map(F.lit, sorted(quantiles))), 10_000).alias("cuts")
+    by_lang = proof.groupBy("lang").agg(cuts, F.count("*").alias("n")).where(F.col("n") >= LEAST).drop("n")
+    overall = proof.agg(cuts).first()["cuts"]
+    if bad is not None:
+        wrong = rows.join(bad.select(key).distinct(), "doc_id").select(F.col("lang").alias("_lang"), "perplexity")
+        met = wrong.join(by_lang, F.col("_lang").eqNullSafe(F.col("lang")))
+        caught = [F.avg((F.col("perplexity") > F.col("cuts")[k]).cast("int")) for k in range(len(quantiles))]
+        gain = F.array(*[F.struct((c - (1 - q)).alias("gain"), F.lit(k).alias("k")) for k, (c, q) in enumerate(zip(caught, sorted(quantiles), strict=True))])
+        best = met.groupBy("lang").agg(F.array_max(gain)["k"].alias("k"), F.count("*").alias("n")).where(F.col("n") >= LEAST)
+        best = best.select(F.col("lang").alias("_best"), "k")
+        by_lang = by_lang.join(best, F.col("lang").eqNullSafe(F.col("_best")), "left")
+    else:
+        by_lang = by_lang.withColumn("k", F.lit(None).cast("int"))
+    by_lang = by_lang.select(F.col("lang").alias("_lang"), F.element_at("cuts", F.coalesce(F.col("k") + 1, F.lit(-1))).alias("threshold"))
     joined = rows.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    limit = F.coalesce("threshold", F.lit(overall).cast("double"), F.lit(float("inf")))
+    limit = F.coalesce("threshold", F.lit(overall[-1] if overall else None).cast("double"), F.lit(float("inf")))
     return joined.withColumn("threshold", limit).select("doc_id", "lang", "n_bytes", "perplexity", "threshold", (F.col("perplexity") <= F.col("threshold")).alias("keep"))
 
 
 def op5_kneser_ney_quality(spark, sf_dir: str) -> DataFrame:
-    trusted = common.read_table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
-    return classify(common.read_table(spark, sf_dir, "documents"), trusted)
+    labels = common.read_table(spark, sf_dir, "labels")
+    trusted, bad = labels.where("quality = 1 and toxic = 0"), labels.where("quality = 0 or toxic = 1")
+    return classify(common.read_table(spark, sf_dir, "documents"), trusted.select("doc_id"), bad.select("doc_id"))
