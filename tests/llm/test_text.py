@@ -1,10 +1,12 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tablewright.llm import bm25, decontaminate, langid, quality, secrets, sharding
 
@@ -172,8 +174,6 @@ def test_language(spark, odd, empty):
     model = langid.learn(docs)
     rows = langid.predict(docs, model).collect()
     lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
-    import zlib
-
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
     assert all(r["lang_pred"] == lang[r["doc_id"]] and 0 <= r["score"] <= 1 for r in rows if r["doc_id"] < 500)
     assert {r["doc_id"]: (r["lang_pred"], r["score"]) for r in rows if r["doc_id"] >= 500} == {500: ("und", 0.0), 501: ("und", 0.0)}
@@ -182,6 +182,56 @@ def test_language(spark, odd, empty):
     assert langid.predict(empty, langid.learn(empty)).count() == 0 and langid.Model([], np.zeros(0, int), np.zeros((0, 0))).predict(["x"]) == [("und", 0.0)]
 
 
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """One document repeated very often, and one doc_id on very many rows: the driver gets PER_LANG different rows at most."""
+    de, en = [i for i in range(50) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    rows = [(de, "der und die das", "de")] * 3000 + [(en, f"the and of {i} word{i}", "en") for i in range(3000)] + [(i, f"le la les {i}", "fr") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got, real = [], langid.fit
+    monkeypatch.setattr(langid, "fit", lambda bits, langs, *a: got.append(Counter(langs)) or real(bits, langs, *a))
+    model = langid.learn(docs, per_lang=20)
+    assert got[0]["de"] == 1 and got[0]["en"] == 20 and 10 <= got[0]["fr"] <= 20
+    assert [x for x, _ in model.predict(["die und der", "and the of"])] == ["de", "en"]
+
+
+def brute_language(texts, langs, asked):
+    """Kernel ridge regression with the Nyström kernel of the landmarks, by its definition, on sets of n-grams."""
+
+    def grams(text):
+        letters = "".join(c if c.isalpha() else "\0" for c in text.lower())
+        padded = f"\0{letters}\0"
+        return {padded[i : i + n] for n in langid.ORDERS for i in range(len(padded) - n + 1)}
+
+    sets, names = [grams(t) for t in texts], sorted(set(langs))
+    k = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    by = {x: [i for i, y in enumerate(langs) if y == x] for x in names}
+    marks = [sets[rows[j]] for j in range(max(map(len, by.values()))) for rows in by.values() if j < len(rows)][: langid.LANDMARKS]
+    k_nm, k_mm = np.array([[k(s, m) for m in marks] for s in sets]), np.array([[k(a, b) for b in marks] for a in marks])
+    y = np.where(np.array(langs)[:, None] == np.array(names)[None], 1.0, -1.0)
+    weight = np.diag([len(langs) / len(names) / len(by[x]) for x in langs])
+    value, vector = np.linalg.eigh(k_mm)
+    root = vector[:, value > 1e-6 * value.max()] / np.sqrt(value[value > 1e-6 * value.max()])
+    phi = k_nm @ root
+    alpha = root @ np.linalg.solve(phi.T @ weight @ phi + langid.RIDGE * len(langs) / 100 * np.eye(phi.shape[1]), phi.T @ weight @ y)
+    values = np.array([[k(grams(t), m) for m in marks] for t in asked]) @ alpha
+    e = np.exp(langid.SHARPNESS * (values - values.max(axis=1, keepdims=True)))
+    return [(names[i], float(p[i])) for p, i in zip(e / e.sum(axis=1, keepdims=True), values.argmax(axis=1), strict=True)]
+
+
+def test_language_equals_brute_force(monkeypatch):
+    """In buckets enough that no two n-grams of these texts meet, the model is the kernel's own."""
+    rng = np.random.default_rng(11)
+    words = {"aa": ["lano", "lo", "liba"], "bb": ["zur", "zano", "zeba"], "cc": ["lur", "kot", "ku"]}
+    texts = [" ".join(rng.choice(words[x], 3)) + "." for x in ("aa", "bb", "cc") for _ in range(12)]
+    langs = [x for x in ("aa", "bb", "cc") for _ in range(12)]
+    order = sorted(range(36), key=lambda i: (langs[i], texts[i]))
+    texts, langs = [texts[i] for i in order], [langs[i] for i in order]
+    model = langid.fit(np.array([langid.presence(t) for t in texts]), langs)
+    asked = [" ".join(rng.choice(words[x], 4)) for x in ("aa", "bb", "cc") for _ in range(10)]
+    got, want = model.predict(asked), brute_language(texts, langs, asked)
+    assert [x for x, _ in got] == [x for x, _ in want] and np.allclose([p for _, p in got], [p for _, p in want], atol=1e-3)
+
+
 def test_bm25_equals_brute_force(spark, odd, empty):
     rng = np.random.default_rng(3)
     texts = [" ".join(f"w{min(int(x), 400)}" for x in rng.zipf(1.3, rng.integers(1, 60))) for _ in range(900)] + ["", None, "w1 w1 w2", "w1 w1 w2"]
@@ -221,21 +271,33 @@ def test_bm25_searches_all_terms(spark, monkeypatch, asked):
         assert got[q] == [(i, -s) for s, i in sorted(x for x in score if x[0] < 0)[:10]]
 
 
+@pytest.mark.parametrize("heavy", [2048, 5, 0])
 @pytest.mark.parametrize("many", [False, True])
-def test_block_max_search_prunes_nothing_that_counts(many):
+def test_block_max_search_prunes_nothing_that_counts(monkeypatch, many, heavy):
+    monkeypatch.setattr(bm25, "HEAVY", heavy)
+    monkeypatch.setattr(bm25, "BLOCK", 64)
     builder, rng = bm25._Builder(), np.random.default_rng(6)
     for i in range(3000):
-        builder.add(i, " ".join(f"w{int(x) % 30}" for x in rng.zipf(1.2, 20)))
+        builder.add(i, " ".join(f"w{int(x) % 30 + 30 * (i % 3)}" for x in rng.zipf(1.2, 20)))
     shard = bm25.Shard(builder.row().to_pylist()[0], 20.0)
-    for _ in range(30):
-        lists = rng.choice(len(shard.terms), 12 if many else 3, replace=False)
-        weights = rng.random(len(lists)) * 5
-        docs, scores = shard.search(lists, weights, 10)
-        total = np.zeros(3000)
-        for k, w in zip(lists, weights, strict=True):
-            total[shard.docs[shard.starts[k] : shard.starts[k + 1]]] += w * shard.parts[shard.starts[k] : shard.starts[k + 1]]
-        order = np.lexsort((np.arange(3000), -total))[:10]
-        assert order.tolist() == docs.tolist() and np.allclose(total[order], scores)
+    asked = [(rng.choice(len(shard.terms), 12 if many else 3, replace=False), rng.random(12 if many else 3) * 5) for _ in range(40)]
+    for floor in (0.0, 4.0):
+        got = shard.search(np.repeat(np.arange(40), [len(x[0]) for x in asked]), np.concatenate([x[0] for x in asked]), np.concatenate([x[1] for x in asked]), np.full(40, floor), 10)
+        for (lists, weights), (docs, scores) in zip(asked, got, strict=True):
+            total = np.zeros(3000)
+            for k, w in sorted(zip(lists.tolist(), weights.tolist(), strict=True)):
+                total[shard.docs[shard.starts[k] : shard.starts[k + 1]]] += w * shard.parts[shard.starts[k] : shard.starts[k + 1]]
+            order = np.lexsort((shard.doc_ids, -total))[:10]
+            order = order[(total[order] >= floor) & (total[order] > 0)]
+            assert order.tolist() == docs.tolist() and np.allclose(total[order], scores, rtol=1e-12)
+
+
+def test_bm25_null_and_clashing_ids(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "POSTINGS", 5)  # rows of the index end early
+    docs = spark.createDataFrame([(None, "red blue"), (None, "red"), (1, "red blue"), (2, None), (3, "green grass")], "doc_id long, text string").withColumns({"wave": F.lit("x"), "term": F.lit(1)})
+    queries = spark.createDataFrame([(1, "red blue"), (1, "zzz"), (None, "red"), (2, ""), (3, "green")], "query_id long, text string").withColumn("idf", F.lit(2))
+    got = [(r["query_id"], r["rank"], r["doc_id"]) for r in bm25.search(docs, queries).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 1, None), (1, 2, 1), (1, 3, None), (3, 1, 3)]
 
 
 def test_quality_equals_brute_force(spark, odd, empty):
@@ -271,5 +333,10 @@ def test_quality_equals_brute_force(spark, odd, empty):
         assert math.isclose(rows[i], want, rel_tol=1e-9)
     kept = {r["doc_id"]: r["keep"] for r in quality.classify(docs, trusted, order=3).collect()}
     assert not kept[60] and sum(kept[i] for i in range(60)) >= 50
+    bad = spark.createDataFrame([(i,) for i in range(700, 740)], "doc_id long")
+    known = [(i, " ".join(rng.choice(["the", "cat", "sat"], 25)) + " xyz" * (i >= 700), "en") for i in [*range(200, 500), *range(700, 740)]]
+    more = spark.createDataFrame(known, "doc_id long, text string, lang string")
+    rows = quality.classify(more, spark.createDataFrame([(i,) for i in range(200, 500)], "doc_id long"), bad, order=3).collect()
+    assert not any(r["keep"] for r in rows if r["doc_id"] >= 700) and sum(r["keep"] for r in rows if r["doc_id"] < 700) >= 270
     assert quality.classify(odd, trusted).count() == odd.count() and quality.classify(empty, trusted).count() == 0
     assert all(r["keep"] for r in quality.classify(docs, trusted.limit(0)).collect())
