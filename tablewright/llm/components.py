@@ -3,6 +3,9 @@
 A round gives each node its smallest neighbour (or itself) as parent, jumps pointers until every node points to a local
 minimum, and replaces edges by those between minima; at least half of the nodes that still have edges go in each round.
 Everything stays in tables: nothing about nodes or edges reaches the driver but counts.
+
+Edges may repeat, in either direction, and may be loops, which link nothing; edges with a null end are left out; no edges give no
+rows. Columns other than u and v are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
         paths.append(path)
         return out
 
-    edges = keep(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+    edges = keep(edges.select("u", "v").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
     known = None
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -9,8 +9,10 @@ Words are runs of letters and digits, lower-cased. Items of fewer than MIN_MATCH
 joined in blocks of at most BLOCK seeds, so what is broadcast is bounded whatever its size. Only words of the block's items
 have a number, so a document is read as numbers, nearly all of them the number for other words.
 
-Null or empty texts and items match nothing. Repeated items give a row each. Documents with a null doc_id are handled like
-others. An empty benchmark leaves every document clean; an empty documents table gives no rows.
+Null or empty texts and items match nothing. Repeated items give a row each; so do repeated documents. Documents with a null
+doc_id are handled like others. Longest runs that tie are marked by their place in the item, then in the document. An empty
+benchmark leaves every document clean; an empty documents table gives no rows. Only doc_id, item_id and text are read;
+decontaminate() hands all columns on as they are.
 """
 
 from __future__ import annotations

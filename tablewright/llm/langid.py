@@ -10,6 +10,7 @@ presence with the landmarks' weights.
 N-grams are hashed to BUCKETS; texts are lower-cased and everything but letters is one separator. A text that is null or has no
 letter is `und` with score 0, and so is every text if no labelled row can be learned from. Ties of score go to the language that
 sorts first. Repeated rows get a row each; a null doc_id is never learned from and not held out; an empty table gives no rows.
+Only doc_id, lang and text are read, whatever other columns are called; keep_identified() hands all columns on as they are.
 """
 
 from __future__ import annotations

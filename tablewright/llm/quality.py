@@ -15,7 +15,8 @@ A language without LEAST bad documents takes the highest quantile, one without L
 language of its own) the threshold of all.
 
 A null or empty text has only its end mark. Repeated rows get a row each. With no trusted documents at all every byte is equally
-likely and nothing is rejected; an empty table gives no rows. docs must be a plain scan: its partitions are the units of two
+likely and nothing is rejected; an empty table gives no rows. A null doc_id is never trusted. A perplexity at the threshold is
+kept. Only doc_id, text and lang are read, whatever other columns are called. docs must be a plain scan: its partitions are the units of two
 passes, and a pass that meets an n-gram its unit did not list fails.
 """
 

@@ -13,7 +13,8 @@ input: its windows are counted by their digests in a distributed aggregation ins
 There are as many shards as shuffle partitions, or more, so that a shard has about SHARD_BYTES.
 
 Texts are keyed by two 64-bit hashes. A null text is empty and keeps its zero bytes; texts shorter than `length` lose
-nothing; repeated rows repeat each other's text; an empty table gives no rows.
+nothing; repeated rows repeat each other's text; rows with a null doc_id are handled like others; an empty table gives no rows.
+Only doc_id and text are read, whatever other columns are called.
 """
 
 from __future__ import annotations

@@ -5,8 +5,10 @@ Sorted by fractional rank, any run of rows has each source in proportion, so the
 counts (at most one apart). Ranks come from range partitions and their counts, so that a source with a third of all rows
 is spread like any other.
 
-A null source is a source of its own; a null text has no bytes; repeated rows get places of their own. Shards of a table
-with fewer rows than shards are empty where no row falls into them.
+A null source is a source of its own; a null text has no bytes; repeated rows, and equal texts, get places of their own and are
+not kept together (law `rows`: the counts of shards differ by one at most). Rows with a null doc_id are placed like others; rows
+that tie in source, hash, doc_id and text take each other's places. Shards of a table with fewer rows than shards are empty where
+no row falls into them; an empty table gives no rows. Columns other than doc_id, text and the source are not read.
 """
 
 from __future__ import annotations
