@@ -60,7 +60,7 @@ def blank(c: Column, kind: T.DataType | None = None) -> Column:
         return c.isNull() | F.isnan(c)
     if kind is not None and not isinstance(kind, T.StringType):
         return c.isNull()
-    return c.isNull() | (strip(c) == "")
+    return c.isNull() | F.when(F.ascii(c).between(33, 126), F.lit(False)).otherwise(F.btrim(c, F.lit(WHITE)) == "")
 
 
 def _dressed(text: Column) -> Column:

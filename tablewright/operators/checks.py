@@ -50,6 +50,20 @@ class Context:
     def source(self, name: str) -> Column:
         return quoted(self.match.actual[name])
 
+    def value(self, name: str) -> Column:
+        """The parsed value of a contract column."""
+        return self._part("value", name)
+
+    def blank(self, name: str) -> Column:
+        return self._part("blank", name)
+
+    def invalid(self, name: str) -> Column:
+        """Whether a cell that is not blank is not of its type."""
+        return self._part("invalid", name)
+
+    def _part(self, part: str, name: str) -> Column:
+        return F.col(f"_{part}_{list(self.contract.columns).index(name)}")
+
     def kind(self, name: str):
         return self.frame.schema[self.match.actual[name]].dataType
 
@@ -107,9 +121,9 @@ class MissingValues(Check):
             if n in ctx.match.actual:
                 text = f"'{n}' is blank in {{failed}} row(s)."
                 if rule.required:
-                    out.append(Finding(self.name, "completeness", F.lit(True), F.col(f"_cells.{n}.blank"), n, invalidates=True, message=text))
+                    out.append(Finding(self.name, "completeness", F.lit(True), ctx.blank(n), n, invalidates=True, message=text))
                 else:
-                    out.append(Finding(self.name, "completeness", 0, F.col(f"_cells.{n}.blank"), n, on_failure="threshold", counted=False, only_failing=True, message=text))
+                    out.append(Finding(self.name, "completeness", 0, ctx.blank(n), n, on_failure="threshold", counted=False, only_failing=True, message=text))
         return out
 
 
@@ -121,7 +135,7 @@ class _Parses(Check):
 
     def findings(self, ctx: Context) -> list[Finding]:
         return [
-            Finding(self.name, "validity", ~F.col(f"_cells.{n}.blank"), F.col(f"_cells.{n}.invalid"), n, invalidates=True, message=f"'{n}' has {{failed}} value(s) that are not {self.label}.")
+            Finding(self.name, "validity", ~ctx.blank(n), ctx.invalid(n), n, invalidates=True, message=f"'{n}' has {{failed}} value(s) that are not {self.label}.")
             for n, rule in ctx.contract.columns.items()
             if n in ctx.match.actual and self.applies(rule)
         ]
@@ -146,7 +160,7 @@ class InvalidCategories(Check):
 
     def findings(self, ctx: Context) -> list[Finding]:
         return [
-            Finding(self.name, "validity", ~F.col(f"_cells.{n}.blank"), F.col(f"_cells.{n}.invalid"), n, invalidates=True, message=f"'{n}' has {{failed}} value(s) outside {', '.join(rule.allowed)}.")
+            Finding(self.name, "validity", ~ctx.blank(n), ctx.invalid(n), n, invalidates=True, message=f"'{n}' has {{failed}} value(s) outside {', '.join(rule.allowed)}.")
             for n, rule in ctx.contract.columns.items()
             if n in ctx.match.actual and rule.allowed
         ]
@@ -160,7 +174,7 @@ class Ranges(Check):
         for n, rule in ctx.contract.columns.items():
             if n not in ctx.match.actual or not rule.numeric or (rule.min is None and rule.max is None):
                 continue
-            value, valid = F.col(f"_cells.{n}.value"), ~F.col(f"_cells.{n}.blank") & ~F.col(f"_cells.{n}.invalid")
+            value, valid = ctx.value(n), ~ctx.blank(n) & ~ctx.invalid(n)
             low = F.lit(False) if rule.min is None else valid & (value < rule.min)
             high = F.lit(False) if rule.max is None else valid & (value > rule.max)
             if rule.type == "percent":
@@ -182,7 +196,7 @@ class BetweenColumns(Check):
         out = []
         for rule in ctx.contract.consistency_rules:
             if rule.column in ctx.match.actual and rule.reference in ctx.match.actual:
-                left, right = (F.col(f"_cells.{c}.value") for c in (rule.column, rule.reference))
+                left, right = (ctx.value(c) for c in (rule.column, rule.reference))
                 both = left.isNotNull() & right.isNotNull()
                 bad = both & (left < right if rule.type == "not_before" else left > right)
                 out.append(Finding(self.name, "consistency", both, bad, rule.column, invalidates=True, message=f"{{failed}} row(s): {rule.description or rule.type}."))
@@ -229,10 +243,16 @@ CHECKS: tuple[Check, ...] = (
 )
 
 
+def is_part(column: str) -> bool:
+    """Whether a column is one that parsed() adds."""
+    return column in ("_empty", "_copy", "_same_key") or column.rpartition("_")[0] in ("_value", "_blank", "_invalid")
+
+
 def parsed(ctx: Context) -> DataFrame:
-    """The table with _cells (value, blank, invalid of each contract column), _empty, _copy and _same_key."""
-    frame, cells = ctx.frame, []
-    for n, rule in ctx.contract.columns.items():
+    """The table with the parts of each contract column (see Context), _empty, _copy and _same_key. Parts are columns of their own,
+    so that each is computed once however many checks read it."""
+    frame, parts = ctx.frame, {}
+    for k, (n, rule) in enumerate(ctx.contract.columns.items()):
         if n not in ctx.match.actual:
             continue
         source, kind = ctx.source(n), ctx.kind(n)
@@ -244,12 +264,13 @@ def parsed(ctx: Context) -> DataFrame:
             empty = values.blank(source, kind)
             bad = ~empty & ~values.key(source).isin([v.strip().lower().replace("ß", "ss") for v in rule.allowed]) if rule.allowed else F.lit(False)
             cell = values.Cell(source.cast("string"), empty, bad)
-        cells.append(F.struct(cell.value.alias("value"), F.coalesce(cell.blank, F.lit(False)).alias("blank"), F.coalesce(cell.invalid, F.lit(False)).alias("invalid")).alias(n))
+        parts |= {f"_value_{k}": cell.value, f"_blank_{k}": F.coalesce(cell.blank, F.lit(False)), f"_invalid_{k}": F.coalesce(cell.invalid, F.lit(False))}
     data = [c for c in frame.columns if c != ROW]
+    known = {actual: n for n, actual in ctx.match.actual.items()}
     empty = F.lit(True)
     for c in data:
-        empty = empty & values.blank(quoted(c), frame.schema[c].dataType)
-    out = frame.withColumns({"_cells": F.struct(*cells) if cells else F.lit(None).cast("struct<none: int>"), "_empty": empty})
+        empty = empty & (ctx.blank(known[c]) if c in known else values.blank(quoted(c), frame.schema[c].dataType))
+    out = frame.withColumns(parts).withColumn("_empty", empty)
     if not ctx.settings.duplicate_check:
         return out.withColumns({"_copy": F.lit(False), "_same_key": F.lit(False)})
     asked = {"_copy": ([values.strip(quoted(c).cast("string")) for c in data], None)}

@@ -1,13 +1,15 @@
 """Cleaning: ordered steps on one annotated frame. Every changed cell is recorded, every removed row is kept with its reasons.
 
 Order: names, white space, placeholders, copies of rows, categories, types, defaults, reasons, quarantine. The original row, the
-working values and the changes travel together, so data, quarantine and change log are projections of one frame.
+working values and how many cells each step changed travel together, so data and quarantine are projections of one frame, which is
+held. The change log has a plan of its own, of the same steps with the old and new values; it runs when the log is asked for.
 """
 
 from __future__ import annotations
 
 import time
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -17,7 +19,7 @@ from pyspark.sql import types as T
 from tablewright.errors import ProcessingFailed, TablewrightError
 from tablewright.functions import names, values
 from tablewright.operators.checks import quoted
-from tablewright.operators.rows import ROW, bounded, numbered, repeats
+from tablewright.operators.rows import ROW, Repeats, bounded, numbered, repeats
 from tablewright.plans.contracts import Catalog, Contract
 from tablewright.plans.settings import Cleaning
 
@@ -55,6 +57,33 @@ def modal_spellings(df: DataFrame, columns: list[str]) -> DataFrame:
     return each.withColumn("_k", values.key(F.col("_s"))).groupBy("_c", "_k").agg(best)
 
 
+# ---------------------------------------------------------------- steps of single columns, also for use outside the cleaner
+def trimmed(c: Column) -> Column:
+    """Without white space at the ends, with single spaces inside."""
+    return values.squeeze(c)
+
+
+def without_placeholders(c: Column, placeholders: tuple[str, ...], stripped: Column | None = None) -> Column:
+    """NULL where the text is empty or stands for a missing value. stripped: the same text where it is known to be stripped."""
+    bare = values.strip(c) if stripped is None else stripped
+    return F.when((bare != "") & ~F.lower(bare).isin(list(placeholders)), c)
+
+
+def spelled_as(c: Column, allowed: tuple[str, ...]) -> Column:
+    """The allowed spelling of a value, whatever its case and white space; other values stay."""
+    pairs = [x for v in allowed for x in (F.lit(v.strip().lower().replace("ß", "ss")), F.lit(v))]
+    return F.coalesce(F.element_at(F.create_map(*pairs), values.key(c)), c.cast("string"))
+
+
+def typed_as(c: Column, rule, kind: T.DataType, *, dayfirst: bool = True) -> Column:
+    """The value of the rule's type, NULL where it is none."""
+    if rule.numeric:
+        return values.number(c, kind).value
+    if rule.temporal:
+        return values.date(c, kind, time=rule.type == "datetime", dayfirst=dayfirst).value
+    return c.cast("string")
+
+
 def cased(c: Column, case: str) -> Column:
     return {"title": values.title, "upper": F.upper, "lower": F.lower}.get(case, lambda x: x)(c)
 
@@ -68,7 +97,8 @@ class Step:
 
 @dataclass
 class Cleaned:
-    """data: typed usable rows; quarantine: original rows with reasons; changes: the capped change log."""
+    """data: typed usable rows; quarantine: original rows with reasons, by row; changes: the capped change log (frame: the changes
+    of each row)."""
 
     dataset: str
     data: DataFrame
@@ -153,8 +183,9 @@ class Cleaner:
         return out
 
     # ------------------------------------------------------------------ plan
-    def annotate(self, df: DataFrame, contract: Contract) -> tuple[DataFrame, dict[str, str], DataFrame]:
-        """The frame with _original, clean columns, _changes, _copy and _reasons; names; the numbered input."""
+    def annotate(self, df: DataFrame, contract: Contract) -> tuple[DataFrame, DataFrame, dict[str, str], DataFrame]:
+        """The frame with _original, clean columns, the number of changes by step (_n_...), _copy and _reasons; its rows with
+        _changes (and without the reasons of keys); names; the numbered input."""
         cfg, df = self.settings, numbered(df)
         columns = [c for c in df.columns if c != ROW]
         mapping = renaming(columns, contract) if cfg.standardize_column_names else {c: c for c in columns}
@@ -166,26 +197,27 @@ class Cleaner:
         def change(frame: DataFrame, step: str, new: dict[str, Column], hit) -> DataFrame:
             """new: the value of each column; hit(name, old, new): whether it counts as a change. Values get columns of their own
             first, so that nothing is computed twice."""
-            if not new:
-                return frame
             order = {c: k for k, c in enumerate(work if step in ("trim", "placeholders") else contract.columns)}
-            held = frame.withColumns({f"_new_{k}": v for k, v in enumerate(new.values())})
-            notes = [
-                F.when(
-                    hit(c, quoted(c), F.col(f"_new_{k}")),
-                    F.struct(F.lit(STEPS.index(step)).alias("step"), F.lit(order[c]).alias("ordinal"), F.lit(c).alias("column"), quoted(c).cast("string").alias("old"), F.col(f"_new_{k}").cast("string").alias("new")),
-                )
-                for k, c in enumerate(new)
-            ]
-            out = {"_changes": F.concat("_changes", F.array_compact(F.array(*notes)))} | {c: F.col(f"_new_{k}") for k, c in enumerate(new)}
+            held = frame.withColumns({f"_new_{k}": v for k, v in enumerate(new.values())}) if new else frame
+            hits = {k: hit(c, quoted(c), F.col(f"_new_{k}")) for k, c in enumerate(new)}
+            out = {f"_n_{step}": reduce(lambda a, b: a + b, [F.coalesce(h, F.lit(False)).cast("int") for h in hits.values()], F.lit(0))}
+            if "_changes" in frame.columns and new:
+                notes = [
+                    F.when(
+                        hits[k],
+                        F.struct(F.lit(STEPS.index(step)).alias("step"), F.lit(order[c]).alias("ordinal"), F.lit(c).alias("column"), quoted(c).cast("string").alias("old"), F.col(f"_new_{k}").cast("string").alias("new")),
+                    )
+                    for k, c in enumerate(new)
+                ]
+                out["_changes"] = F.concat("_changes", F.array_compact(F.array(*notes)))
+            out |= {c: F.col(f"_new_{k}") for k, c in enumerate(new)}
             return held.withColumns(out).drop(*[f"_new_{k}" for k in range(len(new))])
 
         differs = lambda c, old, new: old.cast("string") != new.cast("string")
         lost = lambda c, old, new: old.isNotNull() & new.isNull()
-        if cfg.trim_whitespace:
-            frame = change(frame, "trim", {c: values.squeeze(quoted(c)) for c in texts}, differs)
+        frame = change(frame, "trim", {c: trimmed(quoted(c)) for c in texts} if cfg.trim_whitespace else {}, differs)
         stripped = {c: quoted(c) if cfg.trim_whitespace else values.strip(quoted(c)) for c in texts}
-        gone = {c: F.when((b != "") & ~F.lower(b).isin(list(cfg.placeholder_values)), quoted(c)) for c, b in stripped.items()}
+        gone = {c: without_placeholders(quoted(c), cfg.placeholder_values, b) for c, b in stripped.items()}
         frame = change(frame, "placeholders", gone, lost)
         if cfg.remove_duplicate_rows:
             bare = [quoted(c) if c in texts and cfg.trim_whitespace else values.strip(quoted(c).cast("string")) for c in work]
@@ -193,8 +225,8 @@ class Cleaner:
         else:
             frame = frame.withColumn("_copy", F.lit(False))
         live = {n: r for n, r in contract.columns.items() if n in work}
+        spelled: dict[str, Column] = {}
         if cfg.standardize_categories:
-            new = {}
             free = [n for n, rule in live.items() if rule.type == "category" and not rule.allowed]
             spellings = modal_spellings(frame.where(~F.col("_copy")), free) if free else None
             shown = bounded(spellings) if free else None  # categories are few; if not, they are joined with a shuffle
@@ -202,56 +234,52 @@ class Cleaner:
                 if rule.type != "category":
                     continue
                 if rule.allowed:
-                    pairs = [x for v in rule.allowed for x in (F.lit(v.strip().lower().replace("ß", "ss")), F.lit(v))]
-                    found = F.element_at(F.create_map(*pairs), values.key(quoted(n)))
+                    spelled[n] = spelled_as(quoted(n), rule.allowed)
                 else:
                     own = (spellings if shown is None else F.broadcast(shown)).where(F.col("_c") == n).select(F.col("_k").alias(f"_k_{n}"), F.col("_v").alias(f"_v_{n}"))
                     frame = frame.join(own, values.key(quoted(n)) == F.col(f"_k_{n}"), "left").drop(f"_k_{n}")
-                    found = cased(F.col(f"_v_{n}"), cfg.category_case)
-                new[n] = F.coalesce(found, quoted(n).cast("string"))
-            frame = change(frame, "categories", new, differs).drop(*[f"_v_{n}" for n in live])
+                    spelled[n] = F.coalesce(cased(F.col(f"_v_{n}"), cfg.category_case), quoted(n).cast("string"))
+        frame = change(frame, "categories", spelled, differs).drop(*[f"_v_{n}" for n in live])
         kinds = {f.name: f.dataType for f in frame.schema.fields}
-        new, typed = {}, [n for n, r in live.items() if r.numeric or r.temporal]
-        for n, rule in live.items():
-            if rule.numeric:
-                new[n] = values.number(quoted(n), kinds[n]).value
-            elif rule.temporal:
-                new[n] = values.date(quoted(n), kinds[n], time=rule.type == "datetime", dayfirst=self.dayfirst).value
-            else:
-                new[n] = quoted(n).cast("string")
+        typed = [n for n, r in live.items() if r.numeric or r.temporal]
+        new = {n: typed_as(quoted(n), rule, kinds[n], dayfirst=self.dayfirst) for n, rule in live.items()}
         frame = frame.withColumns({f"_full_{n}": ~values.blank(quoted(n), kinds[n]) for n in typed})
         frame = change(frame, "types", new, lambda c, old, now: F.col(f"_full_{c}") & now.isNull() if c in typed else F.lit(False))
         frame = frame.withColumns({f"_bad_{n}": F.col(f"_full_{n}") & quoted(n).isNull() for n in typed}).drop(*[f"_full_{n}" for n in typed])
-        frame = self._keep(frame)
-        frame = self._integers(frame, [n for n, r in live.items() if r.type == "integer"])
-        kinds = {f.name: f.dataType for f in frame.schema.fields}
-        defaults = {n: F.lit(r.default).cast(kinds[n]) for n, r in live.items() if r.default is not None and not r.required}
-        frame = change(frame, "defaults", {n: F.coalesce(quoted(n), d) for n, d in defaults.items()}, lambda c, old, now: old.isNull())
-        frame = frame.withColumn("_reasons", self._reasons(contract, live))
+        lean = self._keep(frame.drop("_changes"))
+        whole = self._whole(lean, [n for n, r in live.items() if r.type == "integer"])
+        reasons = self._reasons(contract, live)
+
+        def finish(frame: DataFrame) -> DataFrame:
+            out = frame.withColumns({c: quoted(c).try_cast("bigint") for c in whole})
+            types = {f.name: f.dataType for f in out.schema.fields}
+            defaults = {n: F.coalesce(quoted(n), F.lit(r.default).cast(types[n])) for n, r in live.items() if r.default is not None and not r.required}
+            return change(out, "defaults", defaults, lambda c, old, now: old.isNull()).withColumn("_reasons", reasons)
+
+        lean, full = finish(lean), finish(frame)
         key = [k for k in contract.business_key if k in work]
         if cfg.duplicate_keys == "quarantine" and key and len(key) == len(contract.business_key):
             parts = [values.key(quoted(k).cast("string")) for k in key]
             usable = ~F.col("_copy") & (F.size("_reasons") == 0)
             for p in parts:
                 usable = usable & p.isNotNull()
-            frame = repeats(frame, parts, "_again", among=usable)
+            found = Repeats(lean, {"_again": (parts, usable)})
             text = F.array(F.lit(f"duplicate business key ({' + '.join(key)})"))
-            frame = frame.withColumn("_reasons", F.when(F.col("_again"), text).otherwise(F.col("_reasons"))).drop("_again")
-        return frame.drop(*[f"_bad_{n}" for n in typed]), {c: mapping[c] for c in columns if c != mapping[c]}, df
+            lean = found.mark(lean, "_again").withColumn("_reasons", F.when(F.col("_again"), text).otherwise(F.col("_reasons"))).drop("_again")
+        own = [f"_bad_{n}" for n in typed]
+        return lean.drop(*own), full.drop(*own), {c: mapping[c] for c in columns if c != mapping[c]}, df
 
     def _keep(self, frame: DataFrame) -> DataFrame:
         """The typed frame, which all results are made from, is held (in memory, on disk beyond it) until release()."""
         self._held.append(frame.persist(StorageLevel.MEMORY_AND_DISK))
         return self._held[-1]
 
-    def _integers(self, frame: DataFrame, columns: list[str]) -> DataFrame:
-        """Integer columns become bigint where every value is whole; one job for all of them."""
-        if not columns or self.settings.integers == "double":
-            return frame
-        if self.settings.integers == "data":
-            whole = frame.where(~F.col("_copy")).agg(*[F.bool_and(F.pmod(quoted(c), F.lit(1.0)) == 0).alias(c) for c in columns]).first()
-            columns = [c for c in columns if whole[c] is not False]
-        return frame.withColumns({c: quoted(c).try_cast("bigint") for c in columns})
+    def _whole(self, frame: DataFrame, columns: list[str]) -> list[str]:
+        """The integer columns that become bigint: those where every value is whole; one job for all of them."""
+        if not columns or self.settings.integers != "data":
+            return columns if self.settings.integers == "bigint" else []
+        whole = frame.where(~F.col("_copy")).agg(*[F.bool_and(F.pmod(quoted(c), F.lit(1.0)) == 0).alias(c) for c in columns]).first()
+        return [c for c in columns if whole[c] is not False]
 
     @staticmethod
     def _reasons(contract: Contract, live: dict) -> Column:
@@ -278,26 +306,29 @@ class Cleaner:
     def _clean(self, df: DataFrame, dataset: str, contract: Contract) -> Cleaned:
         cfg = self.settings
         self._held = []
-        frame, renamed, original = self.annotate(df, contract)
+        frame, full, renamed, original = self.annotate(df, contract)
         keep_bad = cfg.invalid_rows == "keep"
         bad = F.size("_reasons") > 0
         kept = ~F.col("_copy") & (F.lit(True) if keep_bad else ~bad)
         frame = frame.withColumn("_kept", kept)
-        columns = [c for c in frame.columns if c not in (ROW, "_original", "_changes", "_copy", "_reasons", "_kept")]
+        changed = [f"_n_{s}" for s in STEPS]
+        columns = [c for c in frame.columns if c not in (ROW, "_original", "_copy", "_reasons", "_kept", *changed)]
         joined = F.array_join("_reasons", "; ")
         data = frame.where("_kept").select(ROW, *map(quoted, columns), *([F.when(bad, joined).alias(ISSUES)] if keep_bad else []))
         reason = F.when(F.col("_copy"), COPY_REASON).otherwise(joined)
         quarantine = frame.where("not _kept").select(ROW, "_original.*", reason.alias(REASON)).orderBy(ROW)
+        some = reduce(lambda a, b: a | b, [(F.col(n) > 0) for n in changed])
         counts = frame.agg(
             F.count("*").alias("n"),
             F.count_if("_kept").alias("kept"),
             F.count_if("_copy").alias("copies"),
             F.count_if(~F.col("_copy") & bad).alias("bad"),
-            F.count_if(F.col("_kept") & (F.size("_changes") > 0)).alias("modified"),
-            *[F.coalesce(F.sum(F.size(F.filter("_changes", _counts(k)))), F.lit(0)).alias(s) for k, s in enumerate(STEPS)],
-            F.count_if(~F.col("_copy") & F.exists("_changes", lambda c: c["step"] == STEPS.index("types"))).alias("typed"),
+            F.count_if(F.col("_kept") & some).alias("modified"),
+            *[F.coalesce(F.sum(F.when(~F.col("_copy") | F.lit(k < 2), F.col(n))), F.lit(0)).alias(s) for k, (s, n) in enumerate(zip(STEPS, changed, strict=True))],  # copies leave after the first two
+            F.count_if(~F.col("_copy") & (F.col("_n_types") > 0)).alias("typed"),
         ).first()
-        out = Cleaned(dataset, data, quarantine, frame.withColumn("_changes", F.filter("_changes", lambda c: ~F.col("_copy") | (c["step"] < 2))), original, renamed, cfg.change_log_limit)
+        log = full.select(ROW, F.filter("_changes", lambda c: ~F.col("_copy") | (c["step"] < 2)).alias("_changes"))
+        out = Cleaned(dataset, data, quarantine, log, original, renamed, cfg.change_log_limit)
         out.before, out.after, out.removed, out.modified = counts["n"], counts["kept"], counts["n"] - counts["kept"], counts["modified"]
         out.cells = sum(counts[s] for s in STEPS)
         for s in STEP_NAMES:
@@ -317,11 +348,6 @@ class Cleaner:
         return out
 
 
-def _counts(step: int):
-    """Changes of a step; copies leave after the first two."""
-    return lambda c: (c["step"] == step) & (~F.col("_copy") | F.lit(step < 2))
-
-
 def reason_histogram(quarantine: DataFrame) -> DataFrame:
     """reason, n: the most frequent first."""
     each = quarantine.select(F.explode(F.split(REASON, "; ")).alias("reason"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,12 +62,22 @@ def pct_change(df: DataFrame, value: str, order: str, by: Sequence[str] = (), se
     return out.withColumn("is_anomaly", F.coalesce(F.abs("change_pct") > s.pct_change_threshold, F.lit(False)))
 
 
-METHODS = {"iqr": iqr, "zscore": zscore, "rolling": rolling, "pct_change": pct_change}
+#: Detectors by name, and whether they follow an order.
+METHODS: dict[str, tuple[Callable[..., DataFrame], bool]] = {"iqr": (iqr, False), "zscore": (zscore, False), "rolling": (rolling, True), "pct_change": (pct_change, True)}
 
 
-def detect(df: DataFrame, value: str, order: str, by: Sequence[str] = (), settings: Anomaly | None = None) -> DataFrame:
-    """By the method of the settings."""
+def detector(name: str, *, ordered: bool = False):
+    """Register a detector: a function of the table, the value, [the order,] the groups and the settings."""
+
+    def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        METHODS[name] = (f, ordered)
+        return f
+
+    return add
+
+
+def detect(df: DataFrame, value: str, order: str, by: Sequence[str] = (), settings: Anomaly | None = None, method: str | None = None) -> DataFrame:
+    """By the method named, else that of the settings."""
     s = settings or Anomaly()
-    if s.method in ("iqr", "zscore"):
-        return METHODS[s.method](df, value, by, s)
-    return METHODS[s.method](df, value, order, by, s)
+    found, ordered = METHODS[method or s.method]
+    return found(df, value, order, by, s) if ordered else found(df, value, by, s)

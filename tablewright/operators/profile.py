@@ -105,9 +105,9 @@ def detected(kind: T.DataType, v: dict) -> str:
 
 def _values(df: DataFrame, columns: list[str]) -> DataFrame:
     """k (the column's number), v, n and first (row) of each different value that is not blank."""
-    at = F.col(ROW) if ROW in df.columns else F.lit(0)
-    cells = [F.struct(F.lit(k).alias("k"), F.when(~values.blank(quoted(c), df.schema[c].dataType), quoted(c).cast("string")).alias("v")) for k, c in enumerate(columns)]
-    each = df.select(at.alias("at"), F.explode(F.array(*cells)).alias("x")).select("at", "x.*").where("v is not null")
+    at = (F.col(ROW) if ROW in df.columns else F.lit(0)).cast("long").alias("at")
+    cells = [df.select(F.lit(k).alias("k"), quoted(c).cast("string").alias("v"), at).where(~values.blank(quoted(c), df.schema[c].dataType)) for k, c in enumerate(columns)]
+    each = reduce(DataFrame.union, cells)  # a scan of one column each
     return each.groupBy("k", "v").agg(F.count("*").alias("n"), F.min("at").alias("first"))
 
 

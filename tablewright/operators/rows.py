@@ -9,6 +9,7 @@ join; rows that have nothing to look up are spread over its partitions by their
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,9 +36,10 @@ def numbered(df: DataFrame, name: str = ROW) -> DataFrame:
 
 
 def digest(columns: Sequence[Column]) -> tuple[Column, Column]:
-    """128 bits of some values, as two longs; NULL differs from every value."""
-    marked = [x for c in columns for x in (c.isNull(), c)]
-    return F.xxhash64(*marked), F.xxhash64(F.lit("salt"), *marked)
+    """128 bits of some values, as two longs; NULL differs from every value. Each value is read more than once."""
+    gone = [c.isNull().cast("long") * F.lit(1 << (k % 62)) for k, c in enumerate(columns)]
+    masks = [reduce(lambda a, b: a + b, gone[k : k + 62]) for k in range(0, len(gone), 62)]
+    return F.xxhash64(*masks, *columns), F.xxhash64(F.lit("salt"), *masks, *columns)
 
 
 def bounded(df: DataFrame, most: int | None = None) -> DataFrame | None:
@@ -57,12 +59,14 @@ class Repeats:
 
     def __init__(self, base: DataFrame, keys: dict[str, tuple[Sequence[Column], Column | None]], row: str = ROW) -> None:
         self.keys, self.row = keys, row
-        cells = []
+        cells, parts = [], {}
         for k, (key, among) in enumerate(keys.values()):
-            a, b = digest(key)
+            parts |= {f"_{k}_{j}": c for j, c in enumerate(key)} | ({f"_{k}_use": among} if among is not None else {})
+            a, b = digest([F.col(f"_{k}_{j}") for j in range(len(key))])
             own = F.struct(F.lit(k).alias("_i"), a.alias("_a"), b.alias("_b"))
-            cells.append(own if among is None else F.when(among, own))
-        each = base.select(F.col(row).alias("_row"), F.explode(F.array(*cells)).alias("_x")).where("_x is not null").select("_row", "_x.*")
+            cells.append(own if among is None else F.when(F.col(f"_{k}_use"), own))
+        narrow = base.select(F.col(row).alias("_row"), *[c.alias(n) for n, c in parts.items()])  # each part is computed once
+        each = narrow.select("_row", F.explode(F.array(*cells)).alias("_x")).where("_x is not null").select("_row", "_x.*")
         first = each.groupBy("_i", "_a", "_b").agg(F.min("_row").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
         small = bounded(first)
         self.small, self.first = small is not None, durable(first) if small is None else small
@@ -74,9 +78,10 @@ class Repeats:
         if k not in self.met:
             return df.withColumn(name, F.lit(False))
         key, among = self.keys[name]
-        a, b = digest(key)
         among = F.lit(True) if among is None else F.coalesce(among, F.lit(False))
-        out = df.withColumns({"_key_a": a, "_key_b": b, "_live": among})
+        held = {f"_part_{j}": c for j, c in enumerate(key)}
+        a, b = digest([F.col(n) for n in held])
+        out = df.withColumns(held | {"_live": among}).withColumns({"_key_a": a, "_key_b": b}).drop(*held)
         first = self.first.where(F.col("_i") == k).select("_a", "_b", "_first", "_n")
         on = (F.col("_key_a") == F.col("_a")) & (F.col("_key_b") == F.col("_b")) & F.col("_live")
         if self.small:
@@ -88,7 +93,7 @@ class Repeats:
             live = F.col("_live") & F.col("_hot").isNull()
             out = out.withColumns({"_live": live, "_key_a": F.when(live, F.col("_key_a")).otherwise(F.xxhash64(self.row)), "_key_b": F.when(live, F.col("_key_b")).otherwise(0)})
             out = out.join(first.drop("_n"), on, "left").withColumn("_first", F.coalesce("_hot", "_first")).drop("_hot_a", "_hot_b", "_hot")
-        return out.withColumn(name, F.coalesce(F.col("_first") < F.col(self.row), F.lit(False)) & among).drop("_key_a", "_key_b", "_live", "_a", "_b", "_first")
+        return out.withColumn(name, F.coalesce(F.col("_first") < F.col(self.row), F.lit(False))).drop("_key_a", "_key_b", "_live", "_a", "_b", "_first")
 
 
 def repeats(df: DataFrame, key: Sequence[Column], name: str, among: Column | None = None, row: str = ROW, base: DataFrame | None = None) -> DataFrame:

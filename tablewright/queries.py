@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.functions import names, values
-from tablewright.operators import exceptions, measures, outliers, profile, worktime
+from tablewright.operators import exceptions, measures, outliers, profile, samples, worktime
 from tablewright.operators.clean import Cleaner, modal_spellings, reason_histogram
 from tablewright.operators.rows import ROW, repeats
 from tablewright.operators.validate import Validator
@@ -290,7 +290,7 @@ def dq_custom_check(spark: SparkSession, sf_dir: str) -> DataFrame:
         name = "whole_prices"
 
         def findings(self, ctx) -> list[Finding]:
-            value = F.col("_cells.p_retailprice.value")
+            value = ctx.value("p_retailprice")
             return [Finding(self.name, "validity", value.isNotNull(), value % 1 != 0, "p_retailprice", invalidates=True, message="{failed} price(s) are not whole.")]
 
     report = Validator(_RANGES, Validation(duplicate_check=False), (*CHECKS, WholePrices())).validate(table(spark, sf_dir, "part").select("p_size", "p_retailprice"), "part")
@@ -529,6 +529,23 @@ def gen_rolling_28d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily.selectExpr("*", "sum(n) OVER (PARTITION BY event_type ORDER BY unix_date(day) RANGE BETWEEN 27 PRECEDING AND CURRENT ROW) AS n_28d")
 
 
+@query(
+    "gen_positional_insert",
+    """SELECT row_number() OVER (ORDER BY place, old, n_name) AS _source_row, n_name FROM (SELECT n_nationkey + 1 AS place, 1 AS old, n_name FROM nation
+    UNION ALL SELECT n_nationkey % 7 * 4 + 1, 0, 'copy of ' || n_name FROM nation WHERE n_regionkey = 1)""",
+)
+def gen_positional_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation")
+    rows = nation.select((F.col("n_nationkey").cast("long") + 1).alias(ROW), "n_name")
+    copies = nation.where("n_regionkey = 1").select((F.col("n_nationkey").cast("long") % 7 * 4 + 1).alias("place"), F.concat(F.lit("copy of "), "n_name").alias("n_name"))
+    return samples.insert(rows, copies, "place")
+
+
+@query("gen_sorted_rows", "SELECT row_number() OVER (ORDER BY p_brand, p_size, p_partkey) AS _source_row, p_partkey FROM part")
+def gen_sorted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples.in_order(table(spark, sf_dir, "part").select("p_brand", "p_size", "p_partkey"), ["p_brand", "p_size", "p_partkey"]).select(ROW, "p_partkey")
+
+
 @query("gen_last_sale", "SELECT l_partkey, max(l_shipdate) AS last_sale FROM lineitem GROUP BY 1")
 def gen_last_sale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.max("l_shipdate").alias("last_sale"))
@@ -873,7 +890,7 @@ def src_path_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("column_1").alias("order_key"), F.col("column_2").alias("priority"), F.col("column_3").alias("customer"))
 
 
-@query("src_registry", "SELECT * FROM (VALUES ('csv', '.csv,.tsv,.txt'), ('delimited_path', ''), ('parquet', '.parquet'), ('sheets', ''), ('sql', ''), ('xlsx', '.xlsx')) t(kind, endings)")
+@query("src_registry", "SELECT * FROM (VALUES ('avro', '.avro'), ('csv', '.csv,.tsv,.txt'), ('delimited_path', ''), ('json', '.json,.jsonl'), ('orc', '.orc'), ('parquet', '.parquet'), ('sheets', ''), ('sql', ''), ('xlsx', '.xlsx')) t(kind, endings)")
 def src_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tablewright.sources.load import kinds
 
@@ -958,9 +975,15 @@ def clean_remove_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT 'negative_values(value)' AS \"check\", count(*) FILTER (event_id % 3 = 0 AND value <> 0) AS n FROM events",
 )
 def stream_row_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The expressions of the streaming checks, on a table."""
+    """The table as a stream of files: checks of each row, failures counted as they come, until all files are read."""
+    import uuid
+
     from tablewright.streaming.checks import annotate
 
     own = Catalog({"e": contract({"columns": {"value": {"type": "float", "min": 0}}})}, _RANGES.weights)
-    events = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 3 == 0, -F.abs("value")).otherwise(F.abs("value")).alias("value"))
-    return annotate(events, own, "e").select(F.explode("_failed").alias("check")).groupBy("check").agg(F.count("*").alias("n"))
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    events = stream.select(F.when(F.col("event_id") % 3 == 0, -F.abs("value")).otherwise(F.abs("value")).alias("value"))
+    counts = annotate(events, own, "e").select(F.explode("_failed").alias("check")).groupBy("check").agg(F.count("*").alias("n"))
+    name = f"failures_{uuid.uuid4().hex}"  # a row for each check
+    counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)

@@ -62,7 +62,7 @@ def for_upload(spark: SparkSession, name: str, content: bytes, upload: Upload |
     upload = upload or Upload()
     name = guards.check_upload(name, content, upload)
     ending = PurePath(name).suffix.lower()
-    if ending not in ENDINGS:
+    if ending not in ENDINGS or not issubclass(REGISTRY[ENDINGS[ending]], _File):
         raise SourceError(f"no source reads {ending}")
     return create(ENDINGS[ending], spark, name=name, content=content, upload=upload, **options)
 
@@ -329,13 +329,33 @@ class Sheets(Source):
         return self.spark.createDataFrame(cells, f"{ROW} long, " + ", ".join(f"c{k} string" for k in range(width))), False, {"worksheet": title}
 
 
-@source("parquet", ".parquet")
-class Parquet(Source):
-    """Parquet, with pushed filters and pruned columns."""
+class _Columns(Source):
+    """Files that carry their own names and types, read by Spark with pushed filters and pruned columns. What needs a package that
+    the session has not got is an error when it is read."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.path = path
-        super().__init__(spark, os.path.basename(path))
+    def __init__(self, spark: SparkSession, path: str, **options: str) -> None:
+        self.path, self.options = path, options
+        super().__init__(spark, os.path.basename(path.rstrip("/")))
 
     def read(self) -> tuple[DataFrame, bool, dict[str, Any]]:
-        return numbered(self.spark.read.parquet(self.path)), True, {"path": self.path}
+        return numbered(self.spark.read.format(self.kind).options(**self.options).load(self.path)), True, {"path": self.path}
+
+
+@source("parquet", ".parquet")
+class Parquet(_Columns):
+    pass
+
+
+@source("orc", ".orc")
+class Orc(_Columns):
+    pass
+
+
+@source("json", ".json", ".jsonl")
+class Json(_Columns):
+    """A JSON object a line; nested values stay nested and are profiled as text."""
+
+
+@source("avro", ".avro")
+class Avro(_Columns):
+    pass

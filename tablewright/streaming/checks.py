@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.operators.checks import BetweenColumns, Context, InvalidCategories, InvalidDates, InvalidNumbers, MissingValues, Ranges, parsed
+from tablewright.operators.checks import BetweenColumns, Context, InvalidCategories, InvalidDates, InvalidNumbers, MissingValues, Ranges, is_part, parsed
 from tablewright.functions import names
 from tablewright.plans.contracts import Catalog
 from tablewright.plans.settings import Validation
@@ -20,7 +20,7 @@ def annotate(df: DataFrame, catalog: Catalog, dataset: str, *, dayfirst: bool =
     found = [f for check in ROW_CHECKS for f in check.findings(ctx) if not isinstance(f.failed, int) and f.invalidates]
     label = lambda f: f"{f.check}({f.column})" if f.column else f.check
     out = parsed(ctx).withColumn("_failed", F.array_compact(F.array(*[F.when(f.failed, label(f)) for f in found])))
-    return out.drop("_cells", "_empty", "_copy", "_same_key")
+    return out.drop(*filter(is_part, out.columns))
 
 
 def without_repeats(df: DataFrame, time: str, key: list[str], delay: str = "1 hour") -> DataFrame:

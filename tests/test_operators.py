@@ -5,10 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.errors import CalculationFailed, ConfigError, SinkError
-from tablewright.operators import exceptions, measures, outliers, profile, rows, worktime
+from tablewright.operators import clean, exceptions, measures, outliers, profile, rows, samples, worktime
 from tablewright.plans.contracts import load_catalog
 from tablewright.plans.settings import Anomaly, Calendar, Cleaning, Settings, settings
-from tablewright.sources import sinks
+from tablewright.sources import load, sinks
 from tablewright.streaming import checks
 
 from .test_validate import HEADER, SALES
@@ -57,6 +57,46 @@ def test_numbers_of_groups_that_are_joined(spark, monkeypatch):
     assert sorted(map(tuple, outliers.iqr(df, "v", ["g"]).collect())) == want
 
 
+def test_samples(spark):
+    df = spark.range(0, 40_000, 1, 4).select(samples.poisson(3.5, 1).alias("p"), samples.lognormal(1.0, 0.5, 2).alias("x"), samples.whole_above(F.lit(2.1)).alias("c"))
+    got = df.agg(F.avg("p").alias("p"), F.var_pop("p").alias("v"), F.avg(F.log("x")).alias("m"), F.stddev("x").alias("s"), F.max("c").alias("c")).first()
+    assert got["p"] == pytest.approx(3.5, abs=0.05) and got["v"] == pytest.approx(3.5, abs=0.15) and got["m"] == pytest.approx(1.0, abs=0.02) and got["c"] == 3
+    rows = spark.createDataFrame([(i, f"r{i}") for i in range(1, 6)], "_source_row long, n string")
+    extra = spark.createDataFrame([(1, "a"), (3, "c"), (3, "b"), (9, "z")], "at long, n string")
+    out = samples.insert(rows, extra, "at").orderBy("_source_row").collect()
+    assert [r["n"] for r in out] == ["a", "r1", "r2", "b", "c", "r3", "r4", "r5", "z"] and [r["_source_row"] for r in out] == list(range(1, 10))
+
+
+def test_plug_ins(spark, tmp_path):
+    @outliers.detector("over")
+    def over(df, value, by, settings):
+        return df.withColumn("is_anomaly", F.col(value) > 2)
+
+    @sinks.sink("count")
+    def count(df, path):
+        (tmp_path / path).write_text(str(df.count()))
+
+    try:
+        df = spark.createDataFrame([(1, 1.0), (2, 3.0)], "t int, v double")
+        assert [r["is_anomaly"] for r in outliers.detect(df, "v", "t", method="over").orderBy("t").collect()] == [False, True]
+        sinks.write("count", df, "n.txt")
+        assert (tmp_path / "n.txt").read_text() == "2"
+        for kind in ("orc", "json", "parquet"):
+            sinks.write(kind, df, str(tmp_path / kind))
+            assert load.create(kind, spark, str(tmp_path / kind)).load().rows == 2
+        with pytest.raises(SinkError):
+            sinks.write("fax", df, "x")
+    finally:
+        del outliers.METHODS["over"], sinks.WRITERS["count"]
+
+
+def test_steps_of_single_columns(spark):
+    rule = load_catalog()["sales"].columns["quantity"]
+    df = spark.createDataFrame([(" a   b ", "N/A", " NORTH", "1,200")], "a string, b string, c string, d string")
+    got = df.select(clean.trimmed(F.col("a")), clean.without_placeholders(F.col("b"), ("n/a",)), clean.spelled_as(F.col("c"), ("North",)), clean.typed_as(F.col("d"), rule, df.schema["d"].dataType)).first()
+    assert tuple(got) == ("a b", None, "North", 1200.0)
+
+
 def test_workspace(tmp_path, capsys):
     import logging
 
