@@ -8,6 +8,7 @@ join; rows that have nothing to look up are spread over its partitions by their
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -22,9 +23,10 @@ SHOWN, HOT_KEYS, HOT_ROWS = 100_000, 1000, 100_000
 
 def numbered(df: DataFrame, name: str = ROW) -> DataFrame:
     """Rows numbered from 1 in their present order: the place in the partition plus the rows of earlier partitions. One count
-    job over the partitions, whose result has a row for each; no shuffle of rows."""
+    job over the partitions, whose result has a row for each; no shuffle of rows. What a shuffle has dealt out is laid down first."""
     if name in df.columns:
         return df
+    df = laid(df)
     placed = df.withColumns({"_pid": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
     counts = sorted((r["_pid"], r["n"]) for r in placed.groupBy("_pid").agg(F.count("*").alias("n")).collect())
     base, total = [], 0
@@ -54,6 +56,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
 
 
+def laid(df: DataFrame) -> DataFrame:
+    """df with partitions that are the same in each job. Those of a shuffle are not: each run draws its own sample for the bounds of
+    a sort, and merges small partitions by their bytes. Its rows are written once, where the session has a checkpoint folder, and
+    else kept by the executors, where a loss fails loudly."""
+    if not re.search(r"\bExchange\b", df._jdf.queryExecution().executedPlan().toString()):
+        return df
+    kept = durable(df)
+    return df.localCheckpoint() if kept is df else kept
+
+
 class Repeats:
     """The first rows of the keys that repeat: several kinds of key, by name, in one aggregation over a table."""
 

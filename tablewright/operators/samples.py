@@ -33,8 +33,9 @@ def whole_above(c: Column) -> Column:
 
 
 def in_order(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Rows sorted by some columns and numbered anew. Equal rows may come in any order, so the columns should tell rows apart."""
-    return numbered(df.drop(ROW).orderBy(*order))
+    """Rows sorted by some columns, nulls last, and numbered anew. Equal rows may come in any order, so the columns should tell rows
+    apart."""
+    return numbered(df.drop(ROW).orderBy(*[F.col(c).asc_nulls_last() for c in order]))
 
 
 def insert(df: DataFrame, extra: DataFrame, before: str) -> DataFrame:

@@ -67,6 +67,15 @@ def test_samples(spark):
     assert [r["n"] for r in out] == ["a", "r1", "r2", "b", "c", "r3", "r4", "r5", "z"] and [r["_source_row"] for r in out] == list(range(1, 10))
 
 
+def test_rows_in_order_have_one_number_each(spark):
+    """More rows than a sort samples for its bounds, which differ from run to run; nulls come last, as in SQL."""
+    n = 30_000
+    df = spark.range(0, n, 1, 3).select((F.col("id") * 7919 % n).alias("id")).withColumn("k", F.when(F.col("id") % 5 > 0, F.col("id") % 50))
+    got = sorted((r["_source_row"], r["id"]) for r in samples.in_order(df, ["k", "id"]).collect())
+    want = sorted(range(n), key=lambda i: (i % 5 == 0, i % 50 if i % 5 else 0, i))
+    assert got == list(enumerate(want, start=1))
+
+
 def test_plug_ins(spark, tmp_path):
     @outliers.detector("over")
     def over(df, value, by, settings):
