@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -271,6 +272,22 @@ def test_bm25_searches_all_terms(spark, monkeypatch, asked):
         assert got[q] == [(i, -s) for s, i in sorted(x for x in score if x[0] < 0)[:10]]
 
 
+def test_bm25_keeps_long_lists_once():
+    """What is held while an index row is opened stays near the arrays that it ends with: 8,000 documents by 2,000 long lists."""
+    n, names, each = 8000, 2000, 60
+    docs = np.sort(np.random.default_rng(4).integers(0, n, (names, n * each // names), np.int32), axis=1)
+    kept = [np.unique(x) for x in docs]
+    sizes = [len(x) for x in kept]
+    cells = {"doc_ids": np.arange(n), "known": np.ones(n, np.uint8), "lengths": np.full(n, each, np.int32), "terms": np.arange(names), "starts": np.cumsum([0, *sizes]), "docs": np.concatenate(kept), "tfs": np.ones(sum(sizes), np.int32)}
+    row = {k: x.tobytes() for k, x in cells.items()}
+    tracemalloc.start()
+    shard = bm25.Shard(row, float(each))
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    arrays = sum(x.nbytes for x in shard.dense)
+    assert arrays > 60e6 and held < 1.4 * arrays and peak < 1.6 * arrays, (arrays, held, peak)
+
+
 @pytest.mark.parametrize("heavy", [2048, 5, 0])
 @pytest.mark.parametrize("many", [False, True])
 def test_block_max_search_prunes_nothing_that_counts(monkeypatch, many, heavy):
