@@ -272,6 +272,22 @@ def test_bm25_searches_all_terms(spark, monkeypatch, asked):
         assert got[q] == [(i, -s) for s, i in sorted(x for x in score if x[0] < 0)[:10]]
 
 
+def test_secrets_learn_from_all_candidates(spark, monkeypatch):
+    """By tasks: no candidate is left out of the four ends, and the network tells the classes apart."""
+    monkeypatch.setattr(secrets, "WHOLE", 100)
+    monkeypatch.setattr(secrets, "TASK", 4000)
+    rng = np.random.default_rng(5)
+    windows = [rng.integers(97, 122, 16 + 2 * secrets.AROUND).astype(np.uint8) for _ in range(9600)]
+    for k, x in enumerate(windows):
+        x[secrets.AROUND : -secrets.AROUND] = rng.integers(48, 58 if k % 4 == 0 else 90, 16)
+    df = spark.createDataFrame([(k, [(0, 16, k % 4 == 0, bytearray(x.tobytes()))]) for k, x in enumerate(windows)], "doc_id long, found array<struct<a: long, b: long, label: boolean, codes: binary>>")
+    net = secrets.train(df)
+    assert abs(net.proof["positives"] - 400) < 80 and abs(net.proof["negatives"] - 1200) < 150, net.proof
+    assert net.proof["recall"] > 0.9 and net.proof["precision"] > 0.9
+    few = secrets.train(df.where("doc_id % 4 > 0 or doc_id < 40"))
+    assert few.proof["positives"] == 10 and few.proof["negatives"] > 1000
+
+
 def test_bm25_keeps_long_lists_once():
     """What is held while an index row is opened stays near the arrays that it ends with: 8,000 documents by 2,000 long lists."""
     n, names, each = 8000, 2000, 60
