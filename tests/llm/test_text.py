@@ -1,11 +1,14 @@
 import hashlib
 import math
 import re
+import sys
 import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -325,6 +328,32 @@ def test_block_max_search_prunes_nothing_that_counts(monkeypatch, many, heavy):
             assert order.tolist() == docs.tolist() and np.allclose(total[order], scores, rtol=1e-12)
 
 
+def test_bm25_sends_the_driver_few_bytes_of_queries(spark, monkeypatch):
+    """Terms of queries are numbered and packed by the executors: four bytes each, and sixteen for each different one of a part."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 300, 200)) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    terms, sent, kind = sum(len(set(t.split())) for t in texts), [], type(docs)
+    for name in ("toArrow", "toPandas", "collect"):
+        monkeypatch.setattr(kind, name, lambda self, f=getattr(kind, name): sent.append(f(self)) or sent[-1])
+    found = bm25.search(docs, docs.selectExpr("doc_id as query_id", "text"))
+    size = sum(x.nbytes if hasattr(x, "nbytes") else sys.getsizeof(x) for x in sent)
+    assert found.count() == 2000 and 4 * terms < size < 6 * terms, (size, terms)
+
+
+def test_bm25_opens_a_shard_once_for_all_parts(monkeypatch):
+    opened, kept, builder, rng = [], bm25.Shard, bm25._Builder(), np.random.default_rng(2)
+    for i in range(200):
+        builder.add(i, " ".join(f"w{x}" for x in rng.integers(0, 100, 30)))
+    monkeypatch.setattr(bm25, "Shard", lambda row, mean: opened.append(1) or kept(row, mean))
+    words = np.array([[bm25.term_hash(f"w{w}") for w in rng.choice(100, 8, replace=False)] for _ in range(6)])
+    parts = [tuple(x.tobytes() for x in bm25._packed(np.repeat(q, 8), words[q].ravel(), np.ones(8 * len(q)))) for q in (np.arange(4), np.arange(4, 6))]
+    shared, floors = SimpleNamespace(value=parts), SimpleNamespace(value=[np.zeros(4), np.zeros(2)])
+    got = pa.Table.from_batches(bm25._searched(shared, floors, 30.0, 10)(iter([builder.row()])))
+    assert len(opened) == 1 and not any(x.any() for x in floors.value)
+    assert Counter(got["query_id"].to_pylist()) == {q: 10 for q in range(6)}
+
+
 def test_bm25_null_and_clashing_ids(spark, monkeypatch):
     monkeypatch.setattr(bm25, "POSTINGS", 5)  # rows of the index end early
     docs = spark.createDataFrame([(None, "red blue"), (None, "red"), (1, "red blue"), (2, None), (3, "green grass")], "doc_id long, text string").withColumns({"wave": F.lit("x"), "term": F.lit(1)})
