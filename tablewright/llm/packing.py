@@ -8,6 +8,8 @@ gained with another. Waste bounds prune the enumeration, and a bound on the piec
 incumbent, which is best-fit decreasing at first. A filling is applied as often as the counts allow, and then, on the way
 back, once less at a time, so that the search is complete: it ends with as few sequences as there can be, unless NODES
 fillings were tried before. Packing is a hard problem, so some such limit must stand; Search says whether it was reached.
+The search may be as deep as there are different fillings, so only its deepest levels, of HELD bytes, keep their tables; one
+above makes its own again when the search comes back to it, and goes on where it was. States seen are kept as digests.
 Pieces then take their places by their rank among the pieces of the same length.
 
 Null texts are empty and give the end id alone. Repeated rows are packed once each; rows with a null doc_id are packed like
@@ -16,8 +18,9 @@ others. Only doc_id and text are read of a table, whatever its other columns are
 
 from __future__ import annotations
 
+import hashlib
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +34,8 @@ from tablewright.llm import common, tokens
 MAX_TOKENS = 2048
 #: Fillings tried in all.
 NODES = 50_000
+#: Bytes of tables that the levels of the search hold, beside the deepest one's.
+HELD = 1 << 24
 
 Pattern = tuple[tuple[int, ...], int]  # lengths in one sequence, how many such sequences
 
@@ -106,9 +111,26 @@ def _dominated(items: tuple[int, ...], counts: np.ndarray, there: int, room: int
     return bool((gained | many) & there & ((1 << (room + 1)) - 1))
 
 
-def fillings(counts: np.ndarray, room: int, most: int, budget: _Budget | None = None) -> Iterator[tuple[int, tuple[int, ...]]]:
+def _exact(have: list[int], reach: list[int], counts: np.ndarray, k: int, left: int, start: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+    """Of the first k lengths, with a sum of left; from start on, if it has items. Not a function within fillings(): one that
+    calls itself would keep the tables until garbage is collected."""
+    if not left:
+        yield ()
+        return
+    for j in range(bisect_left(have, start[0]) if start else bisect_right(have, left, 0, k) - 1, -1, -1):
+        if not reach[j + 1] >> left & 1:
+            return
+        length = have[j]
+        for n in range(start.count(length) if start else min(int(counts[length]), left // length), 0, -1):
+            if reach[j] >> (left - n * length) & 1:
+                for rest in _exact(have, reach, counts, j, left - n * length, start[n:]):
+                    yield (length,) * n + rest
+            start = ()
+
+
+def fillings(counts: np.ndarray, room: int, most: int, budget: _Budget | None = None, start: tuple[int, ...] | None = None) -> Iterator[tuple[int, tuple[int, ...]]]:
     """(waste, lengths) of all undominated fillings of room with what counts has that waste at most `most`; least waste and
-    largest pieces first. They are made as they are asked for."""
+    largest pieces first. They are made as they are asked for. start: the filling to begin with, which was tried before."""
     budget = budget or _Budget(1 << 62)
     have = [int(x) for x in np.flatnonzero(counts[: room + 1]) if x]
     reach, there, mask = [1], 0, (1 << (room + 1)) - 1  # sums of the first pieces, as bits
@@ -121,28 +143,17 @@ def fillings(counts: np.ndarray, room: int, most: int, budget: _Budget | None =
         reach.append(bits)
         there |= 1 << length
 
-    def exact(k: int, left: int) -> Iterator[tuple[int, ...]]:
-        """Of the first k lengths, with a sum of left."""
-        if not left:
-            yield ()
-            return
-        for j in range(bisect_right(have, left, 0, k) - 1, -1, -1):
-            if not reach[j + 1] >> left & 1:
-                return
-            length = have[j]
-            for n in range(min(int(counts[length]), left // length), 0, -1):
-                if reach[j] >> (left - n * length) & 1:
-                    for rest in exact(j, left - n * length):
-                        yield (length,) * n + rest
-
-    for waste in range(min(most, room) + 1):
+    for waste in range(room - sum(start) if start is not None else 0, min(most, room) + 1):
         if reach[-1] >> (room - waste) & 1:
-            for items in exact(len(have), room - waste):
-                budget.left -= 1
-                if budget.left < 0:
-                    return
-                if not _dominated(items, counts, there, room):
-                    yield waste, items
+            for items in _exact(have, reach, counts, len(have), room - waste, start or ()):
+                if start is None:
+                    budget.left -= 1
+                    if budget.left < 0:
+                        return
+                    if _dominated(items, counts, there, room):
+                        continue
+                start = None
+                yield waste, items
 
 
 @dataclass(frozen=True)
@@ -159,7 +170,20 @@ class Search:
         return sum(n for _, n in self.patterns)
 
 
-def bin_completion(counts: np.ndarray, size: int = MAX_TOKENS, nodes: int = NODES) -> Search:
+@dataclass
+class _Level:
+    """A step of the search: the filling that may not come here, what may be wasted, and the filling last tried here (without
+    the largest piece) and how often; options: what comes next, none while its tables, of so many bytes, are not held."""
+
+    barred: tuple[int, ...] | None
+    spare: int
+    rest: tuple[int, ...] | None = None
+    often: int = 0
+    options: Iterator[tuple[tuple[int, ...], int, tuple[int, ...] | None]] | None = None
+    bytes: int = 0
+
+
+def bin_completion(counts: np.ndarray, size: int = MAX_TOKENS, nodes: int = NODES, held: int = HELD) -> Search:
     """Branch and bound over the fillings around the largest piece; never more sequences than best-fit decreasing needs."""
     counts = counts.astype(np.int64).copy()
     best, least = best_fit_decreasing(counts, size), lower_bound(counts, size)
@@ -168,26 +192,43 @@ def bin_completion(counts: np.ndarray, size: int = MAX_TOKENS, nodes: int = NODE
     used = 0
     seen: dict[tuple, int] = {}
 
-    def options(last: tuple[int, ...] | None) -> Iterator[tuple[tuple[int, ...], int, tuple[int, ...] | None]]:
-        """(filling, how often, the filling that may not come next); last may not come here."""
+    def level(barred: tuple[int, ...] | None) -> _Level:
+        return _Level(barred, (bins - 1 - used) * size - int((np.arange(len(counts)) * counts).sum()))
+
+    def options(at: _Level) -> Iterator[tuple[tuple[int, ...], int, tuple[int, ...] | None]]:
+        """(filling, how often, the filling that may not come next), after what was tried at this level."""
         own = counts.copy()
         largest = int(np.flatnonzero(own)[-1])
-        spare = (bins - 1 - used) * size - int((np.arange(len(own)) * own).sum())
         own[largest] -= 1
-        for waste, rest in fillings(own, size - largest, spare, budget):
+        for waste, rest in fillings(own, size - largest, at.spare, budget, at.rest):
             items = (largest, *rest)
-            if items == last:
+            if items == at.barred:
                 continue
             lengths, each = np.unique(items, return_counts=True)
             often = int(((own[lengths] + (lengths == largest)) // each).min())
-            for n in range(min(often, spare // waste) if waste else often, 0, -1):
+            most = min(often, at.spare // waste) if waste else often
+            for n in range(at.often - 1 if rest == at.rest else most, 0, -1):
+                at.rest, at.often = rest, n
                 yield items, n, items if n < often else None
 
-    stack = [options(None)] if bins > least else []
+    def table_bytes() -> int:
+        """Of the counts, of the lengths that fit beside the largest piece, and of their sums as bits."""
+        room = size - int(np.flatnonzero(counts)[-1])
+        return counts.nbytes + int(np.count_nonzero(counts[: room + 1])) * (room // 8 + 100)
+
+    stack = [level(None)] if bins > least else []
+    first = total = 0  # the levels from the first on hold their tables, of so many bytes
     while stack and bins > least and budget.left > 0:
-        step = next(stack[-1], None)
+        at = stack[-1]
+        if at.options is None:
+            at.options, at.bytes = options(at), table_bytes()
+            first, total = min(first, len(stack) - 1), total + at.bytes
+            while total > held + at.bytes:
+                stack[first].options, total = None, total - stack[first].bytes
+                first += 1
+        step = next(at.options, None)
         if step is None:
-            stack.pop()
+            total -= stack.pop().bytes
             if path:
                 items, n = path.pop()
                 np.add.at(counts, list(items), n)
@@ -196,7 +237,7 @@ def bin_completion(counts: np.ndarray, size: int = MAX_TOKENS, nodes: int = NODE
         items, n, last = step
         budget.left -= 1
         np.subtract.at(counts, list(items), n)
-        state = (counts.tobytes(), last)
+        state = (hashlib.blake2b(counts, digest_size=16).digest(), last)
         hopeless = used + n + lower_bound(counts, size) >= bins or seen.get(state, 1 << 62) <= used + n
         if not hopeless and not counts.any():
             best, bins, hopeless = [*path, (items, n)], used + n, True
@@ -206,7 +247,7 @@ def bin_completion(counts: np.ndarray, size: int = MAX_TOKENS, nodes: int = NODE
         seen[state] = used + n
         path.append((items, n))
         used += n
-        stack.append(options(last))
+        stack.append(level(last))
     return Search(best, least, bins == least or budget.left > 0)
 
 

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -132,6 +133,29 @@ def test_bin_completion_is_optimal():
     assert packing.bin_completion(counts, 28).sequences == 3
 
 
+def test_bin_completion_holds_little():
+    """A search of many levels holds the tables of a few, and ends as one that holds them all."""
+    counts = np.bincount(np.random.default_rng(3).integers(100, 1800, 6_000), minlength=2049)
+    tracemalloc.start()
+    try:
+        found = packing.bin_completion(counts, 2048, 4_000)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert not found.complete and most < 40 << 20
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        size = int(rng.integers(20, 90))
+        counts = np.bincount(rng.integers(size // 6, size + 1, 25), minlength=size + 1)
+        assert len({str(packing.bin_completion(counts, size, 600, held)) for held in (0, 2_000, 1 << 30)}) == 1
+
+
+def test_fillings_start_where_they_were():
+    counts = np.bincount(np.random.default_rng(4).integers(10, 90, 24), minlength=201)
+    got = list(packing.fillings(counts, 200, 3))
+    assert len(got) > 20 and all(list(packing.fillings(counts, 200, 3, start=x)) == got[k:] for k, (_, x) in enumerate(got))
+
+
 def test_fillings_are_all_that_are_not_dominated():
     rng = random.Random(9)
     for _ in range(150):
